@@ -53,3 +53,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def read_path(spark: SparkSession, path: str) -> bytes:
+    """A small file's bytes, read by the driver: through Spark's file systems, or its own disk."""
+    if "://" in path:
+        return bytes(spark.read.format("binaryFile").load(path).select("content").head()[0])
+    with open(path, "rb") as file:
+        return file.read()

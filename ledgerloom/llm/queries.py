@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup
+from ledgerloom.llm import bpe, exact_dedup, jpeg
 from ledgerloom.llm.common import read_table
 
 
@@ -13,8 +14,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_columns(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("right(payload, 16)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature", "width", "height")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_bpe": op2_bpe,
+    "op10_jpeg": op10_jpeg,
 }
 
 SQL = {
