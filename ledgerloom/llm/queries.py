@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax
+from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax, substring
 from ledgerloom.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op3_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.find_components(read_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_passages(read_table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_columns(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
@@ -34,6 +38,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_minmax": op3_minmax,
+    "op4_substring": op4_substring,
     "op10_jpeg": op10_jpeg,
 }
 
@@ -52,4 +57,16 @@ SQL = {
         r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
         FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op4_substring": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        v AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
+        k AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM v),
+        m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low FROM k),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM m WHERE doc_id > low),
+        g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+        x AS (SELECT w.doc_id, unnest(w.w) AS word, unnest(range(1, len(w.w) + 1)) AS p FROM w JOIN g USING (doc_id)),
+        t AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p WHERE c.p IS NULL GROUP BY x.doc_id)
+        SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(g.gone), 0)::BIGINT AS n_removed,
+            sha256(CASE WHEN g.doc_id IS NULL THEN array_to_string(w.w, ' ') ELSE coalesce(t.kept, '') END) AS kept_sha256
+        FROM w LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
