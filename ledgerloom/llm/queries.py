@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax, substring
+from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax, packing, substring
 from ledgerloom.llm.common import read_table
 
 
@@ -27,6 +27,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_passages(read_table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_columns(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_minmax": op3_minmax,
     "op4_substring": op4_substring,
+    "op5_packing": op5_packing,
     "op10_jpeg": op10_jpeg,
 }
 
