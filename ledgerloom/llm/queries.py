@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax, packing, substring
+from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax, packing, substring, toxicity
 from ledgerloom.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_columns(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_minmax": op3_minmax,
     "op4_substring": op4_substring,
     "op5_packing": op5_packing,
+    "op7_toxicity": op7_toxicity,
     "op10_jpeg": op10_jpeg,
 }
 
