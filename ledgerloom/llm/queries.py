@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax, packing, substring, toxicity
+from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax, packing, secrets, substring, toxicity
 from ledgerloom.llm.common import read_table
 
 
@@ -35,6 +35,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda kind: F.expr(f"size(filter(base, s -> s.kind = '{kind}'))").cast("long").alias(f"n_{kind}")
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
+        secrets.listed("array_sort(concat(base, added))").alias("spans"))
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_columns(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
@@ -49,6 +56,7 @@ QUERIES = {
     "op4_substring": op4_substring,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
+    "op9_secrets": op9_secrets,
     "op10_jpeg": op10_jpeg,
 }
 
