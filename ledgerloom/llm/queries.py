@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, jpeg, minmax, packing, secrets, substring, toxicity
+from ledgerloom.llm import bpe, exact_dedup, jpeg, lm, minmax, packing, secrets, substring, toxicity
 from ledgerloom.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.expr(f"size(filter(base, s -> s.kind = '{kind}'))").cast("long").alias(f"n_{kind}")
     return secrets.find_secrets(read_table(spark, sf_dir, "documents")).select(
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_substring": op4_substring,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_lm": op8_lm,
     "op9_secrets": op9_secrets,
     "op10_jpeg": op10_jpeg,
 }
