@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, jpeg, lm, minmax, packing, secrets, substring, toxicity
+from ledgerloom.llm import bpe, exact_dedup, importance, jpeg, lm, minmax, packing, secrets, substring, toxicity
 from ledgerloom.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.select_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_minmax": op3_minmax,
     "op4_substring": op4_substring,
     "op5_packing": op5_packing,
+    "op6_importance": op6_importance,
     "op7_toxicity": op7_toxicity,
     "op8_lm": op8_lm,
     "op9_secrets": op9_secrets,
