@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup
+from ledgerloom.llm import exact_dedup, minmax, packing, secrets, toxicity
 from ledgerloom.llm.common import read_table, stage
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, learned from the labelled rows of ``documents``, predicts toxic go."""
+    return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the most code points stays."""
     return exact_dedup.drop_repeats(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by five-word shingles at a similarity of 0.8 or more, the smallest id stays."""
+    return minmax.drop_near_copies(docs, size=5, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mask; all documents stay."""
+    return secrets.mask_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("packing", pack),
 ]
 
+#: No SQL: toxicity and packing can't be expressed in it. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
