@@ -42,17 +42,17 @@ def q_fmt_cn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '开立 %Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d 起') WHEN 2 THEN '2023.' || (1 + o_orderkey % 19) || '.' || (1 + o_orderkey % 37) ELSE strftime(o_orderdate, '%Y年%m月') END AS raw FROM orders),
     p AS (SELECT *, regexp_extract(raw, '(\\d{4})[./-](\\d{1,2})[./-](\\d{1,2})', ['y', 'm', 'd']) AS d FROM s)
-    SELECT o_orderkey, raw, CASE WHEN d.y <> '' THEN (make_date(TRY_CAST(d.y AS INT), 1, 1) + to_months(TRY_CAST(d.m AS INT) - 1))::DATE + (TRY_CAST(d.d AS INT) - 1) END AS parsed FROM p""")
+    SELECT o_orderkey, raw, (CASE WHEN d.y <> '' THEN (make_date(TRY_CAST(d.y AS INT), 1, 1) + to_months(TRY_CAST(d.m AS INT) - 1))::DATE + (TRY_CAST(d.d AS INT) - 1) END)::DATE::VARCHAR AS parsed FROM p""")
 def q_date_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     rolled = F.concat(F.lit("2023."), (1 + key % 19).cast("string"), F.lit("."), (1 + key % 37).cast("string"))
     raw = F.when(key % 4 == 0, F.concat(F.lit("开立 "), F.date_format(day, "yyyy-MM-dd"))).when(key % 4 == 1, F.concat(F.date_format(day, "yyyy/MM/dd"), F.lit(" 起"))).when(key % 4 == 2, rolled).otherwise(F.date_format(day, "yyyy年MM月"))
-    return t.read(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("parsed", dates.parse_loose(F.col("raw")))
+    return t.read(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("parsed", dates.parse_loose(F.col("raw")).cast("string"))
 
 
-@query("SELECT o_orderkey, n AS months, ((date_trunc('month', o_orderdate)::DATE - to_months(n::INT))::DATE + (day(o_orderdate)::INT - 1))::DATE AS before FROM orders, (SELECT unnest([1, 3, 6]) AS n)")
+@query("SELECT o_orderkey, n AS months, ((date_trunc('month', o_orderdate)::DATE - to_months(n::INT))::DATE + (day(o_orderdate)::INT - 1))::DATE::VARCHAR AS before FROM orders, (SELECT unnest([1, 3, 6]) AS n)")
 def q_months_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.explode(F.array(*[F.struct(F.lit(n).alias("months"), dates.months_before(F.to_date("o_orderdate"), n).alias("before")) for n in (1, 3, 6)]))
+    made = F.explode(F.array(*[F.struct(F.lit(n).alias("months"), dates.months_before(F.to_date("o_orderdate"), n).cast("string").alias("before")) for n in (1, 3, 6)]))
     return t.read(spark, sf_dir, "orders").select("o_orderkey", made.alias("m")).select("o_orderkey", "m.*")
 
 
