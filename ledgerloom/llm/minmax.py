@@ -10,10 +10,10 @@ Work and shuffles stay in proportion to the rows:
 1. Documents with equal sets form a class; only its representative goes on.
 2. In each bucket (equal band) the smallest representative leads, and every member is
    compared with it alone. Confirmed links give components.
-3. Buckets whose members are still in several components are taken up again: members
-   of different components are compared by signature inside a task, block against
-   block, and pairs that may reach the threshold are confirmed on their sets. No pair
-   is left out, and none leaves a task unless its signatures agree.
+3. Buckets whose members are still in several components are taken up again: their
+   members' sets are compared inside a task, block against block, by counting through
+   an index of the block's shingles. Links that join two components leave the task;
+   pairs that don't, and links within what is joined already, stay in it.
 
 With threshold 0.85 (bands of 5 values, 25 of them) a link is missed by all bands with
 probability 4e-7; with 0.8 (bands of 4, 32 of them) 5e-8.
@@ -40,9 +40,7 @@ PERMUTATIONS = 64
 MOST_BROADCAST = 2_000_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
-#: Standard deviations of a signature's estimate that a pair may lie below the threshold.
-MARGIN = 4.5
-SIGNATURES = "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary"
+SIGNATURES = "doc_id long, n long, h1 long, h2 long, bands array<long>"
 
 _multiply = np.random.default_rng(7).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -90,7 +88,7 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         values[:, 2 * p + 1] = np.maximum.reduceat(moved, at)
                 values = mix(values)
                 h1, h2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                sig, keys = [b""] * len(n), np.zeros((len(some), bands), np.uint64)
+                keys = np.zeros((len(some), bands), np.uint64)
                 if len(some):
                     h1[some] = np.add.reduceat(mix(hashes), at).view(np.int64)
                     h2[some] = np.add.reduceat(mix(hashes ^ np.uint64(0x5DEECE66D)), at).view(np.int64)
@@ -99,13 +97,10 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         for r in range(rows):
                             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, b * rows + r])
                         keys[:, b] = key
-                    low = values.astype(np.uint8)
-                    for k, row in zip(some.tolist(), low):
-                        sig[k] = row.tobytes()
                 count = np.zeros(len(n) + 1, np.int32)
                 count[1 + some] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(count, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists, pa.array(sig, pa.binary())], ["doc_id", "n", "h1", "h2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists], ["doc_id", "n", "h1", "h2", "bands"])
 
     return docs.mapInArrow(run, SIGNATURES)
 
@@ -120,11 +115,15 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items array<long>")
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The sets (doc_id, items) of the documents in ``ids``."""
+    ids = stage(ids, "ids")
+    return stage(_sets(docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi"), size), "sets")
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = stage(ids, "ids")
-    sets = stage(_sets(docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi"), size), "sets")
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), size)
     a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
@@ -132,27 +131,34 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return stage(pairs.join(a, "a").join(b, "b").filter(linked).select("a", "b").distinct(), "links")
 
 
-def _compare(percent: int):
-    """Compares members of two blocks of a bucket by signature; gives pairs of different components that may be links."""
-    values = 2 * PERMUTATIONS
-    p = percent / 100
-    least = int(values * (p - MARGIN * (p * (1 - p) / values) ** 0.5))
+def _links_between(percent: int):
+    """Links between members of two blocks of a bucket that join different components: at most one fewer than components."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rep, comp, n, block = (table[c].to_numpy() for c in ("rep", "comp", "n", "block"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, values)
-        low, high = key[1].as_py(), key[2].as_py()
-        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        rep, block = table["rep"].to_numpy(), table["block"].to_numpy()
+        label = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
+        items = table["items"].combine_chunks()
+        n = items.value_lengths().to_numpy()
+        first, flat = np.concatenate([[0], np.cumsum(n)]), items.flatten().to_numpy()
+        one, two = np.flatnonzero(block == key[1].as_py()), block == key[2].as_py()
+        mine = np.repeat(two, n)
+        order = np.argsort(flat[mine], kind="stable")
+        shingle, owner = flat[mine][order], np.repeat(np.arange(len(n)), n)[mine][order]
         out_a, out_b = [], []
         for i in one:
-            near = (comp[two] != comp[i]) & (100 * np.minimum(n[two], n[i]) >= percent * np.maximum(n[two], n[i]))
-            if low == high:
-                near &= rep[two] > rep[i]
-            js = two[near]
-            js = js[(sig[js] == sig[i]).sum(axis=1) >= least]
-            out_a.append(np.minimum(rep[js], rep[i]))
-            out_b.append(np.maximum(rep[js], rep[i]))
-        return pa.table({"a": pa.array(np.concatenate(out_a) if out_a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(out_b) if out_b else np.zeros(0, np.int64))})
+            if (label[two] == label[i]).all():
+                continue
+            own = flat[first[i] : first[i + 1]]
+            low, high = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+            size = high - low
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            both = np.bincount(owner[at], minlength=len(n))
+            for j in np.flatnonzero((both > 0) & (100 * both >= percent * (n + n[i] - both))):
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out_a.append(min(rep[i], rep[j]))
+                    out_b.append(max(rep[i], rep[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
@@ -166,7 +172,7 @@ def find_components(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     signed = stage(_signatures(docs, size, percent), "signatures")
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = stage(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    classes = stage(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select(F.explode("bands").alias("key"), "rep", "n")
     leaders = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1")
     keyed = stage(keyed.join(leaders, "key").select("key", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"), "members"), "buckets")
@@ -179,9 +185,9 @@ def find_components(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     if not open_.isEmpty():
         own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
         dealt = open_.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.join(classes.select("rep", "sig").dropDuplicates(["rep"]), "rep").select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "n", "comp", "block", "sig")
-        more = dealt.groupBy("key", "low", "high").applyInArrow(_compare(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = _confirm(docs, stage(more, "pairs"), size, percent)
+        sets = _sets_of(docs, open_.select(F.col("rep").alias("doc_id")).distinct(), size).withColumnRenamed("doc_id", "rep")
+        dealt = dealt.join(sets, "rep").select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "comp", "block", "items")
+        more = stage(dealt.groupBy("key", "low", "high").applyInArrow(_links_between(percent), "a long, b long").distinct(), "links")
         of = comp.withColumnRenamed("comp", "c")
         joined = more.join(of.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b", "left")
         joined = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
