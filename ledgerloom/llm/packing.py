@@ -31,8 +31,8 @@ from ledgerloom.llm.common import read_path, stage
 from ledgerloom.llm.textscan import chunks
 
 GROUP = 8192
-#: Free tokens from which a bin is opened again in a further round.
-UNDERFULL = 48
+#: Share of the capacity, as a divisor, that is free in bins that are opened again in a further round.
+UNDERFULL = 85
 REMEMBERED = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters only are split into words here; others go to the library whole.
@@ -198,12 +198,12 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         groups = -(-n // GROUP) or 1
         dealt = left.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
         packed = stage(dealt.groupBy("group").applyInArrow(_pack_group(capacity, turn), f"{PIECES}, sequence_id long, offset long, free long"), "packed")
-        again = packed.filter(F.col("free") >= UNDERFULL).drop("sequence_id", "offset", "free")
+        again = packed.filter(F.col("free") >= max(1, capacity // UNDERFULL)).drop("sequence_id", "offset", "free")
         m = again.count() if groups > 1 else 0
-        if not m or 2 * m > n:
+        if not m or 10 * m > 9 * n:
             done.append(packed)
             break
-        done.append(packed.filter(F.col("free") < UNDERFULL))
+        done.append(packed.filter(F.col("free") < max(1, capacity // UNDERFULL)))
         left, n, turn = again, m, turn + 1
     out = done[0]
     for more in done[1:]:
