@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import credit, general, papers
+from ledgerloom.plans import credit, general, papers, records
 
-MODULES = [credit, general, papers]
+MODULES = [credit, general, papers, records]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
