@@ -10,7 +10,7 @@ from ledgerloom.operators import documents as d
 from ledgerloom.sources import tables as t
 
 QUERIES, SQL = {}, {}
-#: Order lines repeat their numbers; with part and supplier they are told apart.
+#: Order lines repeat their numbers; with part and supplier they are told apart, and views drop what repeats as a whole.
 _ORD = "(l_linenumber::BIGINT * 100000000 + l_partkey * 1000 + l_suppkey % 1000)"
 TITLES = [("The ", "the"), ("Der ", "der"), ("Los ", "los"), ("Le ", "le")]
 
@@ -97,12 +97,12 @@ def q_doc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.merge_documents(rows)
 
 
-_PAGES = f"pg AS (SELECT l_orderkey AS doc_id, {_ORD} AS page_num, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE ((l_partkey % 9) + 1)::INT END AS number, ((l_suppkey % 3) + 9)::INT AS total FROM lineitem)"
+_PAGES = f"pg AS (SELECT DISTINCT l_orderkey AS doc_id, {_ORD} AS page_num, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE ((l_partkey % 9) + 1)::INT END AS number, ((l_suppkey % 3) + 9)::INT AS total FROM lineitem)"
 
 
 def _pages(spark, sf_dir) -> DataFrame:
     mark = F.concat(F.lit("正文 第"), (F.col("l_partkey") % 9 + 1).cast("string"), F.lit("页， 共"), (F.col("l_suppkey") % 3 + 9).cast("string"), F.lit("页"))
-    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("page_num"), F.when(F.col("l_partkey") % 5 == 0, "正文").otherwise(mark).alias("text"))
+    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("page_num"), F.when(F.col("l_partkey") % 5 == 0, "正文").otherwise(mark).alias("text")).distinct()
 
 
 @query(f"""WITH {_PAGES}, a AS (SELECT *, number < last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS falls, count(number) OVER (PARTITION BY doc_id) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM pg),
@@ -121,10 +121,10 @@ def q_missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _places(spark, sf_dir) -> DataFrame:
     return t.read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), (F.col("l_linenumber") % 2).alias("logical_page"), (F.col("l_partkey") % 100).cast("double").alias("y"), F.col("l_suppkey").cast("double").alias("x"),
-        F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("text"), F.col("l_linestatus"), F.col("l_returnflag"))
+        F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("text"), F.col("l_returnflag")).distinct()
 
 
-_PLACES = f"pl AS (SELECT l_orderkey AS doc_id, {_ORD} AS ord, l_linenumber % 2 AS logical_page, (l_partkey % 100)::DOUBLE AS y, l_suppkey::DOUBLE AS x, 't' || l_partkey AS text, l_linestatus, l_returnflag FROM lineitem)"
+_PLACES = f"pl AS (SELECT DISTINCT l_orderkey AS doc_id, {_ORD} AS ord, l_linenumber % 2 AS logical_page, (l_partkey % 100)::DOUBLE AS y, l_suppkey::DOUBLE AS x, 't' || l_partkey AS text, l_returnflag FROM lineitem)"
 
 
 @query(f"WITH {_PLACES} SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY logical_page, y, x, ord)::INT AS place FROM pl")
@@ -179,12 +179,12 @@ def q_section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BEFORE = ["", "账户3", "", "(一)身份信息", "授信协议2", "查询记录明细", "其他说明", "非循环贷账户", "本人版"]
 _HEADS = ["性别 出生日期", "查询机构 原因", "管理机构 借款金额", "配偶姓名"]
-_TABLES = f"tb AS (SELECT l_orderkey AS doc_id, {_ORD} AS ord, ['{"', '".join(_BEFORE)}'][(l_partkey % 9 + 1)::INT] AS preceding, ['{"', '".join(_HEADS)}'][(l_suppkey % 4 + 1)::INT] AS head, ['余额', '姓名'][(l_partkey % 2 + 1)::INT] AS first_column FROM lineitem)"
+_TABLES = f"tb AS (SELECT DISTINCT l_orderkey AS doc_id, {_ORD} AS ord, ['{"', '".join(_BEFORE)}'][(l_partkey % 9 + 1)::INT] AS preceding, ['{"', '".join(_HEADS)}'][(l_suppkey % 4 + 1)::INT] AS head, ['余额', '姓名'][(l_partkey % 2 + 1)::INT] AS first_column FROM lineitem)"
 
 
 def _tables(spark, sf_dir) -> DataFrame:
     one = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
-    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), one(_BEFORE, "l_partkey").alias("preceding"), one(_HEADS, "l_suppkey").alias("head"), one(["余额", "姓名"], "l_partkey").alias("first_column"))
+    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), one(_BEFORE, "l_partkey").alias("preceding"), one(_HEADS, "l_suppkey").alias("head"), one(["余额", "姓名"], "l_partkey").alias("first_column")).distinct()
 
 
 @query(f"""WITH {_TABLES}, o AS (SELECT *, CASE WHEN preceding = '' THEN NULL {" ".join(f"WHEN regexp_matches(preceding, '{p}') THEN '{b}'" for p, b in d.TABLE_RULES)}

@@ -149,12 +149,12 @@ def q_inst_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVENT_TEXTS = ["（一）非循环贷账户", "账户1", "管理机构 借款金额", "余额 100", "(四)贷记卡账户", "账户二", "说明", "四查询记录"]
-_EVENTS = f"ev AS (SELECT l_orderkey AS doc_id, {_ORD} AS ord, {_pick_sql(_EVENT_TEXTS, '(l_partkey + l_linenumber)')} AS text, (l_partkey + l_linenumber) % 8 IN (2, 3) AS is_table FROM lineitem)"
+_EVENTS = f"ev AS (SELECT DISTINCT l_orderkey AS doc_id, {_ORD} AS ord, {_pick_sql(_EVENT_TEXTS, '(l_partkey + l_linenumber)')} AS text, (l_partkey + l_linenumber) % 8 IN (2, 3) AS is_table FROM lineitem)"
 
 
 def _events(spark, sf_dir) -> DataFrame:
     key = F.col("l_partkey") + F.col("l_linenumber")
-    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), _pick(_EVENT_TEXTS, key).alias("text"), (key % 8).isin(2, 3).alias("is_table"))
+    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), _pick(_EVENT_TEXTS, key).alias("text"), (key % 8).isin(2, 3).alias("is_table")).distinct()
 
 
 @query(f"WITH {_EVENTS} SELECT text, CASE text WHEN '（一）非循环贷账户' THEN 'nonRevolvingLoan' WHEN '(四)贷记卡账户' THEN 'creditCard' END AS category, text = '四查询记录' AS stop, CASE WHEN text IN ('账户1', '账户二') THEN text END AS anchor, count(*) AS n FROM ev GROUP BY 1, 2, 3, 4")
