@@ -19,6 +19,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from ledgerloom.llm.common import read_path, stage
 from ledgerloom.llm.textscan import chunks
@@ -33,7 +35,7 @@ from ledgerloom.llm.textscan import chunks
 GROUP = 8192
 #: Share of the capacity, as a divisor, that is free in bins that are opened again in a further round.
 UNDERFULL = 85
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters only are split into words here; others go to the library whole.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]")
@@ -41,24 +43,28 @@ _WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ſ]+|[0-9]|[^\\sa-z0
 
 
 @lru_cache(maxsize=2)
-def _loaded(blob: bytes) -> tuple[Tokenizer, dict[str, bytes], tuple[str, ...]]:
+def _loaded(blob: bytes) -> tuple[Tokenizer, Tokenizer, dict[str, bytes], tuple[str, ...]]:
+    """The tokenizer, the same for words that are cut and in lower case already, the words met so far, and the added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_buffer(blob)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer, {}, tuple(a.content for a in tokenizer.get_added_tokens_decoder().values())
+    whole, single = Tokenizer.from_buffer(blob), Tokenizer.from_buffer(blob)
+    for t in (whole, single):
+        t.no_truncation()
+        t.no_padding()
+    single.normalizer = None
+    single.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return whole, single, {}, tuple(a.content for a in whole.get_added_tokens_decoder().values())
 
 
-def encode_texts(texts: list[str], tokenizer: Tokenizer, known: dict[str, bytes], added: tuple[str, ...]) -> list[bytes]:
+def encode_texts(texts: list[str], whole: Tokenizer, single: Tokenizer, known: dict[str, bytes], added: tuple[str, ...]) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers; words that were met before are looked up."""
     plain = [None if _UNUSUAL.search(t) or any(a in t for a in added) else _WORDS.findall(t.lower()) for t in texts]
     new = list(set().union(*(p for p in plain if p)) - known.keys())
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = list(set().union(*(p for p in plain if p)))
-    for word, done in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-        known[word] = np.array(done.ids, np.uint32).tobytes()
-    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, plain)]
+    for word, done in zip(new, single.encode_batch_fast(new, add_special_tokens=False)):
+        known[word] = array("I", done.ids).tobytes()
+    return [np.array(whole.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, plain)]
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
