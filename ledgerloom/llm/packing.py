@@ -35,7 +35,7 @@ from ledgerloom.llm.textscan import chunks
 GROUP = 8192
 #: Share of the capacity, as a divisor, that is free in bins that are opened again in a further round.
 UNDERFULL = 85
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters only are split into words here; others go to the library whole.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]")
@@ -43,8 +43,8 @@ _WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ſ]+|[0-9]|[^\\sa-z0
 
 
 @lru_cache(maxsize=2)
-def _loaded(blob: bytes) -> tuple[Tokenizer, Tokenizer, dict[str, bytes], tuple[str, ...]]:
-    """The tokenizer, the same for words that are cut and in lower case already, the words met so far, and the added tokens."""
+def _loaded(blob: bytes) -> tuple[Tokenizer, Tokenizer, tuple[str, ...]]:
+    """The tokenizer, the same for words that are cut and in lower case already, and the added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     whole, single = Tokenizer.from_buffer(blob), Tokenizer.from_buffer(blob)
     for t in (whole, single):
@@ -52,10 +52,10 @@ def _loaded(blob: bytes) -> tuple[Tokenizer, Tokenizer, dict[str, bytes], tuple[
         t.no_padding()
     single.normalizer = None
     single.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-    return whole, single, {}, tuple(a.content for a in whole.get_added_tokens_decoder().values())
+    return whole, single, tuple(a.content for a in whole.get_added_tokens_decoder().values())
 
 
-def encode_texts(texts: list[str], whole: Tokenizer, single: Tokenizer, known: dict[str, bytes], added: tuple[str, ...]) -> list[bytes]:
+def encode_texts(texts: list[str], whole: Tokenizer, single: Tokenizer, added: tuple[str, ...], known: dict[str, bytes]) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers; words that were met before are looked up."""
     plain = [None if _UNUSUAL.search(t) or any(a in t for a in added) else _WORDS.findall(t.lower()) for t in texts]
     new = list(set().union(*(p for p in plain if p)) - known.keys())
@@ -74,11 +74,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: i
     end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches):
-        loaded = _loaded(shared.value)
+        loaded, known = _loaded(shared.value), {}  # words go when the task ends; its worker may run other stages next
         for batch in batches:
             for part in chunks(batch):
                 out = []
-                for i, ids in zip(part["doc_id"].to_pylist(), encode_texts([t or "" for t in part["text"].to_pylist()], *loaded)):
+                for i, ids in zip(part["doc_id"].to_pylist(), encode_texts([t or "" for t in part["text"].to_pylist()], *loaded, known)):
                     ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[a : a + 4 * capacity]
