@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +61,60 @@ def test_grammar_weighs_clauses():
     assert g.score("")[0] == 0.0
 
 
+def brute_grammar(weights, text):
+    """Every clause word by word, with each factor worked out from the words before instead of a machine."""
+    kind_of = {w: k for k, words_ in toxicity.WORDS.items() for w in words_.split()}
+    scores = []
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        said = [m[0] for m in re.finditer(r"[^\W_]+(?:'[^\W\d_]+)?", clause)]
+        kinds, score = [], 0.0
+        for at, word in enumerate(said):
+            kind, weight = kind_of.get(word, toxicity.OTHER), weights.get(word)
+            if weight is None:
+                weight = next((weights[word[:n] + "*"] for n in range(1, len(word) + 1) if word[:n] + "*" in weights), None)
+            if weight is not None and kind != toxicity.THREAT:
+                kind = toxicity.INSULT
+            hit, hits = kind in (toxicity.INSULT, toxicity.THREAT), (toxicity.INSULT, toxicity.THREAT)
+            if kind == toxicity.TARGET:
+                score += 0.5 if any(k in hits for k in kinds[-2:]) and toxicity.TARGET not in kinds[-1:] else 0.0
+            if hit:
+                factor = 1.2 if kind == toxicity.INSULT and kinds[-1:] == [toxicity.INSULT] else 1.0
+                if kind == toxicity.THREAT:
+                    factor *= 1.5 if toxicity.SELF in kinds else 0.2
+                last = max((k for k in range(len(kinds)) if kinds[k] in hits), default=-1)
+                near = [k for k in kinds[max(last + 1, at - 3) :]]
+                factor *= 1.5 if toxicity.TARGET in near else 1.0
+                factor *= 0.25 if toxicity.NEGATION in kinds[-3:] else 1.0
+                factor *= 0.5 if toxicity.REPORT in kinds else 1.0
+                score += (1.0 if weight is None else weight) * factor
+            kinds.append(kind)
+        scores.append(score)
+    return max(scores), sum(scores)
+
+
+def test_grammar_equals_brute_force_on_whole_clauses():
+    rng = random.Random(11)
+    weights = {"idiot": 4.0, "moron": 3.0, "kill": 2.0, "vequ*": 6.0, "brax*": 2.5}
+    g = toxicity.Grammar(weights)
+    likely = ["idiot", "moron", "kill", "vequor", "braxen", "you", "they", "not", "never", "said", "wrote", "I", "will", "Idiot's", "xidiot", "don't"]
+    plain = ["river", "stone", "über", "a_b", "x1", "été", "l'eau", "o'idiot"]
+    for n in [0, 1, 5, 40, 300, 4000] * 6:
+        spread = rng.choice([0.02, 0.2, 0.6])
+        said = [rng.choice(likely) if rng.random() < spread else rng.choice(plain) for _ in range(n)]
+        text = "".join(w + rng.choice([" "] * 8 + (["; ", ".", "\n", "_", ", "] if n < 1000 else [", "])) for w in said)
+        assert g.score(text) == pytest.approx(brute_grammar(weights, text)), text[:300]
+
+
+def test_long_clauses_keep_their_state():
+    g = toxicity.Grammar({"idiot": 4.0})
+    far = "stone " * 5000
+    assert g.score(f"they wrote that {far} idiot")[0] == 2.0
+    assert g.score(f"idiot {far} idiot {far} idiot") == (12.0, 12.0)
+    began = time.perf_counter()
+    g.score(("idiot stone. " * 100_000) + far * 20)
+    assert time.perf_counter() - began < 20
+
+
 def test_composition_multiplies_factors():
     machine = toxicity.compose(toxicity._insult(), toxicity._window(toxicity.NEGATION, 2, 0.5))
     state, factor, _ = machine[0][toxicity.NEGATION]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -139,6 +140,41 @@ def test_importance_keeps_the_largest_keys(docs, labels, rows):
     assert {r.log_weight for r in got if not words(dict(rows)[r.doc_id])} == {0.0}
 
 
+def test_importance_equals_brute_force(spark, docs, labels, rows):
+    """Weights from n-grams counted in plain Python; keys from the noise's stated formula; the k largest by sorting."""
+    from pyspark.sql import functions as F
+
+    grams = {}
+    for i, text in rows:
+        own = words(text, fold=True)
+        grams[i] = [(w,) for w in own] + list(zip(own, own[1:]))
+    bucket = {}
+    for gram in {g for own in grams.values() for g in own}:
+        at, _ = importance._ngrams(pa.array([" ".join(gram)]))
+        bucket[gram] = int(at[-1])  # the text's only bigram stands last
+    raw, target = Counter(), Counter()
+    for i, own in grams.items():
+        raw.update(bucket[g] for g in own)
+        if i % 3:
+            target.update(bucket[g] for g in own)
+    n, m = sum(raw.values()), sum(target.values())
+
+    def weight(g):
+        share = (raw[bucket[g]] + 1) / (n + importance.BUCKETS)
+        return math.log((target[bucket[g]] + 200 * share) / (m + 200)) - math.log(share)
+
+    hashed = {r.i: r.h for r in spark.createDataFrame([(i,) for i in grams], "i long").select("i", F.xxhash64("i", F.lit(61)).alias("h")).collect()}
+    want = {}
+    for i, own in grams.items():
+        total = sum(weight(g) for g in own)
+        want[i] = total, total - math.log(-math.log((hashed[i] % (1 << 40) + 0.5) / (1 << 40)))
+    got = {r.doc_id: r for r in importance.select_texts(docs, labels, keep=40).collect()}
+    assert got.keys() == want.keys()
+    for i, (total, key) in want.items():
+        assert got[i].log_weight == pytest.approx(total, abs=1e-6) and got[i].sample_key == pytest.approx(key, abs=1e-6)
+    assert {i for i, r in got.items() if r.kept} == set(sorted(want, key=lambda i: -want[i][1])[:40])
+
+
 def test_importance_tells_target_from_raw(spark):
     rng = random.Random(4)
     good, bad = [[f"{p}{k}" for k in range(40)] for p in "gb"]
