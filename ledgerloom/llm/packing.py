@@ -3,10 +3,10 @@
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt at random
 into groups of about ``GROUP`` rows; each group is packed in one task: pieces in
 falling length into the fullest bin that holds them, then a local search that moves a
-document, exchanges one for one, or two for one between underfull bins. Every step
-takes tokens out of the emptier bin, so the sum of squared fills rises until bins run
-empty or no step is left. Bins that stay underfull are opened again and meet those of
-other groups in a further round, until one group holds them all or opening saves none.
+document, exchanges one for one, or two for one between any underfull bins. Every step
+raises the sum of squared fills, so bins run empty until no step is left. Bins that
+stay underfull are dealt anew as they are and searched with those of other groups in a
+further round, until one group holds them all or a round saves no sequence.
 
 Rows carry lengths and checksums, not texts. Defined results: null and empty texts
 are a single end token; repeated rows and null ids are packed as rows of their own; an
@@ -15,7 +15,6 @@ empty table gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
-import bisect
 import os
 import re
 import zlib
@@ -33,9 +32,8 @@ from ledgerloom.llm.common import read_path, stage
 from ledgerloom.llm.textscan import chunks
 
 GROUP = 8192
-#: Share of the capacity, as a divisor, that is free in bins that are opened again in a further round.
-UNDERFULL = 85
 REMEMBERED = 300_000
+_NEVER = 1 << 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters only are split into words here; others go to the library whole.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]")
@@ -111,83 +109,128 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = 64) -> list[list[int]]:
-    """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
+class _OpenBins:
+    """Underfull bins. ``held`` says by number of items (one or two), size and bin whether the bin holds items of that size together; ``least`` is the lowest fill of such a bin."""
 
-    The emptiest bin gives; the ``tries`` fullest of the underfull bins that can gain take.
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.items = [list(b) for b in bins]
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.held = [np.zeros((capacity + 1, len(bins)), bool) for _ in range(2)]
+        self.least = [np.full(capacity + 1, _NEVER) for _ in range(2)]
+        self.sizes = [self._sums(k) for k in range(len(bins))]
+        for k in range(len(bins)):
+            self.put(k)
+
+    def _sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct sizes of a bin's items, and of its pairs of items."""
+        sizes, times = np.unique([self.lengths[i] for i in self.items[k]], return_counts=True)
+        sizes = sizes.astype(np.int64)
+        a, b = np.triu_indices(len(sizes), 1)
+        return sizes, np.unique(np.concatenate([sizes[a] + sizes[b], 2 * sizes[times > 1]]))
+
+    def put(self, k: int) -> None:
+        for held, least, sizes in zip(self.held, self.least, self.sizes[k]):
+            held[sizes, k] = True
+            least[sizes] = np.minimum(least[sizes], self.fill[k])
+
+    def remove(self, k: int) -> None:
+        for held, least, sizes in zip(self.held, self.least, self.sizes[k]):
+            held[sizes, k] = False
+            own = sizes[least[sizes] == self.fill[k]]
+            least[own] = np.where(held[own], self.fill, _NEVER).min(axis=1)
+
+    def best_step(self, k: int) -> tuple[int, int, int, int, int] | None:
+        """The step by which bin ``k``, which is taken out, gains most: (giver, items it gives, their size, items it gets, their size).
+
+        The sum of squared fills rises when the taker ends fuller than the giver was.
+        """
+        gains = np.arange(1, self.capacity - int(self.fill[k]) + 1)
+        best, step = 0, None
+        sizes, pairs = self.sizes[k]
+        for give, back, taken in ((0, 0, np.zeros(1, np.int64)), (0, 1, sizes), (1, 1, sizes), (0, 2, pairs)):
+            if len(taken) and best < len(gains):
+                hits = self.least[give][taken[:, None] + gains[best:]] < self.fill[k] + gains[best:]
+                found = np.flatnonzero(hits.any(axis=0))
+                if len(found):
+                    best += int(found[-1]) + 1
+                    size = int(taken[hits[:, found[-1]].argmax()])
+                    step = (give, size + best, back, size)
+        if not step:
+            return None
+        give, size, back, back_size = step
+        giver = int(np.where(self.held[give][size], self.fill, _NEVER).argmin())
+        return giver, give + 1, size, back, back_size
+
+    def _pick(self, k: int, n: int, size: int) -> list[int]:
+        """``n`` items of bin ``k`` that are ``size`` tokens together."""
+        if n < 2:
+            return [next(i for i in self.items[k] if self.lengths[i] == size)] if n else []
+        seen: dict[int, int] = {}
+        for i in self.items[k]:
+            if (j := seen.get(size - self.lengths[i])) is not None:
+                return [j, i]
+            seen[self.lengths[i]] = i
+        raise ValueError("no such items")
+
+    def apply(self, k: int, step: tuple[int, int, int, int, int]) -> None:
+        giver, n, size, back_n, back = step
+        give, take = self._pick(giver, n, size), self._pick(k, back_n, back)
+        self.remove(giver)
+        for b, gone, new in ((giver, give, take), (k, take, give)):
+            for i in gone:
+                self.items[b].remove(i)
+            self.items[b].extend(new)
+            self.sizes[b] = self._sums(b)
+        self.fill[giver] -= size - back
+        self.fill[k] += size - back
+        self.put(giver)
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Move documents, and exchange one for one or two for one, between any underfull bins until no step raises the sum of squared fills.
+
+    The fullest bin comes first; each takes what raises its fill most, out of the emptiest
+    bin that can give it. Bins take turns until none changes. Each step raises a bounded
+    whole number, so the search ends.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    order = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    for at, giver in enumerate(order):
-        takers = [k for k in order[at + 1 :] if fill[k] < capacity][-tries:]
-        changed = True
-        while bins[giver] and changed:
-            changed = False
-            for k in takers:
-                free = capacity - fill[k]
-                if free and fill[k] >= fill[giver] and (step := _best_step(bins[giver], bins[k], lengths, free)):
-                    give, take = step
-                    for i in give:
-                        bins[giver].remove(i)
-                        bins[k].append(i)
-                    for i in take:
-                        bins[k].remove(i)
-                        bins[giver].append(i)
-                    moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    fill[k] += moved
-                    fill[giver] -= moved
-                    changed = True
-                    if not bins[giver]:
-                        break
-        if bins[giver]:
-            break
-    return [b for b in bins if b]
-
-
-def _best_step(giver: list[int], taker: list[int], lengths: list[int], free: int) -> tuple[list[int], list[int]] | None:
-    """What to give and to take back so that the taker gains most, at most ``free`` tokens."""
-    best, step = 0, None
-    mine = sorted((lengths[i], i) for i in giver)
-    for size, i in mine:
-        if best < size <= free:
-            best, step = size, ([i], [])
-    theirs = sorted((lengths[j], j) for j in taker)
-    sizes = [s for s, _ in theirs]
-    for size, i in mine:  # one for one
-        at = bisect.bisect_left(sizes, size - free)
-        if at < len(sizes) and best < size - sizes[at] <= free:
-            best, step = size - sizes[at], ([i], [theirs[at][1]])
-    for a in range(len(mine)):  # two for one, and one for two
-        for b in range(a + 1, len(mine)):
-            size = mine[a][0] + mine[b][0]
-            at = bisect.bisect_left(sizes, size - free)
-            if at < len(sizes) and best < size - sizes[at] <= free:
-                best, step = size - sizes[at], ([mine[a][1], mine[b][1]], [theirs[at][1]])
-        if a > 40:
-            break
-    own = [s for s, _ in mine]
-    for a in range(min(len(theirs), 40)):
-        for b in range(a + 1, min(len(theirs), 40)):
-            size = theirs[a][0] + theirs[b][0]
-            at = bisect.bisect_right(own, size + free) - 1
-            if at >= 0 and best < own[at] - size:
-                best, step = own[at] - size, ([mine[at][1]], [theirs[a][1], theirs[b][1]])
-    return step
+    done = [b for b, f in zip(bins, fill) if f == capacity]
+    found = _OpenBins([b for b, f in zip(bins, fill) if f < capacity], lengths, capacity)
+    changed = True
+    while changed:
+        changed = False
+        for k in np.argsort(-found.fill, kind="stable").tolist():
+            found.remove(k)
+            while 0 < found.fill[k] < capacity and (step := found.best_step(k)):
+                found.apply(k, step)
+                changed = True
+            found.put(k)
+    return done + [b for b in found.items if b]
 
 
 def _pack_group(capacity: int, turn: int):
+    """Best fit for pieces without a sequence, then the search over all sequences of the group."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lengths = table["length"].to_pylist()
-        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        if turn:
+            own: dict[int, list[int]] = {}
+            for i, k in enumerate(table["sequence_id"].to_pylist()):
+                own.setdefault(k, []).append(i)
+            bins = list(own.values())
+        else:
+            bins = best_fit(lengths, capacity)
+        bins = local_search(bins, lengths, capacity)
         order, sequence, offset, free = [], [], [], []
-        for k, own in enumerate(bins):
+        for k, held in enumerate(bins):
             at = 0
-            for i in own:
+            for i in held:
                 order.append(i)
                 sequence.append((turn << 56) | (key[0].as_py() << 20) | k)
                 offset.append(at)
                 at += lengths[i]
-            free += [capacity - at] * len(own)
+            free += [capacity - at] * len(held)
         out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).take(pa.array(order, pa.int64()))
         for name, values in (("sequence_id", sequence), ("offset", offset), ("free", free)):
             out = out.append_column(name, pa.array(values, pa.int64()))
@@ -198,19 +241,21 @@ def _pack_group(capacity: int, turn: int):
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Add sequence_id and offset to pieces."""
-    done, left = [], stage(pieces, "pieces")
-    n, turn = left.count(), 0
+    done, left = [], stage(pieces.withColumn("sequence_id", F.lit(0).cast("long")), "pieces")
+    rows, bins, turn = left.count(), None, 0
     while True:
-        groups = -(-n // GROUP) or 1
-        dealt = left.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
+        groups = -(-rows // GROUP) or 1
+        # pieces are dealt one by one at first, sequences as a whole later
+        by = F.col("sequence_id") if turn else F.monotonically_increasing_id()
+        dealt = left.withColumn("group", F.pmod(F.xxhash64(by, F.lit(turn)), F.lit(groups)))
         packed = stage(dealt.groupBy("group").applyInArrow(_pack_group(capacity, turn), f"{PIECES}, sequence_id long, offset long, free long"), "packed")
-        again = packed.filter(F.col("free") >= max(1, capacity // UNDERFULL)).drop("sequence_id", "offset", "free")
-        m = again.count() if groups > 1 else 0
-        if not m or 10 * m > 9 * n:
+        open_ = packed.filter("free > 0")
+        rows, after, all_bins = packed.selectExpr("count_if(free > 0)", "count_if(free > 0 AND offset = 0)", "count_if(offset = 0)").head()
+        if groups == 1 or not rows or all_bins == bins:
             done.append(packed)
             break
-        done.append(packed.filter(F.col("free") < max(1, capacity // UNDERFULL)))
-        left, n, turn = again, m, turn + 1
+        done.append(packed.filter("free = 0"))
+        left, bins, turn = open_.drop("offset", "free"), after, turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.union(more)

@@ -63,20 +63,22 @@ def test_packing_pieces_and_sequences(spark, texts):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(by_bin) <= -(-total // 256) + 2
+    assert -(-total // 256) <= len(by_bin) <= len(packing.best_fit([r.length for r in done], 256))
 
 
 def test_packing_over_several_groups(spark, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP", 50)
+    """Several groups and rounds use fewer sequences than best fit over all pieces at once."""
+    monkeypatch.setattr(packing, "GROUP", 150)
     rng = random.Random(3)
-    rows = [(k, 0, 0, rng.randint(1, 100), 0) for k in range(600)]
+    rows = [(k, 0, 0, rng.randint(25, 50), 0) for k in range(600)]
     done = packing.pack(spark.createDataFrame(rows, packing.PIECES), 128).collect()
-    assert sorted(r.doc_id for r in done) == list(range(600))
+    assert sorted((r.doc_id, r.length) for r in done) == sorted((r[0], r[3]) for r in rows)
     fill = Counter()
-    for r in done:
+    for r in sorted(done, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 128
-    assert len(fill) <= len(packing.best_fit([r[3] for r in rows], 128)) + 5
+    assert len(fill) < len(packing.best_fit([r[3] for r in rows], 128))
 
 
 def test_local_search_empties_a_bin():
@@ -85,6 +87,40 @@ def test_local_search_empties_a_bin():
     assert len(bins) == 2 and sorted(sum(bins, [])) == list(range(6))
 
 
+@pytest.mark.parametrize(("low", "high"), [(1000, 2000), (700, 1500), (600, 1100)])
+def test_local_search_beats_best_fit(low, high, monkeypatch):
+    lengths = np.random.default_rng(low).integers(low, high, 1500).tolist()
+    first = packing.best_fit(lengths, 4096)
+    squares = []
+    apply = packing._OpenBins.apply
+
+    def noted(self, k, step):
+        before = int((self.fill**2).sum())
+        apply(self, k, step)
+        squares.append((before, int((self.fill**2).sum())))
+        assert self.fill.tolist() == [sum(lengths[i] for i in b) for b in self.items]
+
+    monkeypatch.setattr(packing._OpenBins, "apply", noted)
+    bins = packing.local_search(first, lengths, 4096)
+    assert sorted(sum(bins, [])) == list(range(1500)) and max(sum(lengths[i] for i in b) for b in bins) <= 4096
+    assert len(bins) < len(first)
+    assert squares and all(a < b for a, b in squares)
+
+
+def test_local_search_leaves_no_step():
+    """No move, one-for-one or two-for-one exchange between two bins raises the sum of squared fills any more."""
+    lengths = np.random.default_rng(8).integers(3, 40, 60).tolist()
+    bins = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    of = lambda b: {0: [0], 1: [lengths[i] for i in b], 2: [lengths[b[i]] + lengths[b[j]] for i in range(len(b)) for j in range(i)]}
+    sums = [of(b) for b in bins]
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            for give, back in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                for d in {x - y for x in sums[b][give] for y in sums[a][back]} if a != b and fill[a] < 100 and fill[b] < 100 else ():
+                    assert not 0 < d <= 100 - fill[a] or fill[a] + d <= fill[b]
+
+
 def test_packing_odd_rows(odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert packing.pack_documents(none, path).count() == 0
