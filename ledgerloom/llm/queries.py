@@ -47,7 +47,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.expr(f"size(filter(base, s -> s.kind = '{kind}'))").cast("long").alias(f"n_{kind}")
     return secrets.find_secrets(read_table(spark, sf_dir, "documents")).select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
-        secrets.listed("array_sort(concat(base, added))").alias("spans"))
+        secrets.listed("sort_array(concat(base, added))").alias("spans"))
 
 
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,51 @@ def test_secret_patterns_equal_brute_force(spark, model):
     assert added == {7: ["9bFlIkpYt5HfavHYMD5hzcS7hsPRxCcQPDRMQYnrLx571dR"]}
 
 
+def test_spans_and_masks_equal_brute_force(spark, model):
+    """Random mixtures of secrets, runs and other text: runs that overlap no base span, and masks over what all spans cover."""
+    rng = random.Random(21)
+    letters = secrets.LETTERS
+    parts = [
+        lambda: "".join(rng.choices(letters, k=rng.randint(1, 60))), lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(20, 50))), lambda: "AKIA" + "".join(rng.choices("ABCXYZ019", k=rng.randint(5, 20))),
+        lambda: rng.choice(["token", "Secret", "api_key", "passwd"]) + rng.choice(["=", ": ", "' = \""]) + "".join(rng.choices("abcdef0189/_.", k=rng.randint(3, 50))), lambda: rng.choice([" ", "\n", "é", "🤦", "漢", ", "])]
+    texts = ["".join(rng.choice(parts)() for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find_secrets(frame, model=model).collect()
+    assert sum(len(r.added) for r in found) > 20
+    want = {}
+    for r in found:
+        text = texts[r.doc_id]
+        base = base_spans(text)
+        assert [(b.start, b.kind_at, b.kind, b.end) for b in r.base] == base
+        runs = [m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(m.start() < b[3] and b[0] < m.end() for b in base)]
+        ratio = lambda v: sum(model[(letters.find(a) + 1) * (len(letters) + 1) + letters.find(b) + 1] for a, b in zip(v, v[1:]))
+        assert [(a.start, a.end) for a in r.added] == [m.span() for m in runs if ratio(m[0]) >= secrets.LEAST_RATIO]
+        at, out = 0, []
+        for a, b in sorted([(x[0], x[3]) for x in base] + [(x.start, x.end) for x in r.added]):
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        want[r.doc_id] = "".join(out) + text[at:]
+    assert {r.doc_id: r.text for r in secrets.mask_secrets(frame, model=model).collect()} == want
+
+
+def test_long_runs_and_very_many_secrets(spark, model):
+    rng = random.Random(2)
+    run = "".join(rng.choices(secrets.LETTERS, k=1_000_000))
+    many = "é token=abcdefgh1 " * 20_000
+    frame = spark.createDataFrame([(1, run), (2, many), (3, many + run)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.find_secrets(frame, model=model).selectExpr("doc_id", "size(base) AS n", "try_element_at(base, -1).end AS last", "added").collect()}
+    took = time.perf_counter() - began
+    assert got[1].n == 0 and [(a.start, a.end) for a in got[1].added] == [(0, 1_000_000)]
+    assert (got[2].n, got[2].last, got[2].added) == (20_000, len(many) - 1, [])
+    assert got[3].n == 20_000 and [(a.start, a.end) for a in got[3].added] == [(len(many), len(many) + 1_000_000)]
+    began = time.perf_counter()
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(frame.filter("doc_id = 2"), model=model).collect()}
+    assert masked[2] == "é [SECRET] " * 20_000
+    assert took < 40 and time.perf_counter() - began < 40
+
+
 def test_masking_keeps_the_rest(spark, odd, none):
     frame = spark.createDataFrame([(i, t, len(t or ""), "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long, source string")
     got = {r.doc_id: r for r in secrets.mask_secrets(frame).collect()}
