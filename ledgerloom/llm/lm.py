@@ -1,202 +1,195 @@
-"""Language-model scores from a weighted backoff automaton.
-
-States are histories: the start of a text, every word that makes up ``STATE_SHARE`` of
-all training tokens or more, and the empty history. A state has an arc for each word
-whose pair with the state makes up ``PAIR_SHARE`` of the tokens or more, with the
-discounted probability of the pair, and one failure arc to the empty history that
-carries the rest of the mass. The empty history's arcs are add-one unigrams over all
-training words, with one part for unknown ones. Probabilities of each state sum to 1.
-One pass from left to right carries the state and adds up log-probabilities.
-
-Counts cover all training texts. Shares bound what is broadcast: at most 1/share words
-or pairs reach them, whatever the corpus' size. All other words' counts stay in a
-table; their occurrences meet it in a join, and since each is rarer than
-``WORD_SHARE``, no key of that join is hot. Counts are added up inside tasks before
-they are shuffled.
+"""Language-model scores from a weighted backoff automaton over all trigrams, bigrams and words.
+
+States are histories: two words, one word (or the start of a text), and the empty one. A
+state has an arc for every n-gram of the training texts that begins with it, and one
+failure arc to the history without its first word. With c the training count, h the
+history's count, and p' the weight that the next shorter history gives the word, an arc
+weighs (c + s p') / (h + s) and the failure arc s / (h + s), so each state's
+probabilities sum to one; ``STRENGTH`` holds s. The empty history's arcs are add-one
+unigrams, with one part for unknown words. One pass from left to right carries the
+state; where it has no arc, failure arcs are followed one by one.
+
+All n-grams are counted, none is pruned, and the counts table is never gathered in one
+place: texts are cut into blocks, each block hands in its distinct n-grams once, with
+its own training counts, and gets back the totals that differ from its own. A key has
+at most one row a block, so that of the commonest n-gram is small beside the text it
+stands for. A block meets its answers in one task and needs no other part of the model.
+Numbers of tokens, distinct words and training texts are all that reaches the driver.
 
 Defined results: null and empty texts hold the end token alone; rows with a null id
 are learned from and not held out; repeated rows are counted and scored each; with no
 training text every probability is that of an unknown word; an empty table gives an
-empty result; only the id and text columns are read.
+empty result; only the id and text columns are read. ``docs`` is read twice and must
+give the same rows in the same partitions; a block that differs raises an error.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stage
-from ledgerloom.llm.textscan import FOLDED, chunks, crc_held_out, words
+from ledgerloom.llm.textscan import FOLDED, chunks, crc_held_out, mix, words
 
-#: Least shares of all training tokens: for a word to be broadcast, to be a history, and for a pair to be an arc.
-WORD_SHARE, STATE_SHARE, PAIR_SHARE = 2e-6, 2e-5, 1e-6
-DISCOUNT = 0.5
-#: Hash of the end token, which no word has but by chance.
-END = np.int64(-0x7E57_0000_0000_0001)
-#: Words that a task counts before it hands counts on.
-COUNTED_AT_ONCE = 3_000_000
+#: Pseudo-counts given to the next shorter history, of bigrams and of trigrams.
+STRENGTH = (800.0, 5.0)
+#: Bytes of text in a block, about; a longer text is a block of its own.
+BLOCK_BYTES = 4 << 20
+#: Hash of the end token, which no word has but by chance, and of the start state.
+END, START = np.uint64(0x81AC_FFFF_FFFF_FFFF), np.uint64(0x5EED_0F0A_11E7_E875)
+#: The last two bits of a key tell an n-gram's order; 0 marks a block's checksum.
+_ORDER = np.int64(3)
+_ROWS = 1 << 18
 
 
-def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens, ends included, and where each text begins."""
-    w = words(part["text"], FOLDED)
+    w = words(texts, FOLDED)
     n = w.counts
-    first = w.first + np.arange(len(w.first))
-    out = np.full(len(w.hash) + len(n), END, np.int64)
-    out[np.arange(len(w.hash)) + np.repeat(np.arange(len(n)), n)] = w.hash.view(np.int64)
-    return out, first
+    out = np.full(len(w.hash) + len(n), END, np.uint64)
+    out[np.arange(len(w.hash)) + np.repeat(np.arange(len(n)), n)] = w.hash
+    return out, w.first + np.arange(len(w.first))
 
 
-def _sums(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(keys), return_counts=True)
+def ngram_keys(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Keys of the word, bigram and trigram that end at each token; 0 for the trigram of a text's first token."""
+    one = np.append(START, tokens[:-1])[: len(tokens)]
+    one[first[:-1]] = START
+    two = np.append(START, one[:-1])[: len(tokens)]
+    pair = mix(one * np.uint64(0x9E3779B97F4A7C15) + tokens)
+    keys = [mix(tokens), pair, mix(mix(two + np.uint64(0x5851F42D)) * np.uint64(0x9E3779B97F4A7C15) + pair)]
+    keys = [(k.view(np.int64) & ~_ORDER) | (n + 1) for n, k in enumerate(keys)]
+    keys[2][first[:-1]] = 0
+    return keys
 
 
-def _counted(docs: DataFrame, make, modulus: int, remainder: int) -> DataFrame:
-    """Keys that ``make`` (of a text's tokens and beginnings) gives for training texts, with their counts."""
+def _distinct(keys: list[np.ndarray], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, in order, and how often each stands in training texts."""
+    flat, learned = np.concatenate(keys), np.tile(train, len(keys))
+    flat, learned = flat[flat != 0], learned[flat != 0]
+    found, at = np.unique(flat, return_inverse=True)
+    return found, np.bincount(at[learned], minlength=len(found))
+
+
+def _checksum(keys: list[np.ndarray]) -> int:
+    return int(np.sum(mix(keys[1].view(np.uint64))).view(np.int64))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Table]]:
+    """A task's rows in blocks of about ``most`` bytes, with their numbers."""
+    number = TaskContext.get().partitionId() << 24
+    held, size = [], 0
+    for batch in batches:
+        for part in chunks(batch):
+            if held and size + part.nbytes > most:
+                yield number, pa.Table.from_batches(held)
+                number, held, size = number + 1, [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+def _asked(docs: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    """A row for each distinct n-gram of each block (block, key, c), and one for the block's checksum."""
+
+    most = BLOCK_BYTES
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for part in chunks(batch):
-                train = np.flatnonzero(~crc_held_out(part["doc_id"].to_pylist(), modulus, remainder))
-                if not len(train):
-                    continue
-                keys = make(*_tokens(part.take(pa.array(train))))
-                held.append(keys)
-                size += len(keys)
-                if size >= COUNTED_AT_ONCE:
-                    k, c = _sums(held)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
-                    held, size = [], 0
-        if held:
-            k, c = _sums(held)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
-
-    return docs.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Automaton:
-    """Broadcast part of the model. Words are numbered by their place in ``word``; the start state is numbered after them."""
-
-    word: np.ndarray
-    count: np.ndarray
-    tokens: int
-    types: int
-    pair: np.ndarray
-    pair_log: np.ndarray
-    fail_log: np.ndarray
-
-    @property
-    def unknown_log(self) -> float:
-        return -np.log10(self.tokens + self.types + 1)
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Each token's number; -1 for words that are not broadcast."""
-        if not len(self.word):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
-        return np.where(self.word[at] == hashes, at, -1)
-
-    def traverse(self, number: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log10 weight of each step; for words that are not broadcast, without the empty history's own arc."""
-        state = np.empty(len(number), np.int64)
-        state[1:] = number[:-1]
-        state[first[:-1]] = len(self.word)
-        uni = np.where(number >= 0, np.log10(self.count[np.maximum(number, 0)] + 1.0) + self.unknown_log if len(self.word) else 0.0, 0.0)
-        out = np.where(state >= 0, self.fail_log[np.maximum(state, 0)], 0.0) + uni
-        if len(self.pair):
-            key = (state << 32) | number
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            hit = (self.pair[at] == key) & (state >= 0) & (number >= 0)
-            out[hit] = self.pair_log[at[hit]]
-        return out
-
-
-def build_automaton(word: np.ndarray, count: np.ndarray, tokens: int, types: int, starts: int, pair: np.ndarray, pair_count: np.ndarray) -> Automaton:
-    """Discount the pairs and give what is left to the failure arcs."""
-    state, after = pair >> 32, pair & 0xFFFFFFFF
-    history = np.append(count, starts).astype(float)
-    p = (pair_count - DISCOUNT) / history[state]
-    uni = (count[after] + 1.0) / (tokens + types + 1)
-    taken, covered = np.bincount(state, p, len(history)), np.bincount(state, uni, len(history))
-    fail = np.log10(np.maximum(1 - taken, 1e-12)) - np.log10(np.maximum(1 - covered, 1e-12))
-    return Automaton(word, count, tokens, types, pair, np.log10(p), fail)
-
-
-def learn(docs: DataFrame, modulus: int, remainder: int) -> tuple[DataFrame, Automaton]:
-    """All training words' counts (key, c), and the automaton."""
-    counts = stage(_counted(docs, lambda tokens, first: tokens, modulus, remainder), "words")
-    n, v, starts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("key") == int(END), F.col("c"))), F.lit(0))).head()
-    # at most 1 / WORD_SHARE rows
-    often = counts.filter(F.col("c") >= max(1, WORD_SHARE * n)).toArrow()
-    word, count = often["key"].to_numpy(), often["c"].to_numpy()
-    order = np.argsort(word)
-    word, count = word[order], count[order]
-    model = Automaton(word, count, n, v, np.zeros(0, np.int64), np.zeros(0), np.zeros(len(word) + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((model, np.append(count >= STATE_SHARE * n, True)))
-
-    def pairs(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        model, state_word = shared.value
-        number = model.number(tokens)
-        state = np.empty(len(number), np.int64)
-        state[1:] = number[:-1]
-        state[first[:-1]] = len(model.word)
-        ok = (state >= 0) & (number >= 0)
-        state, number = state[ok], number[ok]
-        ok = state_word[state] & state_word[number]
-        return (state[ok] << 32) | number[ok]
-
-    # at most 1 / PAIR_SHARE rows
-    found = _counted(docs, pairs, modulus, remainder).filter(F.col("c") >= max(2, PAIR_SHARE * n)).toArrow()
-    pair, pair_count = found["key"].to_numpy(), found["c"].to_numpy()
-    order = np.argsort(pair)
-    return counts, build_automaton(word, count, n, v, starts, pair[order], pair_count[order])
-
-
-SCANNED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
-
-
-def _scan(docs: DataFrame, model: Automaton, modulus: int, remainder: int) -> DataFrame:
-    """Every text's sums over broadcast words and arcs, and the other words of it."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        for number, table in _blocks(batches, most):
+            tokens, first = tokens_of(table["text"].combine_chunks())
+            keys = ngram_keys(tokens, first)
+            train = np.repeat(~crc_held_out(table["doc_id"].to_pylist(), modulus, remainder), np.diff(first))
+            found, c = _distinct(keys, train)
+            found, c = np.append(found, number << 2), np.append(c, _checksum(keys))
+            for a in range(0, len(found), _ROWS):
+                own = found[a : a + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own), pa.array(c[a : a + _ROWS])], ["block", "key", "c"])
+
+    return docs.mapInArrow(run, "block long, key long, c long")
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with their blocks' numbers."""
+    most = BLOCK_BYTES
 
     def run(batches):
-        model, row = shared.value, TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for part in chunks(batch):
-                tokens, first = _tokens(part)
-                number = model.number(tokens)
-                add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  no text is without tokens
-                common = number >= 0
-                base = np.where(common, np.log10(model.count[np.maximum(number, 0)] + 1.0) + model.unknown_log, 0.0) if len(model.word) else np.zeros(len(number))
-                rare_first = np.concatenate([[0], np.cumsum(~common)])[first]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row + np.arange(len(part))), part["doc_id"], pa.array(crc_held_out(part["doc_id"].to_pylist(), modulus, remainder)), pa.array(np.diff(first)),
-                    pa.array(add(common.astype(np.int64))), pa.array(add(base)), pa.array(add(model.traverse(number, first))),
-                    pa.ListArray.from_arrays(pa.array(rare_first.astype(np.int32)), pa.array(tokens[~common]))], [f.split()[0] for f in SCANNED.split(", ")])
-                row += len(part)
-
-    return docs.mapInArrow(run, SCANNED)
-
-
-def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
+        for number, table in _blocks(batches, most):
+            yield from table.append_column("block", pa.array(np.full(len(table), number))).to_batches()
+
+    return docs.mapInArrow(run, "doc_id long, text string, block long")
+
+
+def walk(counts: list[np.ndarray], first: np.ndarray, tokens: int, types: int, texts: int, strength: tuple[float, float] = STRENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 weights of each step, by unigrams alone and through the automaton.
+
+    ``counts`` holds for each token the training counts of the word, bigram and trigram that end at it.
+    """
+    before = [np.append(0, c[:-1])[: len(c)] for c in counts]
+    before[0][first[:-1]] = texts
+    arc = (counts[0] + 1.0) / (tokens + types + 1)
+    base = np.log10(arc)
+    arcs, fails, states = [arc], [np.ones(len(arc))], [np.ones(len(arc), bool)]
+    for c, h, s in zip(counts[1:], before, strength):
+        known = h > 0
+        if len(arcs) == 2:
+            known[first[:-1]] = False  # a text's first token has the start state before it, and no longer one
+        arcs.append((c + s * arcs[-1]) / (h + s))
+        fails.append(s / (h + s))
+        states.append(known)
+    score, left = np.zeros(len(arc)), np.ones(len(arc), bool)
+    for order in (2, 1, 0):
+        here = left & states[order]
+        taken = here & (counts[order] > 0) if order else here
+        score[taken] += np.log10(arcs[order][taken])
+        failed = here & ~taken
+        score[failed] += np.log10(fails[order][failed])
+        left &= ~taken
+    return base, score
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score_block(size: tuple[int, int, int], modulus: int, remainder: int, strength: tuple[float, float]):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens, first = tokens_of(texts["text"].combine_chunks())
+        keys = ngram_keys(tokens, first)
+        ids = texts["doc_id"]
+        held_out = crc_held_out(ids.to_pylist(), modulus, remainder)
+        found, total = _distinct(keys, np.repeat(~held_out, np.diff(first)))
+        key, c = answers["key"].to_numpy(), answers["c"].to_numpy()
+        check = key & _ORDER == 0
+        if c[check].tolist() != [_checksum(keys)]:
+            raise ValueError("the rows of docs changed between two reads")
+        total[np.searchsorted(found, key[~check])] = c[~check]
+        counts = [np.where(k == 0, 0, total[np.minimum(np.searchsorted(found, k), len(found) - 1)]) for k in keys]
+        base, score = walk(counts, first, *size, strength)
+        add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  no text is without tokens
+        columns = [ids.combine_chunks(), held_out, np.diff(first), add((counts[0] > 0).astype(np.int64)), np.full(len(ids), size[0]), add(base), add(score)]
+        return pa.table({f.split()[0]: c for f, c in zip(RESULT.split(", "), columns)})
+
+    return run
+
+
+def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 7, remainder: int = 2, strength: tuple[float, float] = STRENGTH) -> DataFrame:
     """A row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Rows whose crc32 of the id as text gives ``remainder`` modulo ``modulus`` are held out.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    counts, model = learn(docs, modulus, remainder)
-    scanned = stage(_scan(docs, model, modulus, remainder), "scanned")
-    rare = scanned.select("row", F.explode("rare").alias("key"))
-    unknown = float(model.unknown_log)
-    seen = rare.join(counts.filter(F.col("c") < max(1, WORD_SHARE * model.tokens)), "key", "left")
-    more = seen.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0) + unknown).alias("more"), F.count("c").alias("known"))
-    return scanned.drop("rare").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    by_key = Window.partitionBy("key")
+    answers = _asked(docs, modulus, remainder).select("block", "key", "c", F.sum("c").over(by_key).alias("total"), F.min("block").over(by_key).alias("low"))
+    word_first = (F.col("key").bitwiseAND(3) == 1) & (F.col("block") == F.col("low"))
+    answers = answers.filter((F.col("total") != F.col("c")) | (F.col("key").bitwiseAND(3) == 0) | word_first)
+    answers = stage(answers.select("block", "key", F.col("total").alias("c"), word_first.alias("new_word")), "answers")
+    end = int(ngram_keys(np.array([END]), np.array([0, 1]))[0][0])
+    new = answers.filter("new_word AND c > 0")
+    size = new.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("key") == end, F.col("c"))), F.lit(0))).head()
+    own = answers.select("block", "key", "c").groupBy("block")
+    return _dealt(docs).groupBy("block").cogroup(own).applyInArrow(_score_block(tuple(size), modulus, remainder, strength), RESULT)

@@ -131,35 +131,63 @@ def crc(i):
     return zlib.crc32(str(i).encode())
 
 
-def test_lm_base_and_counts_equal_brute_force(docs, rows):
-    tokens = {i: words(t, fold=True) + [None] for i, t in rows}
-    count = Counter()
-    for i, own in tokens.items():
+def brute_lm(rows, strength):
+    """By id: held out, tokens, known tokens, base score and score, from dictionaries of counts and a recursion over histories."""
+    texts = {i: words(t, fold=True) + [None] for i, t in rows}
+    count, history = Counter(), Counter()
+    for i, own in texts.items():
         if crc(i) % 7 != 2:
-            count.update(own)
-    n, v = sum(count.values()), len(count)
-    got = {r.doc_id: r for r in lm.score_texts(docs).collect()}
-    assert len(got) == len(rows)
-    for i, own in tokens.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(i) % 7 == 2, len(own), sum(count[w] > 0 for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own))
+            said = ["<start>", *own]
+            for k in range(1, len(said)):
+                for n in range(min(k, 2) + 1):
+                    count[tuple(said[k - n : k + 1])] += 1
+                    history[tuple(said[k - n : k])] += 1
+    size, types = history[()], len([g for g in count if len(g) == 1])
+
+    def weight(past, word):
+        if not past:
+            return (count[word,] + 1) / (size + types + 1)
+        lower = weight(past[1:], word)
+        s = strength[len(past) - 1]
+        return (count[(*past, word)] + s * lower) / (history[past] + s) if history[past] else lower
+
+    out = {}
+    for i, own in texts.items():
+        said = ["<start>", *own]
+        steps = [(tuple(said[max(0, k - 2) : k]), said[k]) for k in range(1, len(said))]
+        out[i] = crc(i) % 7 == 2, len(own), sum(count[w,] > 0 for w in own), sum(math.log10(weight((), w)) for w in own), sum(math.log10(weight(*s)) for s in steps)
+    known = {w for (w,) in (g for g in count if len(g) == 1)}
+    for past in random.Random(1).sample(sorted((h for h in history if h), key=str), 20):
+        if None not in past:
+            assert sum(weight(past, w) for w in known) + weight(past, "never seen") == pytest.approx(1)
+    return size, out
+
+
+@pytest.mark.parametrize("block", [4 << 20, 2000])
+def test_lm_equals_brute_force(docs, rows, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    for strength in ((3.0, 0.5), lm.STRENGTH):
+        size, want = brute_lm(rows, strength)
+        got = {r.doc_id: r for r in lm.score_texts(docs, strength=strength).collect()}
+        assert len(got) == len(rows)
+        for i, (held, n, known, base, score) in want.items():
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, size)
+            assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_every_state_of_the_automaton_sums_to_one():
-    rng = np.random.default_rng(2)
-    count = rng.integers(5, 50, 20)
-    word = np.sort(rng.integers(0, 1 << 60, 20))
-    pair = np.unique((rng.integers(0, 21, 60) << 32) | rng.integers(0, 20, 60))
-    tokens, types = int(count.sum()) + 100, 120
-    model = lm.build_automaton(word, count, tokens, types, 30, pair, np.full(len(pair), 2))
-    uni = 10 ** (np.log10(count + 1) + model.unknown_log)
-    other = 1 - uni.sum()  # rare and unknown words
-    for state in range(21):
-        own = np.array([10 ** model.traverse(np.array([state, w]), np.array([0, 2]))[1] if state < 20 else 10 ** model.traverse(np.array([w]), np.array([0, 1]))[0] for w in range(20)])
-        assert own.sum() + 10 ** model.fail_log[state] * other == pytest.approx(1)
+def test_lm_follows_failure_arcs_one_by_one():
+    """A trigram state without the arc fails to its bigram state, and that to the empty history."""
+    counts = [np.array([5, 4, 0]), np.array([2, 0, 0]), np.array([0, 0, 0])]
+    base, score = lm.walk(counts, np.array([0, 3]), 100, 10, 6, (2.0, 1.0))
+    uni = [6 / 111, 5 / 111, 1 / 111]
+    assert 10**base == pytest.approx(uni)
+    first = (2 + 2 * uni[0]) / (6 + 2)
+    second = 1 / (2 + 1) * 2 / (5 + 2) * uni[1]  # both states known, no arc
+    third = 2 / (4 + 2) * uni[2]  # the pair before was never seen: no trigram state
+    assert 10**score == pytest.approx([first, second, third])
 
 
 def test_lm_odd_rows(odd, none):
