@@ -9,12 +9,18 @@ probabilities sum to one; ``STRENGTH`` holds s. The empty history's arcs are add
 unigrams, with one part for unknown words. One pass from left to right carries the
 state; where it has no arc, failure arcs are followed one by one.
 
-All n-grams are counted, none is pruned, and the counts table is never gathered in one
-place: texts are cut into blocks, each block hands in its distinct n-grams once, with
-its own training counts, and gets back the totals that differ from its own. A key has
-at most one row a block, so that of the commonest n-gram is small beside the text it
-stands for. A block meets its answers in one task and needs no other part of the model.
-Numbers of tokens, distinct words and training texts are all that reaches the driver.
+All n-grams are counted, none is pruned, and the counts are never gathered in one place:
+texts are cut into blocks, each block hands in its distinct n-grams once, with its own
+training counts, and gets back by how much the totals differ from these. N-grams are
+dealt into buckets by ranges of their hashes; what a block has for a bucket is one row of
+packed numbers, and a bucket holds about as much as a few blocks, whatever the corpus'
+size. A key has at most one entry a block, so the commonest n-gram is small beside the
+texts it stands for. A block meets its answers in one task and needs no other part of
+the model. Numbers of tokens, distinct words and training texts are all that reaches the
+driver.
+
+N-grams are told apart by 56 bits of hash and their order; with 1e9 of them the chance
+that a given one shares its hash is 1e-8.
 
 Defined results: null and empty texts hold the end token alone; rows with a null id
 are learned from and not held out; repeated rows are counted and scored each; with no
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stage
@@ -38,13 +44,16 @@ from ledgerloom.llm.textscan import FOLDED, chunks, crc_held_out, mix, words
 
 #: Pseudo-counts given to the next shorter history, of bigrams and of trigrams.
 STRENGTH = (800.0, 5.0)
-#: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, at least and at most, and blocks in between; a longer text is a block of its own.
+BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCKS = 4 << 20, 32 << 20, 20_000
+#: Bytes of text whose n-grams a bucket holds, about.
+BUCKET_BYTES = 8 << 20
 #: Hash of the end token, which no word has but by chance, and of the start state.
 END, START = np.uint64(0x81AC_FFFF_FFFF_FFFF), np.uint64(0x5EED_0F0A_11E7_E875)
-#: The last two bits of a key tell an n-gram's order; 0 marks a block's checksum.
-_ORDER = np.int64(3)
-_ROWS = 1 << 18
+#: Bits of a key: a hash, and in the last two the n-gram's order.
+KEY_BITS = 58
+_ASKED = "bucket long, block long, checksum long, n long, keys binary, counts binary"
+_ANSWERS = "block long, bucket long, checksum long, n long, more binary, tokens long, types long, texts long"
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +72,7 @@ def ngram_keys(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     two = np.append(START, one[:-1])[: len(tokens)]
     pair = mix(one * np.uint64(0x9E3779B97F4A7C15) + tokens)
     keys = [mix(tokens), pair, mix(mix(two + np.uint64(0x5851F42D)) * np.uint64(0x9E3779B97F4A7C15) + pair)]
-    keys = [(k.view(np.int64) & ~_ORDER) | (n + 1) for n, k in enumerate(keys)]
+    keys = [(k >> np.uint64(64 - KEY_BITS)) & ~np.uint64(3) | np.uint64(n + 1) for n, k in enumerate(keys)]
     keys[2][first[:-1]] = 0
     return keys
 
@@ -77,7 +86,20 @@ def _distinct(keys: list[np.ndarray], train: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _checksum(keys: list[np.ndarray]) -> int:
-    return int(np.sum(mix(keys[1].view(np.uint64))).view(np.int64))
+    return int(np.sum(mix(keys[1])).view(np.int64))
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, first all lowest bytes, without the bytes that all have zero; what is alike lies together for compression."""
+    wide = max(1, -(-int(numbers.max()).bit_length() // 8))
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Table]]:
@@ -95,10 +117,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
         yield number, pa.Table.from_batches(held)
 
 
-def _asked(docs: DataFrame, modulus: int, remainder: int) -> DataFrame:
-    """A row for each distinct n-gram of each block (block, key, c), and one for the block's checksum."""
-
-    most = BLOCK_BYTES
+def _asked(docs: DataFrame, most: int, bits: int, modulus: int, remainder: int) -> DataFrame:
+    """What each block has for each of ``2 ** bits`` buckets: differences of its sorted keys, and their training counts."""
 
     def run(batches):
         for number, table in _blocks(batches, most):
@@ -106,17 +126,38 @@ def _asked(docs: DataFrame, modulus: int, remainder: int) -> DataFrame:
             keys = ngram_keys(tokens, first)
             train = np.repeat(~crc_held_out(table["doc_id"].to_pylist(), modulus, remainder), np.diff(first))
             found, c = _distinct(keys, train)
-            found, c = np.append(found, number << 2), np.append(c, _checksum(keys))
-            for a in range(0, len(found), _ROWS):
-                own = found[a : a + _ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own), pa.array(c[a : a + _ROWS])], ["block", "key", "c"])
+            bucket = (found >> np.uint64(KEY_BITS - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            rows = [(_pack(np.diff(found[a:b], prepend=np.uint64(0))), _pack(c[a:b]), b - a) for a, b in zip(cut, [*cut[1:], len(found)])]
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(bucket[cut]), pa.array(np.full(n, number)), pa.array(np.full(n, _checksum(keys))), pa.array([r[2] for r in rows], pa.int64()),
+                pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], [f.split()[0] for f in _ASKED.split(", ")])
+
+    return docs.mapInArrow(run, _ASKED)
+
+
+def _add_up(end: int):
+    """For each block of a bucket, by how much its keys' totals differ from its counts; the bucket's numbers of words with its first row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_pylist()
+        keys = [np.cumsum(_unpack(k, n)) for k, n in zip(table["keys"].to_pylist(), sizes)]
+        counts = np.concatenate([_unpack(c, n) for c, n in zip(table["counts"].to_pylist(), sizes)]).astype(np.int64)
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, counts, len(found)).astype(np.int64)
+        more = np.split(total[at] - counts, np.cumsum(sizes)[:-1])
+        word = (found & np.uint64(3) == 1) & (total > 0)
+        sums = [int(total[word].sum()), int(word.sum()), int(total[found == end].sum())]
+        columns = [table["block"], table["bucket"], table["checksum"], table["n"], pa.array([_pack(m) for m in more], pa.binary())]
+        columns += [pa.array([x] + [0] * (len(table) - 1), pa.int64()) for x in sums]
+        return pa.table(dict(zip([f.split()[0] for f in _ANSWERS.split(", ")], columns)))
 
-    return docs.mapInArrow(run, "block long, key long, c long")
+    return run
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
+def _dealt(docs: DataFrame, most: int) -> DataFrame:
     """The rows of ``docs`` with their blocks' numbers."""
-    most = BLOCK_BYTES
 
     def run(batches):
         for number, table in _blocks(batches, most):
@@ -163,11 +204,11 @@ def _score_block(size: tuple[int, int, int], modulus: int, remainder: int, stren
         ids = texts["doc_id"]
         held_out = crc_held_out(ids.to_pylist(), modulus, remainder)
         found, total = _distinct(keys, np.repeat(~held_out, np.diff(first)))
-        key, c = answers["key"].to_numpy(), answers["c"].to_numpy()
-        check = key & _ORDER == 0
-        if c[check].tolist() != [_checksum(keys)]:
+        answers = answers.sort_by("bucket")
+        more = np.concatenate([_unpack(m, n) for m, n in zip(answers["more"].to_pylist(), answers["n"].to_pylist())]).astype(np.int64)
+        if set(answers["checksum"].to_pylist()) != {_checksum(keys)} or len(more) != len(found):
             raise ValueError("the rows of docs changed between two reads")
-        total[np.searchsorted(found, key[~check])] = c[~check]
+        total = total + more
         counts = [np.where(k == 0, 0, total[np.minimum(np.searchsorted(found, k), len(found) - 1)]) for k in keys]
         base, score = walk(counts, first, *size, strength)
         add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  no text is without tokens
@@ -183,13 +224,11 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Rows whose crc32 of the id as text gives ``remainder`` modulo ``modulus`` are held out.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    by_key = Window.partitionBy("key")
-    answers = _asked(docs, modulus, remainder).select("block", "key", "c", F.sum("c").over(by_key).alias("total"), F.min("block").over(by_key).alias("low"))
-    word_first = (F.col("key").bitwiseAND(3) == 1) & (F.col("block") == F.col("low"))
-    answers = answers.filter((F.col("total") != F.col("c")) | (F.col("key").bitwiseAND(3) == 0) | word_first)
-    answers = stage(answers.select("block", "key", F.col("total").alias("c"), word_first.alias("new_word")), "answers")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).head()[0]
+    most = min(max(BLOCK_BYTES, size // BLOCKS), MOST_BLOCK_BYTES)
     end = int(ngram_keys(np.array([END]), np.array([0, 1]))[0][0])
-    new = answers.filter("new_word AND c > 0")
-    size = new.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("key") == end, F.col("c"))), F.lit(0))).head()
-    own = answers.select("block", "key", "c").groupBy("block")
-    return _dealt(docs).groupBy("block").cogroup(own).applyInArrow(_score_block(tuple(size), modulus, remainder, strength), RESULT)
+    asked = _asked(docs, most, (size // BUCKET_BYTES).bit_length(), modulus, remainder)
+    answers = stage(asked.groupBy("bucket").applyInArrow(_add_up(end), _ANSWERS), "answers")
+    known = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "texts"))).head()
+    own = answers.select("block", "bucket", "checksum", "n", "more").groupBy("block")
+    return _dealt(docs, most).groupBy("block").cogroup(own).applyInArrow(_score_block(tuple(known), modulus, remainder, strength), RESULT)

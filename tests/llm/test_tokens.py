@@ -166,6 +166,7 @@ def brute_lm(rows, strength):
 @pytest.mark.parametrize("block", [4 << 20, 2000])
 def test_lm_equals_brute_force(docs, rows, monkeypatch, block):
     monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", block)
     for strength in ((3.0, 0.5), lm.STRENGTH):
         size, want = brute_lm(rows, strength)
         got = {r.doc_id: r for r in lm.score_texts(docs, strength=strength).collect()}
