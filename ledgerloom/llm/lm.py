@@ -45,9 +45,9 @@ from ledgerloom.llm.textscan import FOLDED, chunks, crc_held_out, mix, words
 #: Pseudo-counts given to the next shorter history, of bigrams and of trigrams.
 STRENGTH = (800.0, 5.0)
 #: Bytes of text in a block, at least and at most, and blocks in between; a longer text is a block of its own.
-BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCKS = 4 << 20, 32 << 20, 20_000
+BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCKS = 3 << 20, 32 << 20, 20_000
 #: Bytes of text whose n-grams a bucket holds, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Hash of the end token, which no word has but by chance, and of the start state.
 END, START = np.uint64(0x81AC_FFFF_FFFF_FFFF), np.uint64(0x5EED_0F0A_11E7_E875)
 #: Bits of a key: a hash, and in the last two the n-gram's order.
