@@ -43,6 +43,11 @@ NOT_AN_ORG = "账户|日期|额度|币种|业务|担保|状态|账单|还款|记
 ORG_WORDS = "银行|银|公司|股份|分行|支行|中心|金融|贷款|租赁"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normal_label(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), "[■□�：:()（）]", "")
     for wrong, right in MISREAD:
@@ -86,16 +91,18 @@ def looks_like_label(text: Column) -> Column:
 
 def amount_in(text: Column) -> Column:
     """The first number of a text; 0 for dashes; empty for dates, identifiers and texts without one."""
-    text = F.regexp_replace(F.trim(text), "[￥¥元]", "")
-    found = F.regexp_extract(text, r"-?\d[\d,.]*", 0)
-    return F.when((text == "") | looks_like_date(text), "").when(text.rlike("^[-—－]+$"), "0").when(looks_like_id(text) | looks_like_date(found), "").otherwise(found)
+    def of(text: Column) -> Column:
+        found = _let(F.regexp_extract(text, r"-?\d[\d,.]*", 0), lambda v: F.when(looks_like_date(v), "").otherwise(v))
+        return F.when((text == "") | looks_like_date(text), "").when(text.rlike("^[-—－]+$"), "0").when(looks_like_id(text), "").otherwise(found)
+
+    return _let(F.regexp_replace(F.trim(text), "[￥¥元]", ""), of)
 
 
 def date_in(text: Column) -> Column:
     """The first date of a text with points, or a day of the month that is all of it."""
     text = F.trim(text)
-    found = F.replace(F.regexp_replace(F.regexp_extract(text, DATE, 0), "年|月", "."), F.lit("日"), F.lit(""))
-    return F.when(found != "", found).otherwise(F.regexp_extract(text, "^(?:[1-9]|[12][0-9]|3[01])$", 0))
+    day = F.regexp_extract(text, "^(?:[1-9]|[12][0-9]|3[01])$", 0)
+    return _let(F.regexp_extract(text, DATE, 0), lambda v: F.when(v != "", F.replace(F.regexp_replace(v, "年|月", "."), F.lit("日"), F.lit(""))).otherwise(day))
 
 
 def group_value(row: Column, at: Column, size: int) -> Column:
@@ -112,14 +119,15 @@ def _after_label(text: Column, labels: Column) -> Column:
 
 def _value(raw: Column, labels: Column, kind: Column) -> Column:
     """The first line of a candidate that is a value of its kind."""
-    def of(line: Column) -> Column:
-        inline = _after_label(line, labels)
-        text = F.when(inline != "", inline).otherwise(F.trim(line))
-        named = F.exists(labels, lambda w: F.contains(text, w))
-        value = F.when(kind == "amount", F.when(looks_like_label(text), "").otherwise(amount_in(text))).when(kind == "date", date_in(text)).otherwise(F.when(looks_like_label(text), "").otherwise(text))
-        return F.when((text == "") | named, "").otherwise(value)
-
-    return F.coalesce(F.get(F.filter(F.transform(F.split(raw, "\n", -1), of), lambda v: v != ""), F.lit(0)), F.lit(""))
+    def of(text: Column) -> Column:
+        unnamed = F.when(looks_like_label(text), "").otherwise(F.when(kind == "amount", amount_in(text)).otherwise(text))
+        value = F.when(kind == "date", date_in(text)).otherwise(unnamed)
+        return F.when((text == "") | F.exists(labels, lambda w: F.contains(text, w)), "").otherwise(value)
+
+    def line_value(line: Column) -> Column:
+        return _let(_let(_after_label(line, labels), lambda v: F.when(v != "", v).otherwise(F.trim(line))), of)
+
+    return F.coalesce(F.get(F.filter(F.transform(F.split(raw, "\n", -1), line_value), lambda v: v != ""), F.lit(0)), F.lit(""))
 
 
 def _score(c) -> Column:

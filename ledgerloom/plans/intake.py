@@ -34,7 +34,6 @@ _TABLE = f"""'{{"type":"table","text":"<table><tr><td>A ' || {_K} || '</td><td>B
 _PAGE = f"""'{{"height":1000' || CASE WHEN k % 3 = 0 THEN ',"width":800' WHEN k % 3 = 1 THEN ',"page_id":"q' || {_K} || '"' ELSE '' END || ',"structured":[{{"type":"header","text":"h"}},{{"type":"textblock","sub_type":"text_title","text":"标题' || {_K} || '","pos":' || {_pos('k % 90', '5')} || '}},'
     || {_TABLE} || ',{{"type":"textblock","text":"正文","pos":[1,2,3]}},' || {_TABLE} || '],"content":[{{"type":"image","id":0}},' || {_LINES} || ']}}'"""
 _JSON = f"""CASE WHEN k % 11 = 0 THEN '{{"result":{{"pages":[{{}}]}}}}' WHEN k % 13 = 0 THEN 'not json' ELSE '{{"code":200,"result":{{"pages":[' || {_PAGE} || ',' || {_PAGE} || ']}}}}' END"""
-_JSON = _JSON.replace("{{", "{").replace("}}", "}")
 _SHAPE = '{"result":{"pages":[{"page_id":"VARCHAR","height":"DOUBLE","width":"DOUBLE","structured":[{"type":"VARCHAR","sub_type":"VARCHAR","text":"VARCHAR","pos":["DOUBLE"],"continue":"BOOLEAN","cells":[{"content":[{"content":["BIGINT"]}]}]}],"content":[{"type":"VARCHAR","id":"BIGINT","text":"VARCHAR","pos":["DOUBLE"]}]}]}}'
 _RECT = "CASE WHEN coalesce(len(pos), 0) < 8 THEN [0.0, 0.0, 0.0, 0.0]::DOUBLE[] ELSE [list_min(pos[1:7:2]), list_min(pos[2:8:2]), list_max(pos[1:7:2]) - list_min(pos[1:7:2]), list_max(pos[2:8:2]) - list_min(pos[2:8:2])] END"
 _MD = "list_transform(regexp_extract_all(html, '<tr>(.*?)</tr>', 1), lambda r: '| ' || array_to_string(regexp_extract_all(r, '<td>(.*?)</td>', 1), ' | ') || ' |')"

@@ -34,6 +34,7 @@ def test_query(name, spark, duck, small):
         assert len(got.columns) and len(got) > 0
         return
     want = duck.sql(registry.SQL[name]).df()
+    assert len(want) > 0
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
 
