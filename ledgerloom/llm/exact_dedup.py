@@ -29,6 +29,8 @@ from ledgerloom.llm.common import free, stage
 from ledgerloom.llm.textscan import mix
 
 SHARD_KEYS = 4096
+#: Rows (id, digest, size) that are broadcast, at most.
+MOST_BROADCAST = 1_000_000
 #: Bits of a level for each digest that reaches it.
 GAMMA = 2
 
@@ -177,16 +179,28 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", history: Column | None = None) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
+    """``docs`` with one row of each group of equal texts, all columns as they were.
+
+    Texts stay where they are: the rows that go (id, digest, size) are found first, and
+    taken out by a broadcast while they are few, else by a join on all three.
+    """
     rows = _narrow(docs, id_column, text_column, history)
-    digest, size, many, keep, again = free(docs, "digest_", "n_cp_", "many_", "keep_", "again_")
-    winner = group_rows(rows).select("digest", F.when(~F.col("no_id"), F.col("keep_id")).alias("doc_id"), "n_cp")
-    # A winner that is stored in several equal rows passes once.
-    stored = rows.join(winner, (rows.digest == winner.digest) & rows.doc_id.eqNullSafe(winner.doc_id) & (rows.n_cp == winner.n_cp), "left_semi").groupBy("digest", "doc_id", "n_cp").agg((F.count("*") > 1).alias(again))
-    stored = stage(stored.select(F.col("digest").alias(digest), F.col("doc_id").alias(keep), F.col("n_cp").alias(size), again), "winners")
-    read = docs.withColumns({digest: digest_of(F.col(text_column)), many: F.coalesce(F.char_length(text_column), F.lit(0)).cast("long")})
-    kept = read.join(stored, digest).filter(F.col(id_column).cast("long").eqNullSafe(F.col(keep)) & (F.col(many) == F.col(size)))
-    once = kept.filter(~F.col(again))
-    if not stored.filter(again).isEmpty():
-        once = once.unionByName(kept.filter(again).dropDuplicates([digest, keep]))
-    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
+    digest, size, at, keep, many = free(docs, "digest_", "n_cp_", "at_", "keep_", "many_")
+    best = group_rows(rows).select("digest", F.when(~F.col("no_id"), F.col("keep_id")).alias("best_id"), F.col("n_cp").alias("best_n"))
+    marked = rows.join(best, "digest").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("n_cp") == F.col("best_n")))
+    # rows that are equal in all three are one here; a winner that is stored in several such rows passes once
+    marked = stage(marked.groupBy("digest", "doc_id", "n_cp", "stays").agg(F.count("*").alias("many")).filter("NOT stays OR many > 1"), "marked")
+    marked = marked.select(F.col("digest").alias(at), F.col("doc_id").alias(keep), F.col("n_cp").alias(size), "stays", F.col("many").alias(many))
+    few = marked.count() <= MOST_BROADCAST
+    read = docs.withColumns({digest: digest_of(F.col(text_column)), f"{many}n": F.coalesce(F.char_length(text_column), F.lit(0)).cast("long")})
+    same = (F.col(digest) == F.col(at)) & F.col(id_column).cast("long").eqNullSafe(F.col(keep)) & (F.col(f"{many}n") == F.col(size))
+
+    def meets(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(at, keep, size)
+        return left.join(F.broadcast(right) if few else right, same, how)
+
+    again = marked.filter("stays")
+    kept = meets(read, marked.filter("NOT stays"), "left_anti")
+    if not again.isEmpty():
+        kept = meets(kept, again, "left_anti").unionByName(meets(kept, again, "left_semi").withColumn(keep, F.col(id_column).cast("long")).dropDuplicates([digest, keep]).drop(keep))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

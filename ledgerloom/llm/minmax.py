@@ -40,6 +40,8 @@ PERMUTATIONS = 64
 MOST_BROADCAST = 2_000_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
+#: Buckets with very many members meet their leader in a broadcast; there are at most so many.
+HOT_KEYS = 2000
 SIGNATURES = "doc_id long, n long, h1 long, h2 long, bands array<long>"
 
 _multiply = np.random.default_rng(7).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,7 +177,12 @@ def find_components(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     classes = stage(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select(F.explode("bands").alias("key"), "rep", "n")
     leaders = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1")
-    keyed = stage(keyed.join(leaders, "key").select("key", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"), "members"), "buckets")
+    leaders = stage(leaders.select("key", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"), "members"), "leaders")
+    # no more than HOT_KEYS buckets hold more than that part of all rows
+    hot = F.col("members") > F.lit(classes.count() * banding(percent)[1] // HOT_KEYS)
+    often = F.broadcast(leaders.filter(hot))
+    keyed = keyed.join(often, "key").unionByName(keyed.join(often.select("key"), "key", "left_anti").join(leaders.filter(~hot), "key"))
+    keyed = stage(keyed, "buckets")
     close = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
     pairs = stage(keyed.filter((F.col("lead") != F.col("rep")) & close).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     comp = connected_components(_confirm(docs, pairs, size, percent))

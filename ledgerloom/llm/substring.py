@@ -40,6 +40,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Ids are broadcast up to this many; beyond, texts are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Windows that hold more than one part in ``HOT_WINDOWS`` of all places are told apart by a broadcast (there are no more than that), and dealt by ``SALTS``.
+HOT_WINDOWS, SALTS = 10_000, 64
 _SHORT = WINDOW - PERIOD + 1
 _TAG = 1 << 32
 
@@ -183,8 +185,16 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str
     near = hits.count() <= MOST_BROADCAST
     held = (first.join(F.broadcast(ids), "doc_id", "left_semi") if near else first).join(hits, "doc_id").select("doc_id", "text", "spots")
     windows = _windows(held)
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("w1", "w2", "low")
-    late = windows.join(earliest, ["w1", "w2"]).filter("doc_id > low").select("doc_id", "spot")
+    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high").select("w1", "w2", "low", "n")
+    earliest = stage(earliest, "earliest")
+    # no more than HOT_WINDOWS windows stand in more than that part of all places
+    hot = F.col("n") > F.lit(earliest.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0] // HOT_WINDOWS)
+    earliest = earliest.withColumn("hot", hot)
+    often = F.broadcast(earliest.filter("hot").select("w1", "w2", "hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "spot"), F.lit(SALTS))).otherwise(0).alias("salt")
+    dealt = windows.join(often, ["w1", "w2"], "left").select("w1", "w2", "doc_id", "spot", salt)
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    late = dealt.join(earliest.select("w1", "w2", "low", F.explode(salts).alias("salt")), ["w1", "w2", "salt"]).filter("doc_id > low").select("doc_id", "spot")
     spans = late.groupBy("doc_id").agg(F.collect_set("spot").alias("spots"))
     marks = again.groupBy("doc_id").agg(F.collect_set("tag").alias("tags"))
     change = stage(spans.join(marks, "doc_id", "full"), "removed")
