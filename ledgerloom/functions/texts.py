@@ -74,20 +74,31 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table is carried along the other text."""
-    right = F.filter(F.split(b, ""), lambda c: c != "")
-    start = F.transform(F.sequence(F.lit(0), F.size(right)), lambda i: F.lit(0))
-
-    def row(previous: Column, char: Column) -> Column:
-        def cell(state: Column, j: Column) -> Column:
-            last = F.element_at(state, -1)
-            best = F.when(F.element_at(right, j) == char, F.element_at(previous, j) + 1).otherwise(F.greatest(F.element_at(previous, j + 1), last))
-            return F.concat(state, F.array(best))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(right)), F.array(F.lit(0)), cell)
-
-    table = F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), start, row)
-    return F.when((a == "") | (b == ""), 0).otherwise(F.element_at(table, -1))
+    """Length of the longest common subsequence of two texts of any length; 0 where one is empty, null where one is null.
+
+    A row of the table is kept as bits, a zero where it steps up, in words of 62 characters
+    of ``b``; each character of ``a`` costs one addition a word, with the carry to the next.
+    """
+    bits, full = 62, (1 << 62) - 1
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    right = chars(b)
+    blocks = F.transform(F.sequence(F.lit(1), F.ceil(F.size(right) / bits).cast("int")), lambda k: F.reverse(F.slice(right, (k - 1) * bits + 1, bits)))
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.expr("CAST(array() AS array<bigint>)").alias("words"))
+
+    def row(words: Column, char: Column) -> Column:
+        def word(state: Column, p: Column) -> Column:
+            here = F.aggregate(p["block"], F.lit(0).cast("long"), lambda m, c: m * 2 + (c == char).cast("long"))
+            steps = p["word"].bitwiseAND(here)
+            total = p["word"] + steps + state["carry"]
+            new = total.bitwiseAND(F.lit(full)).bitwiseOR(p["word"] - steps)
+            return F.struct(F.shiftright(total, bits).alias("carry"), F.concat(state["words"], F.array(new)).alias("words"))
+
+        pairs = F.zip_with(words, blocks, lambda w, x: F.struct(w.alias("word"), x.alias("block")))
+        return F.aggregate(pairs, start, word, lambda state: state["words"])
+
+    words = F.aggregate(chars(a), F.transform(blocks, lambda x: F.lit(full)), row)
+    length = F.aggregate(words, F.lit(0), lambda n, w: n + bits - F.bit_count(w))
+    return F.when((a == "") | (b == ""), 0).otherwise(length)
 
 
 def org_differs(a: Column, b: Column) -> Column:

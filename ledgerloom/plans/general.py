@@ -94,7 +94,15 @@ def q_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", F.levenshtein(x, y).alias("distance"), amounts.share6(texts.dice(x, y)).alias("dice"), amounts.share6(texts.similarity(x, y)).alias("similarity"))
 
 
-@query()
+_LCS_PLAIN = "regexp_replace(regexp_replace(lower(regexp_replace({0}, '[^一-龥A-Za-z0-9]', '', 'g')), '股份有限公司|有限责任公司|有限公司|股份公司', '', 'g'), '银行|消费金融|小额贷款|融资租赁|融资担保', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_custkey, lower(c_mktsegment) AS x, lower(n_name) AS y FROM customer JOIN nation ON n_nationkey = c_nationkey), d AS (SELECT *, {_LCS_PLAIN.format("x")} AS px, {_LCS_PLAIN.format("y")} AS py FROM (SELECT DISTINCT x, y FROM c)),
+    p AS (SELECT x AS a, y AS b FROM d UNION SELECT px, py FROM d),
+    f AS (SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0) AS row FROM p UNION ALL
+        SELECT a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda m: greatest(row[m], CASE WHEN m > 1 AND b[m - 1] = a[i + 1] THEN row[m - 1] + 1 ELSE 0 END)))) FROM f WHERE i < len(a)),
+    l AS (SELECT a, b, row[len(b) + 1] AS lcs FROM f WHERE i = len(a))
+    SELECT c_custkey, l.lcs::INT AS lcs, NOT (px = '' OR py = '' OR px = py OR ((contains(px, py) OR contains(py, px)) AND least(len(px), len(py)) >= 3)) AND q.lcs::DOUBLE / greatest(len(px), len(py)) < 0.58 AS differs FROM c JOIN d USING (x, y) JOIN l ON l.a = x AND l.b = y JOIN l q ON q.a = px AND q.b = py""")
 def q_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = t.read(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("y"))
     rows = t.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lower("c_mktsegment").alias("x")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
@@ -272,7 +280,7 @@ def q_prefix_fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.prefix_lookup(fields, spark.createDataFrame(known, "field string, label string"))
 
 
-@query()
+@query("""SELECT s_suppkey, array_to_string(list_transform(['institution', s_suppkey::VARCHAR, 'creditDetail.creditCards[0].org', s_name || ' (甲)', lower(s_name), 'review'], lambda p: replace(replace(replace(replace(replace(url_encode(p), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*')), ':') AS review_id FROM supplier""")
 def q_review_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of institution reviews: parts percent-encoded and joined by colons."""
     parts = [F.lit("institution"), F.col("s_suppkey").cast("string"), F.lit("creditDetail.creditCards[0].org"), F.concat("s_name", F.lit(" (甲)")), F.lower("s_name"), F.lit("review")]

@@ -200,7 +200,9 @@ def q_keyword_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.keyword_table(_tables(spark, sf_dir), "账户")
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT l_orderkey AS doc_id, (l_partkey % 40)::DOUBLE AS y, l_suppkey::DOUBLE AS x, (10 + l_linenumber)::DOUBLE AS h, l_linenumber::VARCHAR AS text FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, h, text) AS k FROM w),
+    f AS (SELECT doc_id, k, 0 AS "row", y, h, x, text FROM k WHERE k = 1 UNION ALL SELECT k.doc_id, k.k, CASE WHEN abs(f.y - k.y) <= least(f.h, k.h) * 0.5 THEN f."row" ELSE f."row" + 1 END, CASE WHEN abs(f.y - k.y) <= least(f.h, k.h) * 0.5 THEN f.y ELSE k.y END, CASE WHEN abs(f.y - k.y) <= least(f.h, k.h) * 0.5 THEN f.h ELSE k.h END, k.x, k.text FROM f JOIN k ON k.doc_id = f.doc_id AND k.k = f.k + 1)
+    SELECT doc_id, "row", string_agg(text, chr(9) ORDER BY x, text) AS text FROM f GROUP BY 1, 2""")
 def q_row_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words at invented places, folded into rows."""
     rows = t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 40).cast("double").alias("top"), F.col("l_suppkey").cast("double").alias("left"), (10 + F.col("l_linenumber")).cast("double").alias("height"), F.col("l_linenumber").cast("string").alias("text"))
@@ -243,7 +245,9 @@ def q_number_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.number_gaps(t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 40).cast("int").alias("n")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, n AS (SELECT doc_id, line, len(text)::INT AS n FROM lines), f AS (SELECT doc_id, line, 0 AS chunk, n + 1 AS size FROM n WHERE line = 0 UNION ALL
+    SELECT n.doc_id, n.line, CASE WHEN f.size + n.n + 1 > 3000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size + n.n + 1 > 3000 THEN n.n + 1 ELSE f.size + n.n + 1 END FROM f JOIN n ON n.doc_id = f.doc_id AND n.line = f.line + 1)
+    SELECT doc_id, chunk, count(*)::INT AS lines, max(size) AS size FROM f GROUP BY 1, 2""")
 def q_chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.chunk_lines(_lines(spark, sf_dir), 3000)
 

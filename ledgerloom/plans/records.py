@@ -113,7 +113,12 @@ def q_box_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.moving_mean(rows, 2).withColumn("mean", share6(F.col("mean")))
 
 
-@query()
+@query("""WITH p AS (SELECT user_id AS line_id, (event_id % 97)::DOUBLE AS x, floor(value * 10) AS y FROM events),
+    f AS (SELECT line_id, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS a, sx, sy, n FROM (SELECT line_id, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM p GROUP BY 1) WHERE n >= 2 AND abs(n * sxx - sx * sx) >= 1e-6),
+    r AS (SELECT p.*, abs(y - (a * x + (sy - a * sx) / n)) AS r FROM p JOIN f USING (line_id)), k AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY line_id) AS many FROM r),
+    c AS (SELECT line_id, greatest(3, max(r) FILTER (k = floor(many * 0.68))) AS cut FROM k GROUP BY 1), near AS (SELECT k.*, r <= cut AS near, count(*) FILTER (r <= cut) OVER (PARTITION BY line_id) AS left_over FROM k JOIN c USING (line_id)),
+    g AS (SELECT line_id, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM near WHERE near OR left_over < 2 GROUP BY 1), h AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS a FROM g WHERE n >= 2 AND abs(n * sxx - sx * sx) >= 1e-6)
+    SELECT line_id, floor(a * 10000 + 0.5) / 10000 AS a, floor((sy - a * sx) / n * 10000 + 0.5) / 10000 AS b FROM h""")
 def q_robust_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.read(spark, sf_dir, "events").select(F.col("user_id").alias("line_id"), (F.col("event_id") % 97).cast("double").alias("x"), F.floor(F.col("value") * 10).cast("double").alias("y"))
     return quality.robust_line(rows).select("line_id", half_up(F.col("a"), 4).alias("a"), half_up(F.col("b"), 4).alias("b"))
@@ -175,12 +180,26 @@ def q_anchor_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.last_anchor(_events(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_EVENTS}, m AS (SELECT *, NOT is_table AND text = '四查询记录' AS stop, CASE WHEN NOT is_table THEN CASE text WHEN '（一）非循环贷账户' THEN 'nonRevolvingLoan' WHEN '(四)贷记卡账户' THEN 'creditCard' END END AS title, CASE WHEN NOT is_table AND text IN ('账户1', '账户二') THEN text END AS mark FROM ev),
+    l AS (SELECT *, max(CASE WHEN stop OR title IS NOT NULL THEN ord END) OVER w AS title_at, max(CASE WHEN stop OR title IS NOT NULL OR mark IS NOT NULL THEN ord END) OVER w AS reset_at FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    c AS (SELECT l.doc_id, l.ord, l.text, l.reset_at, e.title AS category, a.mark AS anchor FROM l JOIN m e ON e.doc_id = l.doc_id AND e.ord = l.title_at LEFT JOIN m a ON a.doc_id = l.doc_id AND a.ord = l.reset_at WHERE l.is_table AND e.title IS NOT NULL),
+    d AS (SELECT *, coalesce(lag(reset_at) OVER (PARTITION BY doc_id ORDER BY ord) <> reset_at, true) OR regexp_matches(text, '管理机构|发卡机构|账户授信额度|借款金额') AS starts FROM c),
+    s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment FROM d)
+    SELECT doc_id, segment, arg_min(category, ord) AS category, first(anchor ORDER BY ord) AS anchor, count(*) AS tables FROM s GROUP BY 1, 2""")
 def q_account_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.account_segments(_events(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT l_orderkey AS doc_id, (l_linenumber // 2)::INT AS page, (l_partkey % 3 * 20)::DOUBLE AS y, l_suppkey::DOUBLE AS x, {_ORD} AS ord, CASE WHEN l_partkey % 5 = 0 THEN '账户3' ELSE '' END AS before, l_partkey % 4 = 0 AS hint,
+        [CASE WHEN l_partkey % 3 = 0 THEN ['管理机构', '借款金额'] ELSE ['余额', l_partkey::VARCHAR] END, ['a', 'b']] AS cells FROM lineitem),
+    t AS (SELECT *, array_to_string(cells[1], '|') AS head, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, x, ord, before, hint) AS k FROM p),
+    f AS (SELECT doc_id, k, 0 AS part, page, y, x, before, hint, cells, 1 AS n FROM t WHERE k = 1 UNION ALL
+        SELECT doc_id, k, CASE WHEN joins THEN part ELSE part + 1 END, page, CASE WHEN beside AND joins THEN old.y ELSE y END, CASE WHEN joins THEN old.x ELSE x END, CASE WHEN joins THEN old.before ELSE before END, hint OR (joins AND old.hint),
+            CASE WHEN NOT joins THEN cells WHEN beside THEN list_transform(list_zip(old.cells, cells), lambda z: list_concat(z[1], z[2])) ELSE list_concat(old.cells, CASE WHEN same THEN cells[2:] ELSE cells END) END, CASE WHEN joins THEN old.n + 1 ELSE 1 END
+        FROM (SELECT *, page - old.page BETWEEN 0 AND 1 AND NOT (page = old.page AND y + 24 < old.y) AND (before = '' OR before = old.before) AND (beside OR (NOT level AND CASE WHEN same THEN NOT owns AND (hint OR old.hint OR before = '') ELSE NOT owns AND (len(old.cells) < 3 OR hint OR old.hint) END)) AS joins
+            FROM (SELECT *, level AND x > old.x AND NOT same AND len(cells) = len(old.cells) AND len(cells) >= 2 AS beside
+                FROM (SELECT t.*, f AS old, f.part, t.page = f.page AND abs(t.y - f.y) <= 24 AS level, head = array_to_string(f.cells[1], '|') AS same, regexp_matches(head, '管理机构|发卡机构|账户授信额度|借款金额') AS owns FROM (SELECT doc_id, k, part, page, y, x, before, hint, cells, n FROM f) f JOIN t ON t.doc_id = f.doc_id AND t.k = f.k + 1))))
+    SELECT doc_id, part, n AS fragments, to_json(cells)::VARCHAR AS "table" FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY k DESC) = 1""")
 def q_fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces with and without primary headers at invented places, folded into tables."""
     k = F.col("l_partkey")

@@ -1,6 +1,7 @@
 """Operators on small invented reports and documents, with figures worked out by hand."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,21 @@ def test_stores(spark):
     assert {r.key: r.reviewed for r in stores.review_state(events).collect()} == {"a": "y", "b": "z"}
     empty = spark.createDataFrame([], "id long, value string")
     assert stores.evaluate_fields(empty, empty).head().accuracy == 1.0
+
+
+def test_lcs_against_table(spark):
+    """Lengths around the words of 62 bits, equal to the plain table's."""
+    def table(a, b):
+        above = [0] * (len(b) + 1)
+        for c in a:
+            row = [0]
+            for j, d in enumerate(b):
+                row.append(above[j] + 1 if c == d else max(above[j + 1], row[-1]))
+            above = row
+        return above[-1]
+
+    draw = random.Random(3)
+    word = lambda n: "".join(draw.choices("ab银行", k=n))
+    pairs = [(word(n), word(m)) for n in (1, 5, 61, 62, 63, 130) for m in (1, 61, 62, 63, 124, 125)] + [("a" * 62, "a" * 62), ("a" * 63, "a" * 124), ("", "a")]
+    rows = spark.createDataFrame([*pairs, (None, "a")], "a string, b string").select(texts.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in rows] == [*(table(a, b) for a, b in pairs), None]
