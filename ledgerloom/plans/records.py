@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import half_up, share6
+from ledgerloom.functions.texts import FULL_WIDTH, HALF_WIDTH
 from ledgerloom.operators import institutions, quality, reviews, segments
 from ledgerloom.plans.credit import _ISSUES, _issues
 from ledgerloom.plans.papers import _ORD, _ord
@@ -132,23 +133,68 @@ def q_extreme_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.extreme_points(rows)
 
 
-@query()
+def _comparable_sql(name: str) -> str:
+    """The comparable form of a name in SQL, whose patterns have no look ahead."""
+    out = f"replace(replace(regexp_replace({name}, '\\s+', '', 'g'), '（', '('), '）', ')')"
+    for pattern, new in institutions._STRIP:
+        out = f"regexp_replace({out}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    out = f"translate({out}, '{FULL_WIDTH}', '{HALF_WIDTH}')"
+    for pattern, new in institutions._FIXES:
+        out = f"regexp_replace({out}, '{pattern.replace('(?!司)', '司?')}', '{new}', 'g')"
+    return f"lower({out})"
+
+
+_DIM = f"""dim AS (SELECT DISTINCT ord, name, kind, alias, {_comparable_sql("alias")} AS key, alias = name AS own FROM (SELECT ord, name, kind, unnest([name, short, CASE WHEN regexp_matches(short, '^中国.{{4,}}') THEN short[3:] ELSE short END, replace(short, '农村商业银行', '农商银行')] || list_filter(string_split(listed, ' '), lambda x: x <> '')) AS alias
+    FROM (SELECT *, regexp_replace(name, '股份有限公司|有限责任公司|有限公司|股份公司', '', 'g') AS short FROM (VALUES {", ".join(f"({n}, '{name}', '{kind}', '{listed}')" for n, (name, kind, listed) in enumerate(institutions.INSTITUTIONS))}) v(ord, name, kind, listed))))"""
+_LINE_SQL = f"""coalesce(list_filter(list_transform(string_split(replace({{0}}, '\\n', chr(10)), chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '{institutions._LINE}'))[1], trim({{0}}))"""
+
+
+@query(f"WITH {_DIM} SELECT name, kind, alias, key FROM dim")
 def q_inst_dim_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return institutions.dimension(spark).select("name", "kind", "alias", institutions.comparable(F.col("alias")).alias("key"))
 
 
-_NAMES = ["中国工商银行", "招商银行股份有限公司上海分行", "北京银很股份有限公司", "■京银行股份有限公司", "信用卡中心", "未收录财务公司", "交通银行\\n2024.01.01", "南京银行信用卡中心", "兴业消费全融股份公司", "股份有限公司", "上海农村商亚银行股份有限公司", ""]
+_NAMES = [
+    "中国工商银行", "招商银行股份有限公司上海分行", "北京银很股份有限公司", "■京银行股份有限公司", "信用卡中心", "未收录财务公司", "交通银行\\n2024.01.01", "南京银行信用卡中心", "兴业消费全融股份公司", "股份有限公司", "上海农村商亚银行股份有限公司", "",
+    "工行", "ICBC", "马上金融", "浦发银行信用卡中心", "ＣＭＢ", "重庆京东小贷", "美团小贷", "深圳市财付通网网络小额贷款有限公司", "中融信融资担保（大连）股份有限公司", "海尔消费金融有限公司北京分中心", "天津滨海农村商业银行", "浙江网商银行股份有限公", "狮桥租赁", "梅赛德斯奔驰汽车金融"]
 
 
-@query("SELECT s_suppkey, " + _pick_sql(["工商银行", "招商银行", "北京银行", "京银行", "", "未收录财务公司", "交通银行", "南京银行", "兴业消费金融", "", "上海农村商亚银行", ""], "s_suppkey") + " AS key FROM supplier")
-def q_inst_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _pick(_NAMES, F.col("s_suppkey"))
-    return t.read(spark, sf_dir, "supplier").select("s_suppkey", institutions.comparable(institutions.institution_line(raw)).alias("key"))
+def _named(spark, sf_dir) -> DataFrame:
+    """Names of the list above, some with a branch of the supplier's number behind them."""
+    key = F.col("s_suppkey")
+    return t.read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(_pick(_NAMES, key), F.when(key % 4 == 0, F.concat(F.lit("第"), (key % 13).cast("string"), F.lit("支行"))).otherwise("")).alias("org"))
+
 
+_NAMED = f"named AS (SELECT s_suppkey, {_pick_sql(_NAMES, 's_suppkey')} || CASE WHEN s_suppkey % 4 = 0 THEN '第' || (s_suppkey % 13) || '支行' ELSE '' END AS org FROM supplier)"
 
-@query()
+
+@query(f"WITH {_NAMED} SELECT s_suppkey, {_comparable_sql('line')} AS key FROM (SELECT s_suppkey, {_LINE_SQL.format('org')} AS line FROM named)")
+def q_inst_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).select("s_suppkey", institutions.comparable(institutions.institution_line(F.col("org"))).alias("key"))
+
+
+_TOP = "list_filter(list_transform({0}, lambda x: x.name), lambda n, i: list_position(list_transform({0}, lambda x: x.name), n) = i)[:5]"
+
+
+@query(f"""WITH {_DIM}, {_NAMED}, o AS (SELECT original, cleaned, {_comparable_sql('cleaned')} AS c, regexp_matches(cleaned, '[■□�]') AS unsure FROM (SELECT DISTINCT trim(org) AS original, {_LINE_SQL.format('trim(org)')} AS cleaned FROM named)),
+    p AS (SELECT o.*, ord, name, key, own, array_to_string(list_distinct(string_split(c || key, '')), '') AS used FROM o, dim),
+    q AS (SELECT *, levenshtein(translate(c, used, left('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', len(used))), translate(key, used, left('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', len(used)))) AS edits,
+        CASE WHEN len(c) <= 1 THEN [c] ELSE list_transform(range(1, len(c)), lambda i: c[i:i + 1]) END AS gx, CASE WHEN len(key) <= 1 THEN [key] ELSE list_transform(range(1, len(key)), lambda i: key[i:i + 1]) END AS gy FROM p),
+    s AS (SELECT *, len(key)::DOUBLE AS m, least(len(c), len(key))::DOUBLE / greatest(len(c), len(key)) AS part, CASE WHEN c = '' THEN 0 WHEN c = key THEN 1 ELSE greatest(0, (1 - edits::DOUBLE / greatest(len(c), len(key))) * 0.55::DOUBLE
+        + 2.0::DOUBLE * list_sum(list_transform(list_distinct(gx), lambda g: least(len(list_filter(gx, lambda h: h = g)), len(list_filter(gy, lambda h: h = g))))) / (len(gx) + len(gy)) * 0.45::DOUBLE) END AS alike FROM q),
+    a AS (SELECT original, cleaned, c, unsure, arg_min(struct_pack(name := name, own := own), struct_pack(a := ord, b := NOT own)) FILTER (key = c) AS exact, coalesce(list(struct_pack(s := m, name := name) ORDER BY m DESC, ord) FILTER (m >= 4 AND contains(c, key)), []) AS inside,
+        coalesce(list(struct_pack(s := part, name := name) ORDER BY part DESC, ord) FILTER (contains(c, key) OR contains(key, c)), []) AS partly, coalesce(list(struct_pack(s := alike, name := name) ORDER BY alike DESC, ord) FILTER (alike >= 0.72), []) AS near FROM s GROUP BY 1, 2, 3, 4),
+    r AS (SELECT *, {_TOP.format("inside")} AS ti, {_TOP.format("partly")} AS tp, {_TOP.format("near")} AS tn, len(list_distinct(list_transform(list_filter(partly, lambda x: x.s >= partly[1].s - 0.05), lambda x: x.name))) AS close, floor((0.88 + partly[1].s * 0.08) * 100 + 0.5) / 100 AS held, floor(near[1].s * 100 + 0.5) / 100 AS fuzzy, list_filter(near, lambda x: x.name <> near[1].name)[1].s AS other,
+        cleaned <> '' AND (regexp_matches(cleaned, '^[\\d,，.。:\\-—年月日\\s]+$') OR regexp_matches(cleaned, '^(信用卡中心|牡丹卡中心|销售中心|客服中心|分中心|网上银行|商业银行)$') OR regexp_matches(cleaned, '^[一-龥]{{0,6}}(?:信用卡中心|牡丹卡中心|销售中心|分中心)$') OR regexp_matches(cleaned, '^(?:股份|股|份|有限|公司|行股份|银行股份|小额贷款|消费金融)(?:有限)?(?:公司)?$')) AS fragment FROM a),
+    d AS (SELECT *, CASE WHEN fragment THEN 'fragment' WHEN c = '' THEN 'nothing' WHEN exact IS NOT NULL THEN 'exact' WHEN len(inside) > 0 AND (unsure OR len(ti) > 1) THEN 'inside?' WHEN len(inside) > 0 THEN 'inside' WHEN partly[1].s >= 0.72 AND (unsure OR close > 1) THEN 'partly?' WHEN partly[1].s >= 0.72 THEN 'partly'
+        WHEN len(near) > 0 AND NOT unsure AND near[1].s >= 0.82 AND (other IS NULL OR near[1].s - other >= 0.05) THEN 'near' WHEN len(near) > 0 THEN 'near?' ELSE 'nothing' END AS way FROM r),
+    e AS (SELECT original, CASE way WHEN 'exact' THEN exact.name WHEN 'inside?' THEN inside[1].name WHEN 'inside' THEN inside[1].name WHEN 'partly?' THEN partly[1].name WHEN 'partly' THEN partly[1].name WHEN 'near' THEN near[1].name WHEN 'near?' THEN near[1].name ELSE cleaned END AS normalized,
+        (CASE way WHEN 'exact' THEN CASE WHEN exact.own THEN 1 ELSE 0.98 END WHEN 'inside?' THEN 0.92 WHEN 'inside' THEN 0.94 WHEN 'partly?' THEN held WHEN 'partly' THEN held WHEN 'near' THEN fuzzy WHEN 'near?' THEN fuzzy ELSE 0 END)::DOUBLE AS confidence,
+        CASE WHEN way = 'nothing' THEN 'unlisted' WHEN way IN ('exact', 'inside', 'partly', 'near') THEN 'matched' ELSE 'review' END AS status, CASE way WHEN 'exact' THEN CASE WHEN exact.own THEN 'exact' ELSE 'alias' END WHEN 'inside' THEN 'contains' WHEN 'partly' THEN 'contains' WHEN 'near' THEN 'fuzzy' ELSE 'none' END AS match,
+        CASE WHEN way = 'exact' THEN exact.name WHEN way IN ('inside', 'inside?') THEN array_to_string(ti, ',') WHEN way IN ('partly', 'partly?') THEN array_to_string(tp, ',') WHEN way IN ('near', 'near?') THEN array_to_string(tn, ',') ELSE '' END AS candidates FROM d)
+    SELECT s_suppkey, org, normalized, confidence, status, match, candidates FROM named JOIN e ON e.original = trim(org) WHERE original <> '' AND (status IN ('unlisted', 'review') OR original <> trim(normalized))""")
 def q_inst_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.read(spark, sf_dir, "supplier").select("s_suppkey", _pick(_NAMES, F.col("s_suppkey")).alias("org"))
+    rows = _named(spark, sf_dir)
     matched = institutions.normalize_names(rows.select(F.col("org").alias("name")), institutions.dimension(spark))
     return institutions.corrections(rows, matched).select("s_suppkey", "org", "normalized", "confidence", "status", "match", "candidates")
 
