@@ -67,19 +67,26 @@ def q_parse_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", amounts.parse_number(raw).alias("n"))
 
 
-_STATUSES = ["正常正常46,200", "结清2025.06.17", "账户逾期后结清", "无", "止付 冻结"]
-_ORGS = ["N10156530\n重庆某某小额贷款有限公司3054", "测试小额贷X4403998款有限公司2022.09.11", "某银行A分中心", "甲银行乙银行", "无后缀机构"]
+_STATUSES = ["正常46,200", "结清2025.06.17", "账户", "逾期后", "", "止付 ", "冻结", "呆帐", "呆账", "销 户", "销户"]
+_ORGS = ["N10156530\n重庆某某小额贷款有限公司3054", "测试小额贷X4403998款有限公司2022.09.11", "某银行A分中心", "甲银行乙银行", "无后缀机构", "农村信用合作社，一部", "第一行\n某合作社。\n某银行", "ABCDEF公司G12345678中心；", "两行\n都没有", "甲.乙银行 信用卡中心尾"]
 
 
-@query("SELECT p_partkey, ['正常', '结清', '逾期', '', '止付'][(p_partkey % 5 + 1)::INT] AS status FROM part")
+@query(f"""WITH r AS (SELECT p_partkey, ['{"', '".join(_STATUSES)}'][(p_partkey % {len(_STATUSES)} + 1)::INT] || p_name || ['{"', '".join(_STATUSES)}'][((p_partkey // 11 + p_size) % {len(_STATUSES)} + 1)::INT] AS raw FROM part)
+    SELECT p_partkey, coalesce(list_sort(list_filter([{", ".join(f"struct_pack(place := instr(raw, '{word}'), n := {n}, word := '{word}')" for n, word in enumerate(texts.STATUS_KEYWORDS))}], lambda x: x.place > 0))[1].word, '') AS status FROM r""")
 def q_clean_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    """Statuses before and after a part's name; the first keyword counts."""
+    pick = lambda k: F.element_at(F.array(*map(F.lit, _STATUSES)), (k % len(_STATUSES) + 1).cast("int"))
+    raw = F.concat(pick(F.col("p_partkey")), "p_name", pick(F.floor(F.col("p_partkey") / 11) + F.col("p_size")))
     return t.read(spark, sf_dir, "part").select("p_partkey", texts.clean_status(raw).alias("status"))
 
 
-@query("SELECT p_partkey, ['重庆某某小额贷款有限公司', '测试小额贷款有限公司', '某银行', '甲银行乙银行', '无后缀机构'][(p_partkey % 5 + 1)::INT] AS org FROM part")
+@query(f"""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '' END || replace(['{"', '".join(o.replace(chr(10), "|") for o in _ORGS)}'][(p_partkey % {len(_ORGS)} + 1)::INT], '|', chr(10)) || CASE WHEN p_partkey % 7 = 0 THEN p_size || '号中心' ELSE '' END AS raw FROM part),
+    l AS (SELECT p_partkey, CASE WHEN contains(raw, chr(10)) THEN coalesce(list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '公司|银行|中心|合作社'))[1], raw) ELSE raw END AS line FROM r)
+    SELECT p_partkey, CASE {" ".join(f"WHEN contains(line, '{x}') THEN regexp_replace(regexp_replace(regexp_extract(line, '(?s)^(.*{x})', 1), '[A-Za-z0-9]{{6,}}', '', 'g'), '[；;，,。.]', '', 'g')" for x in texts.ORG_SUFFIXES)} ELSE line END AS org FROM l""")
 def q_clean_org(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.element_at(F.array(*map(F.lit, _ORGS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    """Organisations in one or more lines, some with a part's name before them or a numbered centre behind them."""
+    k = F.col("p_partkey")
+    raw = F.concat(F.when(k % 3 == 0, F.col("p_name")).otherwise(""), F.element_at(F.array(*map(F.lit, _ORGS)), (k % len(_ORGS) + 1).cast("int")), F.when(k % 7 == 0, F.concat(F.col("p_size").cast("string"), F.lit("号中心"))).otherwise(""))
     return t.read(spark, sf_dir, "part").select("p_partkey", texts.clean_org(raw).alias("org"))
 
 

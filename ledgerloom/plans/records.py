@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import half_up, share6
-from ledgerloom.functions.texts import FULL_WIDTH, HALF_WIDTH
+from ledgerloom.functions.texts import FULL_WIDTH, HALF_WIDTH, KNOWN_REASONS
 from ledgerloom.operators import institutions, quality, reviews, segments
 from ledgerloom.plans.credit import _ISSUES, _issues
 from ledgerloom.plans.papers import _ORD, _ord
@@ -199,34 +199,39 @@ def q_inst_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return institutions.corrections(rows, matched).select("s_suppkey", "org", "normalized", "confidence", "status", "match", "candidates")
 
 
-_EVENT_TEXTS = ["（一）非循环贷账户", "账户1", "管理机构 借款金额", "余额 100", "(四)贷记卡账户", "账户二", "说明", "四查询记录"]
-_EVENTS = f"ev AS (SELECT DISTINCT l_orderkey AS doc_id, {_ORD} AS ord, {_pick_sql(_EVENT_TEXTS, '(l_partkey + l_linenumber)')} AS text, (l_partkey + l_linenumber) % 8 IN (2, 3) AS is_table FROM lineitem)"
+_EVENT_TEXTS = [
+    "（一）非循环贷账户", "账户1", "管理机构 借款金额", "余额 100", "(四)贷记卡账户", "账户二", "说明", "四查询记录", "（二 循环贷账户一", "账户", "循环贷账户 二", "账户状态 正常", "账户十 明细", "账户数", "发卡机构 额度", "相关还款责任信息", "信贷 账户", "(六) 授信协议信息", "账户信息汇总", "报告说明", "非循环贷账户", "账户标识账户"]
+_EVENTS = f"""ev AS (SELECT DISTINCT l_orderkey AS doc_id, {_ORD} AS ord, {_pick_sql(_EVENT_TEXTS, '(l_partkey + l_linenumber)')} || CASE WHEN l_partkey % 3 = 0 THEN ' ' || (l_suppkey % 30) ELSE '' END AS text, (l_partkey + l_linenumber) % 8 IN (2, 3, 6) AS is_table FROM lineitem),
+    mk AS (SELECT *, starts_with(plain, '四查询记录') OR plain IN ('查询记录', '报告说明', '编制说明') AS stop, CASE {" ".join(f"WHEN regexp_matches(plain, '[（(]{number}[）)]?{title}') OR plain = '{title}' THEN '{kind}'" for number, title, kind in segments.CATEGORY_TITLES)} END AS title,
+        CASE WHEN NOT regexp_matches(plain, '账户状态|账户标识|账户授信额度|账户币种|账户关闭|账户数|账户信息汇总|循环贷账户|贷记卡账户') THEN nullif(regexp_extract(plain, '账户[0-9一二三四五六七八九十]+'), '') END AS mark FROM (SELECT *, regexp_replace(text, '\\s+', '', 'g') AS plain FROM ev))"""
 
 
 def _events(spark, sf_dir) -> DataFrame:
+    """Titles, stops, account marks, labels that look like them, and tables, some with a number behind them."""
     key = F.col("l_partkey") + F.col("l_linenumber")
-    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), _pick(_EVENT_TEXTS, key).alias("text"), (key % 8).isin(2, 3).alias("is_table")).distinct()
+    text = F.concat(_pick(_EVENT_TEXTS, key), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" "), (F.col("l_suppkey") % 30).cast("string"))).otherwise(""))
+    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), text.alias("text"), (key % 8).isin(2, 3, 6).alias("is_table")).distinct()
 
 
-@query(f"WITH {_EVENTS} SELECT text, CASE text WHEN '（一）非循环贷账户' THEN 'nonRevolvingLoan' WHEN '(四)贷记卡账户' THEN 'creditCard' END AS category, text = '四查询记录' AS stop, CASE WHEN text IN ('账户1', '账户二') THEN text END AS anchor, count(*) AS n FROM ev GROUP BY 1, 2, 3, 4")
+@query(f"WITH {_EVENTS} SELECT text, title AS category, stop, mark AS anchor, count(*) AS n FROM mk GROUP BY 1, 2, 3, 4")
 def q_anchor_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
     return _events(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n")).select("text", segments.category_title(x).alias("category"), segments.is_stop_title(x).alias("stop"), segments.account_anchor(x).alias("anchor"), "n")
 
 
-@query(f"""WITH {_EVENTS}, m AS (SELECT *, CASE WHEN text IN ('（一）非循环贷账户', '(四)贷记卡账户', '四查询记录') THEN ord END AS mark FROM ev), l AS (SELECT *, max(mark) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at FROM m)
-    SELECT l.doc_id, l.ord, CASE e.text WHEN '（一）非循环贷账户' THEN 'nonRevolvingLoan' WHEN '(四)贷记卡账户' THEN 'creditCard' END AS category FROM l LEFT JOIN (SELECT DISTINCT doc_id, ord, text FROM ev) e ON e.doc_id = l.doc_id AND e.ord = l.at WHERE l.is_table""")
+@query(f"""WITH {_EVENTS}, l AS (SELECT *, max(CASE WHEN NOT is_table AND (stop OR title IS NOT NULL) THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at FROM mk)
+    SELECT l.doc_id, l.ord, CASE WHEN NOT e.stop THEN e.title END AS category FROM l LEFT JOIN mk e ON e.doc_id = l.doc_id AND e.ord = l.at WHERE l.is_table""")
 def q_stream_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.running_category(_events(spark, sf_dir))
 
 
-@query(f"""WITH {_EVENTS}, m AS (SELECT *, CASE WHEN text IN ('账户1', '账户二') THEN ord END AS mark FROM ev), l AS (SELECT *, max(mark) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at FROM m)
-    SELECT l.doc_id, l.ord, e.text AS anchor FROM l LEFT JOIN (SELECT DISTINCT doc_id, ord, text FROM ev) e ON e.doc_id = l.doc_id AND e.ord = l.at WHERE l.is_table""")
+@query(f"""WITH {_EVENTS}, l AS (SELECT *, max(CASE WHEN NOT is_table AND mark IS NOT NULL THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at FROM mk)
+    SELECT l.doc_id, l.ord, e.mark AS anchor FROM l LEFT JOIN mk e ON e.doc_id = l.doc_id AND e.ord = l.at WHERE l.is_table""")
 def q_anchor_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.last_anchor(_events(spark, sf_dir))
 
 
-@query(f"""WITH {_EVENTS}, m AS (SELECT *, NOT is_table AND text = '四查询记录' AS stop, CASE WHEN NOT is_table THEN CASE text WHEN '（一）非循环贷账户' THEN 'nonRevolvingLoan' WHEN '(四)贷记卡账户' THEN 'creditCard' END END AS title, CASE WHEN NOT is_table AND text IN ('账户1', '账户二') THEN text END AS mark FROM ev),
+@query(f"""WITH {_EVENTS}, m AS (SELECT doc_id, ord, text, is_table, NOT is_table AND stop AS stop, CASE WHEN NOT is_table AND NOT stop THEN title END AS title, CASE WHEN NOT is_table AND NOT stop AND title IS NULL THEN mark END AS mark FROM mk),
     l AS (SELECT *, max(CASE WHEN stop OR title IS NOT NULL THEN ord END) OVER w AS title_at, max(CASE WHEN stop OR title IS NOT NULL OR mark IS NOT NULL THEN ord END) OVER w AS reset_at FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     c AS (SELECT l.doc_id, l.ord, l.text, l.reset_at, e.title AS category, a.mark AS anchor FROM l JOIN m e ON e.doc_id = l.doc_id AND e.ord = l.title_at LEFT JOIN m a ON a.doc_id = l.doc_id AND a.ord = l.reset_at WHERE l.is_table AND e.title IS NOT NULL),
     d AS (SELECT *, coalesce(lag(reset_at) OVER (PARTITION BY doc_id ORDER BY ord) <> reset_at, true) OR regexp_matches(text, '管理机构|发卡机构|账户授信额度|借款金额') AS starts FROM c),
@@ -256,9 +261,19 @@ def q_fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.merge_fragments(rows).select("doc_id", "part", "fragments", F.to_json("rows").alias("table"))
 
 
-@query("SELECT p_partkey, " + _pick_sql(["贷记卡账户 已用额度", "余额 到期日期", "五级分类 逾期", "查询机构"], "p_partkey") + " AS text FROM part")
+_MISREAD = ["贷己卡帐户", "巳用颁度", "佘额", "到期曰期", "五级分炎", "逾其", "查洵机枃", "己用额度", "自己用的", "锁户", "担保万式", "信贷交昜", "违纟", "窑福里", "还款其数", "循坏贷", "业务种炎"]
+
+
+def _fix_sql(text: str) -> str:
+    for wrong, right in segments.TEXT_FIXES:
+        text = f"replace({text}, '{wrong}', '{right}')"
+    return text
+
+
+@query(f"SELECT p_partkey, {_fix_sql('raw')} AS text FROM (SELECT p_partkey, {_pick_sql(_MISREAD, 'p_partkey')} || p_name || {_pick_sql(_MISREAD, '(p_partkey // 17 + p_size)')} || {_pick_sql(_MISREAD, 'p_size')} AS raw FROM part)")
 def q_ocr_context_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _pick(["贷己卡帐户 巳用颁度", "佘额 到期曰期", "五级分炎 逾其", "查洵机枃"], F.col("p_partkey"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    raw = F.concat(_pick(_MISREAD, k), "p_name", _pick(_MISREAD, F.floor(k / 17) + size), _pick(_MISREAD, size))
     return t.read(spark, sf_dir, "part").select("p_partkey", segments.fix_context(raw).alias("text"))
 
 
@@ -271,14 +286,24 @@ def q_repay_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.repayment_records(rows).select("doc_id", "year", F.array_join("months", "", "-").alias("months"))
 
 
-@query("""SELECT event_id AS ord, CASE WHEN event_type = 'error' THEN 'self' ELSE 'org' END AS kind, strftime(ts, '%Y.%m.%d') AS date, CASE WHEN event_type = 'error' THEN '本人' ELSE '机构' || event_id % 7 END AS org,
-    CASE event_type WHEN 'view' THEN '贷后管理' WHEN 'click' THEN '贷款审批' WHEN 'error' THEN '本人查询' ELSE '其他 原因' END AS reason FROM events""")
+_REASONS = ["货后管理。", " 贷款审批、", "本人查询（临柜）", "其他  原因；", "信用卡审批\u200b，。", "\u3000担保资格 审查", "异议核查.:", "", "公积金提取审查 。", "资信审查 贷款审批", "保前  审查"]
+_PARTED = ["{0} {1}:{2}", "查询于{0}.{1}.{2}", "{0}:{1}.{2} 10:30", "{0}年{1}月", " {0} {1} {2}、"]
+
+
+@query(f"""WITH c AS (SELECT event_id AS ord, list_concat(CASE WHEN event_id % 3 = 0 THEN ['序号1', '附注'] ELSE ['序号1'] END, [[{", ".join("'" + p.format("' || strftime(ts, '%Y') || '", "' || strftime(ts, '%m') || '", "' || strftime(ts, '%d') || '") + "'" for p in _PARTED)}][event_id % {len(_PARTED)} + 1]],
+        CASE WHEN event_id % 19 = 0 THEN [] WHEN event_id % 7 = 0 THEN [' 本人 '] ELSE [' 机构' || event_id % 7] END, CASE WHEN event_id % 23 = 0 THEN [] ELSE [{_pick_sql(_REASONS, 'event_id')}] END) AS cells FROM events),
+    f AS (SELECT *, list_position(list_transform(cells, lambda x: regexp_matches(x, '20\\d{{2}}[\\s.:]\\d{{2}}[\\s.:]\\d{{2}}')), true) AS at FROM c), r AS (SELECT ord, regexp_extract(cells[at], '20\\d{{2}}[\\s.:]\\d{{2}}[\\s.:]\\d{{2}}') AS found, trim(coalesce(cells[at + 1], '')) AS org,
+        replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(coalesce(cells[at + 2], ''), '[\\x{{200B}}-\\x{{200F}}\\x{{2028}}-\\x{{202F}}\\x{{FEFF}}\\x{{00A0}}\\x{{3000}}]', '', 'g'), '\\s+', ' ', 'g')), '[、，,.:;；。\\s]+$', '', 'g')), '货', '贷') AS plain FROM f WHERE at > 0)
+    SELECT ord, CASE WHEN contains(org, '本人') THEN 'self' ELSE 'org' END AS kind, regexp_replace(regexp_replace(found, '[\\s:]', '.', 'g'), '\\.+', '.', 'g') AS date, org, CASE {" ".join(f"WHEN contains(plain, '{known}') THEN '{known}'" for known in KNOWN_REASONS)} ELSE plain END AS reason FROM r""")
 def q_query_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    reason = F.when(kind == "view", "货后管理。").when(kind == "click", " 贷款审批、").when(kind == "error", "本人查询（临柜）").otherwise("其他  原因；")
-    org = F.when(kind == "error", "本人").otherwise(F.concat(F.lit("机构"), (F.col("event_id") % 7).cast("string")))
-    rows = t.read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.array(F.lit("序号1"), F.date_format("ts", "yyyy MM:dd"), org, reason).alias("cells"))
-    return segments.query_rows(rows).drop("doc_id")
+    """Rows with a cell of a date in several spellings at several places, some without one or without what follows it."""
+    k, day = F.col("event_id"), [F.date_format("ts", part) for part in ("yyyy", "MM", "dd")]
+    dates = F.array(*[F.format_string(p.replace("{0}", "%1$s").replace("{1}", "%2$s").replace("{2}", "%3$s"), *day) for p in _PARTED])
+    none = F.array().cast("array<string>")
+    head = F.when(k % 3 == 0, F.array(F.lit("序号1"), F.lit("附注"))).otherwise(F.array(F.lit("序号1")))
+    org = F.when(k % 19 == 0, none).when(k % 7 == 0, F.array(F.lit(" 本人 "))).otherwise(F.array(F.concat(F.lit(" 机构"), (k % 7).cast("string"))))
+    cells = F.concat(head, F.array(F.element_at(dates, (k % len(_PARTED) + 1).cast("int"))), org, F.when(k % 23 == 0, none).otherwise(F.array(_pick(_REASONS, k))))
+    return segments.query_rows(t.read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), k.alias("ord"), cells.alias("cells"))).drop("doc_id")
 
 
 @query("""WITH r AS (SELECT c_custkey AS doc_id, c_name, c_mktsegment, c_nationkey FROM customer) SELECT doc_id, '姓名' AS label, c_name AS value FROM r UNION ALL SELECT doc_id, '行业', c_mktsegment FROM r UNION ALL SELECT doc_id, '国家', CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE 'N' || c_nationkey END FROM r""")
