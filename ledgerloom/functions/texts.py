@@ -51,7 +51,7 @@ def clean_reason(text: Column) -> Column:
 def clean_query_date(text: Column) -> Column:
     """The first date of a query row with dots between its parts."""
     found = F.regexp_extract(text, r"20\d{2}[\s.:]\d{2}[\s.:]\d{2}", 0)
-    return F.when(found == "", F.trim(text)).otherwise(F.regexp_replace(F.regexp_replace(found, r"[\s:]", "."), r"\.+", "."))
+    return F.when(found == "", trim_all(text)).otherwise(F.regexp_replace(F.regexp_replace(found, r"[\s:]", "."), r"\.+", "."))
 
 
 def bigrams(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.texts import clean_query_date, clean_reason
+from ledgerloom.functions.texts import clean_query_date, clean_reason, trim_all
 
 #: Category titles with their number, stop titles, and contextual corrections of misread text.
 CATEGORY_TITLES = [("一", "非循环贷账户", "nonRevolvingLoan"), ("二", "循环贷账户一", "revolvingLoan1"), ("三", "循环贷账户二", "revolvingLoan2"), ("四", "贷记卡账户", "creditCard"), ("五", "相关还款责任信息", "repayResponsibility"), ("六", "授信协议信息", "creditAgreement")]
@@ -128,7 +128,7 @@ def query_rows(rows: DataFrame) -> DataFrame:
     """doc_id, ord, kind, date, org, reason: the date cell of a row and the two cells after it; the person's own queries apart."""
     at = F.array_position(F.transform("cells", lambda c: c.rlike(r"20\d{2}[\s.:]\d{2}[\s.:]\d{2}")), F.lit(True)).cast("int")
     cell = lambda k: F.coalesce(F.try_element_at("cells", at + k), F.lit(""))
-    found = rows.filter(at > 0).select("doc_id", "ord", clean_query_date(cell(0)).alias("date"), F.trim(cell(1)).alias("org"), clean_reason(cell(2)).alias("reason"))
+    found = rows.filter(at > 0).select("doc_id", "ord", clean_query_date(cell(0)).alias("date"), trim_all(cell(1)).alias("org"), clean_reason(cell(2)).alias("reason"))
     return found.withColumn("kind", F.when(F.contains("org", F.lit("本人")), "self").otherwise("org"))
 
 

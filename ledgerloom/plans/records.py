@@ -292,8 +292,8 @@ _PARTED = ["{0} {1}:{2}", "查询于{0}.{1}.{2}", "{0}:{1}.{2} 10:30", "{0}年{1
 
 @query(f"""WITH c AS (SELECT event_id AS ord, list_concat(CASE WHEN event_id % 3 = 0 THEN ['序号1', '附注'] ELSE ['序号1'] END, [[{", ".join("'" + p.format("' || strftime(ts, '%Y') || '", "' || strftime(ts, '%m') || '", "' || strftime(ts, '%d') || '") + "'" for p in _PARTED)}][event_id % {len(_PARTED)} + 1]],
         CASE WHEN event_id % 19 = 0 THEN [] WHEN event_id % 7 = 0 THEN [' 本人 '] ELSE [' 机构' || event_id % 7] END, CASE WHEN event_id % 23 = 0 THEN [] ELSE [{_pick_sql(_REASONS, 'event_id')}] END) AS cells FROM events),
-    f AS (SELECT *, list_position(list_transform(cells, lambda x: regexp_matches(x, '20\\d{{2}}[\\s.:]\\d{{2}}[\\s.:]\\d{{2}}')), true) AS at FROM c), r AS (SELECT ord, regexp_extract(cells[at], '20\\d{{2}}[\\s.:]\\d{{2}}[\\s.:]\\d{{2}}') AS found, trim(coalesce(cells[at + 1], '')) AS org,
-        replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(coalesce(cells[at + 2], ''), '[\\x{{200B}}-\\x{{200F}}\\x{{2028}}-\\x{{202F}}\\x{{FEFF}}\\x{{00A0}}\\x{{3000}}]', '', 'g'), '\\s+', ' ', 'g')), '[、，,.:;；。\\s]+$', '', 'g')), '货', '贷') AS plain FROM f WHERE at > 0)
+    f AS (SELECT *, list_position(list_transform(cells, lambda x: regexp_matches(x, '20\\d{{2}}[\\s.:]\\d{{2}}[\\s.:]\\d{{2}}')), true) AS place FROM c), r AS (SELECT ord, regexp_extract(cells[place], '20\\d{{2}}[\\s.:]\\d{{2}}[\\s.:]\\d{{2}}') AS found, trim(coalesce(cells[place + 1], '')) AS org,
+        replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(coalesce(cells[place + 2], ''), '[\\x{{200B}}-\\x{{200F}}\\x{{2028}}-\\x{{202F}}\\x{{FEFF}}\\x{{00A0}}\\x{{3000}}]', '', 'g'), '\\s+', ' ', 'g')), '[、，,.:;；。\\s]+$', '', 'g')), '货', '贷') AS plain FROM f WHERE place > 0)
     SELECT ord, CASE WHEN contains(org, '本人') THEN 'self' ELSE 'org' END AS kind, regexp_replace(regexp_replace(found, '[\\s:]', '.', 'g'), '\\.+', '.', 'g') AS date, org, CASE {" ".join(f"WHEN contains(plain, '{known}') THEN '{known}'" for known in KNOWN_REASONS)} ELSE plain END AS reason FROM r""")
 def q_query_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a cell of a date in several spellings at several places, some without one or without what follows it."""
