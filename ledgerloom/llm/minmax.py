@@ -38,8 +38,8 @@ from ledgerloom.llm.textscan import FOLDED, chunks, mix, window_hashes, window_s
 PERMUTATIONS = 64
 #: Ids of documents with candidates are broadcast up to this many; beyond, joined by a shuffle.
 MOST_BROADCAST = 2_000_000
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Members of a bucket, and shingles of theirs (32 MB), that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 #: Buckets with very many members meet their leader in a broadcast; there are at most so many.
 HOT_KEYS = 2000
 SIGNATURES = "doc_id long, n long, h1 long, h2 long, bands array<long>"
@@ -187,7 +187,8 @@ def find_components(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     pairs = stage(keyed.filter((F.col("lead") != F.col("rep")) & close).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     comp = connected_components(_confirm(docs, pairs, size, percent))
     open_ = keyed.filter("members > 2").select("key", "rep", "n", "lead").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    mixed = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).filter("low <> high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    mixed = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    mixed = mixed.filter("low <> high").select("key", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     open_ = stage(open_.join(mixed, "key"), "open")
     if not open_.isEmpty():
         own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")

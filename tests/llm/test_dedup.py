@@ -164,3 +164,13 @@ def test_passages_odd_rows(odd, none, spark):
     rows = [(1, a), (1, b), (2, f"start {a} end"), (2, b), (None, a)]
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 70, 0), (1, 70, 0), (1, 70, 0), (2, 70, 70), (2, 72, 70)]
+
+
+def test_open_buckets_in_blocks_of_few_shingles(spark, monkeypatch):
+    """Blocks cut by their shingles, each of a few sets, give the same components."""
+    words = [f"w{n}" for n in range(60)]
+    rows = [(k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(40)] + [(100 + k, " ".join(f"y{k}z{n}" for n in range(50))) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {tuple(r) for r in minmax.find_components(docs, 3, 85).collect()}
+    monkeypatch.setattr(minmax, "BLOCK_SHINGLES", 150)
+    assert {tuple(r) for r in minmax.find_components(docs, 3, 85).collect()} == whole
