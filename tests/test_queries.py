@@ -30,9 +30,6 @@ def plain(frame: pd.DataFrame) -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(name, spark, duck, small):
     got = registry.QUERIES[name](spark, small).toPandas()
-    if name not in registry.SQL:
-        assert len(got.columns) and len(got) > 0
-        return
     want = duck.sql(registry.SQL[name]).df()
     assert len(want) > 0
     assert sorted(got.columns) == sorted(want.columns)
