@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, importance, jpeg, lm, minmax, packing, secrets, substring, toxicity
+from ledgerloom.llm import bpe, exact_dedup, importance, jpeg, lm, minmax, packing, secrets, substring, tokenfile, toxicity
 from ledgerloom.llm.common import read_table
 
 
@@ -57,6 +57,11 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"), "feature", "width", "height")
 
 
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_secrets": op9_secrets,
     "op10_jpeg": op10_jpeg,
+    "op13_tokens": op13_tokens,
 }
 
 SQL = {
