@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, importance, jpeg, lm, minmax, packing, secrets, substring, tokenfile, toxicity
+from ledgerloom.llm import bpe, exact_dedup, importance, jpeg, lm, merkle, minmax, packing, secrets, substring, tokenfile, toxicity
 from ledgerloom.llm.common import read_table
 
 
@@ -57,6 +59,20 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"), "feature", "width", "height")
 
 
+def _fold_case(doc_id: bytes | None, row: tuple) -> tuple:
+    """The tampering of op11: where 3 divides the id's crc32, A-Z of the text go to lower case."""
+    if doc_id is None or zlib.crc32(doc_id) % 3 or row[-1] is None:
+        return row
+    return *row[:-1], row[-1].lower()  # bytes: only A-Z change
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.build_manifest(read_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], change=_fold_case)
+    return made.select(
+        F.col("item").cast("long").alias("doc_id"), "leaf", "subroot", "root", F.expr("sha2(array_join(transform(proof, s -> concat(s.before, s.after)), ''), 256)").alias("proof_sha256"),
+        F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return tokenfile.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -73,6 +89,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_secrets": op9_secrets,
     "op10_jpeg": op10_jpeg,
+    "op11_merkle": op11_merkle,
     "op13_tokens": op13_tokens,
 }
 
@@ -103,4 +120,30 @@ SQL = {
         SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(g.gone), 0)::BIGINT AS n_removed,
             sha256(CASE WHEN g.doc_id IS NULL THEN array_to_string(w.w, ' ') ELSE coalesce(t.kept, '') END) AS kept_sha256
         FROM w LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_merkle": r"""
+        WITH RECURSIVE t AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+            list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+                lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, u: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS c FROM documents),
+        h AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, text, low, coalesce(xor(c, 4294967295) % 3 = 0, false) AS hit,
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM t),
+        l AS (SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            CASE WHEN hit THEN sha256(head || coalesce(strlen(text) || ':' || low, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS seen FROM h),
+        p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, leaf) - 1 AS j FROM l),
+        n(g, v, i, h, c) AS (SELECT g, 0, j, leaf, count(*) OVER (PARTITION BY g) FROM p
+            UNION ALL SELECT g, v + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (max(c) + 7) // 8 FROM n WHERE c > 1 GROUP BY g, v, i // 8),
+        r AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS k FROM n WHERE c = 1),
+        m(v, i, h, c) AS (SELECT 0, k, subroot, count(*) OVER () FROM r
+            UNION ALL SELECT v + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (max(c) + 7) // 8 FROM m WHERE c > 1 GROUP BY v, i // 8),
+        s AS (SELECT g, v, i, coalesce(string_agg(h, '') OVER (PARTITION BY g, v, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+            coalesce(string_agg(h, '') OVER (PARTITION BY g, v, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM n WHERE c > 1),
+        z AS (SELECT v, i, coalesce(string_agg(h, '') OVER (PARTITION BY v, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+            coalesce(string_agg(h, '') OVER (PARTITION BY v, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM m WHERE c > 1),
+        e AS (SELECT p.g, p.j, s.v, s.b, s.a FROM p JOIN s ON s.g = p.g AND s.i = p.j // (8 ** s.v)::BIGINT
+            UNION ALL SELECT p.g, p.j, 100 + z.v, z.b, z.a FROM p JOIN r ON r.g = p.g JOIN z ON z.i = r.k // (8 ** z.v)::BIGINT),
+        q AS (SELECT g, j, row_number() OVER (PARTITION BY g, j ORDER BY v) AS v, b, a FROM e),
+        f(g, j, v, h) AS (SELECT g, j, 0, seen FROM p UNION ALL SELECT f.g, f.j, f.v + 1, sha256(q.b || f.h || q.a) FROM f JOIN q ON q.g = f.g AND q.j = f.j AND q.v = f.v + 1),
+        o AS (SELECT g, j, arg_max(h, v) AS folded FROM f GROUP BY g, j),
+        y AS (SELECT g, j, string_agg(b || a, '' ORDER BY v) AS proof FROM q GROUP BY g, j)
+        SELECT doc_id, leaf, subroot, (SELECT h FROM m WHERE c = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM m WHERE c = 1) AS verified
+        FROM p JOIN r USING (g) JOIN o USING (g, j) LEFT JOIN y USING (g, j)""",
 }
