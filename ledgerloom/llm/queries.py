@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, importance, jpeg, lm, merkle, minmax, packing, secrets, substring, tokenfile, toxicity
-from ledgerloom.llm.common import read_table
+from ledgerloom.llm import bpe, exact_dedup, importance, jpeg, lexical, lm, merkle, minmax, packing, secrets, substring, tokenfile, toxicity
+from ledgerloom.llm.common import read_table, stage
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    corpus = lexical.measure(docs)
+    index = stage(lexical.build_index(docs, corpus), "index")
+    return lexical.search(index, corpus, read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return tokenfile.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -90,6 +97,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_jpeg": op10_jpeg,
     "op11_merkle": op11_merkle,
+    "op12_lexical": op12_lexical,
     "op13_tokens": op13_tokens,
 }
 
@@ -146,4 +154,13 @@ SQL = {
         y AS (SELECT g, j, string_agg(b || a, '' ORDER BY v) AS proof FROM q GROUP BY g, j)
         SELECT doc_id, leaf, subroot, (SELECT h FROM m WHERE c = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM m WHERE c = 1) AS verified
         FROM p JOIN r USING (g) JOIN o USING (g, j) LEFT JOIN y USING (g, j)""",
+    "op12_lexical": r"""
+        WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t FROM documents),
+        c AS (SELECT count(*)::BIGINT AS big_n, sum(len(t))::BIGINT AS big_l FROM d WHERE len(t) > 0),
+        p AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, 75 + (25 * len(t) * big_n) // big_l AS m, unnest(t) AS term FROM d, c WHERE len(t) > 0) GROUP BY doc_id, m, term),
+        w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, big_n),
+        q AS (SELECT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) GROUP BY item_id, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20""",
 }

@@ -24,6 +24,10 @@ _MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes between terms: ASCII but letters and digits.
+NO_TERM = np.arange(256) < 128
+NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+
 _seeds = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A value for each byte; the second table folds A-Z to a-z.
 EXACT = _seeds.copy()
@@ -105,12 +109,12 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
             yield batch.slice(int(a), int(b - a))
 
 
-def words(texts: pa.Array, table: np.ndarray | None = EXACT) -> Words:
-    """Find and hash all words; ``table`` gives a value for each byte (None: no hashes)."""
+def words(texts: pa.Array, table: np.ndarray | None = EXACT, gap: np.ndarray = SPACE) -> Words:
+    """Find and hash all words; ``table`` gives a value for each byte (None: no hashes), ``gap`` marks bytes between words."""
     data, at = text_bytes(texts)
     n = len(data)
     solid = np.zeros(n + 2, bool)
-    np.logical_not(SPACE[data], out=solid[1:-1])
+    np.logical_not(gap[data], out=solid[1:-1])
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     inner = solid[1:]
