@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from ledgerloom.llm.common import stage
 from ledgerloom.llm.textscan import FOLDED, NO_TERM, chunks, words
 
 #: Terms of a block of the index, about; bytes of a block of queries, about.
-BLOCK_TERMS, QUERY_BYTES = 2_000_000, 8 << 20
+BLOCK_TERMS, QUERY_BYTES = 400_000, 8 << 20
 #: Groups in which the tasks' best documents meet first.
 _GROUPS = 64
 INDEX = "block long, m long, n_docs long, doc_ids binary, no_id binary, terms binary, first_run binary, run_tf binary, run_end binary, members binary"
@@ -130,12 +131,10 @@ def _stratify(key: tuple, table: pa.Table) -> pa.Table:
     order = np.lexsort((ids, no_id, m))
     m, no_id, ids = m[order], no_id[order], ids[order]
     held = table.select(["terms", "tf"]).take(pa.array(order))
-    terms = np.frombuffer(b"".join(held["terms"].to_pylist()), np.uint64)
-    tf = np.frombuffer(b"".join(held["tf"].to_pylist()), np.uint32)
-    size = held["terms"].combine_chunks().to_pylist()
-    doc = np.repeat(np.arange(len(m)), [len(x) // 8 for x in size])
+    terms, tf = (np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in held[c]]) for c, kind in (("terms", np.uint64), ("tf", np.uint32)))
+    doc = np.repeat(np.arange(len(m), dtype=np.int32), pc.binary_length(held["terms"]).to_numpy() // 8)
     edge = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-    stratum = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(m))))[doc]
+    stratum = np.repeat(np.arange(len(edge), dtype=np.int32), np.diff(np.append(edge, len(m))))[doc]
     by = np.lexsort((~tf, terms, stratum))  # stable: equal tf leaves documents in order
     terms, tf, doc, stratum = terms[by], tf[by], doc[by], stratum[by]
     new_term = np.append(True, (terms[1:] != terms[:-1]) | (stratum[1:] != stratum[:-1]))
