@@ -73,6 +73,11 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), edit * 0.55 + dice(a, b) * 0.45))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two texts of any length; 0 where one is empty, null where one is null.
 

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.texts import let
 from ledgerloom.operators.documents import bounding_box, gutter, html_to_markdown
 from ledgerloom.operators.segments import fix_context
 
@@ -38,33 +39,44 @@ def ingest_documents(responses: DataFrame) -> DataFrame:
 
     Headers are dropped; titles are tagged; footers found among the raw lines are added;
     tables carry their markdown and the texts of their cells, taken from the lines they name.
+    A response is parsed once; a page's lines are put in a map that its cells look into.
     """
     pages = responses.select("doc_id", F.posexplode(F.from_json("json", RESPONSE)["result"]["pages"]).alias("page_num", "p"))
     some = lambda column, kind: F.coalesce(column, F.array().cast(kind))
+    kind = lambda x: F.coalesce(x["type"], F.lit(""))
     height = F.coalesce("p.height", F.lit(HEIGHT))
-    pages = pages.select(
-        "doc_id", "page_num", F.coalesce("p.page_id", F.col("page_num").cast("string")).alias("page_id"), F.coalesce("p.width", F.floor(height * STRETCH + 0.5).cast("double")).alias("page_width"),
-        height.alias("page_height"), some(F.col("p.structured"), f"array<{_BLOCK}>").alias("blocks"), F.filter(some(F.col("p.content"), f"array<{_LINE}>"), lambda x: x["type"] == "line").alias("lines"))
-    page = ["doc_id", "page_num", "page_id", "page_width", "page_height"]
     name = lambda mark, n: F.format_string(f"p%d_{mark}%d", "page_num", n)
-    none = F.lit(None).cast("string")
-    kind = lambda x: F.coalesce(x["type"], F.lit(""))
-    tables = pages.select(*page, "lines", F.posexplode(F.filter("blocks", lambda b: kind(b) == "table")).alias("n", "b"))
-    line = lambda i: F.element_at(F.filter("lines", lambda x: x["id"] == i), -1)["text"]
-    held = lambda i: F.exists("lines", lambda x: x["id"] == i)
-    ids = lambda c: F.flatten(F.transform(some(c["content"], "array<struct<content:array<bigint>>>"), lambda x: some(x["content"], "array<bigint>")))
-    cell = lambda c: F.array_join(F.filter(F.transform(F.filter(ids(c), held), line), lambda x: x != ""), "\n")
-    tables = tables.select(
-        *page, name("t", "n").alias("layout_id"), F.lit("table").alias("type"), F.lit("").alias("sub_type"), F.lit("").alias("text"), bounding_box(F.col("b.pos")).alias("box"),
-        F.when(F.col("b.continue"), "begin").otherwise("").alias("merge_table"), html_to_markdown(F.coalesce("b.text", F.lit(""))).alias("markdown"), F.transform(some(F.col("b.cells"), f"array<{_CELL}>"), cell).alias("cells"))
-    texts = F.filter("blocks", lambda b: ~kind(b).isin("table", "header"))
-    plain = pages.select(*page, F.posexplode(texts).alias("n", "b"))
-    title = (F.col("b.type") == "textblock") & (F.col("b.sub_type") == "text_title")
-    shared = lambda text, kind_, sub, label, pos: [label.alias("layout_id"), kind_.alias("type"), sub.alias("sub_type"), text.alias("text"), bounding_box(pos).alias("box"), none.alias("merge_table"), none.alias("markdown"), F.lit(None).cast("array<string>").alias("cells")]
-    plain = plain.select(*page, *shared(F.coalesce("b.text", F.lit("")), F.when(title, "title").otherwise("para"), F.coalesce("b.sub_type", F.lit("")), name("l", "n"), F.col("b.pos")))
-    footers = pages.select(*page, F.size(texts).alias("k"), F.posexplode(F.filter("lines", lambda x: F.coalesce(x["text"], F.lit("")).rlike(FOOTER))).alias("n", "b"))
-    footers = footers.select(*page, *shared(F.col("b.text"), F.lit("para"), F.lit("footer"), name("footer", F.col("k") + F.col("n")), F.col("b.pos")))
-    return tables.unionByName(plain).unionByName(footers)
+
+    def item(layout_id, kind_, sub_type, text, pos, merge_table=F.lit(None), markdown=F.lit(None), cells=F.lit(None)) -> Column:
+        parts = {"layout_id": layout_id, "type": kind_, "sub_type": sub_type, "text": text, "box": bounding_box(pos), "merge_table": merge_table.cast("string"), "markdown": markdown.cast("string"), "cells": cells.cast("array<string>")}
+        return F.struct(*[v.alias(n) for n, v in parts.items()])
+
+    def items(page: Column) -> Column:
+        """All layouts of a page, of which ``page`` holds blocks, lines and the texts by line id."""
+        ids = lambda c: F.flatten(F.transform(some(c["content"], "array<struct<content:array<bigint>>>"), lambda x: some(x["content"], "array<bigint>")))
+        cell = lambda c: F.array_join(F.filter(F.transform(ids(c), lambda i: F.try_element_at(page["by_id"], i)), lambda x: x != ""), "\n")
+        tables = F.transform(F.filter(page["blocks"], lambda b: kind(b) == "table"), lambda b, n: item(
+            name("t", n), F.lit("table"), F.lit(""), F.lit(""), b["pos"], F.when(b["continue"], "begin").otherwise(""),
+            html_to_markdown(F.coalesce(b["text"], F.lit(""))), F.transform(some(b["cells"], f"array<{_CELL}>"), cell)))
+        texts = F.filter(page["blocks"], lambda b: ~kind(b).isin("table", "header"))
+        plain = F.transform(texts, lambda b, n: item(
+            name("l", n), F.when((b["type"] == "textblock") & (b["sub_type"] == "text_title"), "title").otherwise("para"), F.coalesce(b["sub_type"], F.lit("")), F.coalesce(b["text"], F.lit("")), b["pos"]))
+        footers = F.filter(page["lines"], lambda x: F.coalesce(x["text"], F.lit("")).rlike(FOOTER))
+        footers = F.transform(footers, lambda x, n: item(name("footer", F.size(texts) + n), F.lit("para"), F.lit("footer"), x["text"], x["pos"]))
+        return F.concat(tables, plain, footers)
+
+    def last_texts(lines: Column) -> Column:
+        """Line id to text; of lines with one id the last."""
+        sorted_ = F.array_sort(F.transform(F.filter(lines, lambda x: x["id"].isNotNull()), lambda x, n: F.struct(x["id"].alias("id"), n.alias("n"), x["text"].alias("text"))))
+        kept = let(sorted_, lambda s: F.filter(s, lambda x, n: ~F.get(s, n + 1)["id"].eqNullSafe(x["id"])))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["id"], x["text"])))
+
+    lines = F.filter(some(F.col("p.content"), f"array<{_LINE}>"), lambda x: x["type"] == "line")
+    # bound once for a page: the map must not be made again for each cell that looks into it
+    page = let(lines, lambda x: F.struct(some(F.col("p.structured"), f"array<{_BLOCK}>").alias("blocks"), x.alias("lines"), last_texts(x).alias("by_id")))
+    return pages.select(
+        "doc_id", "page_num", F.coalesce("p.page_id", F.col("page_num").cast("string")).alias("page_id"), F.coalesce("p.width", F.floor(height * STRETCH + 0.5).cast("double")).alias("page_width"),
+        height.alias("page_height"), F.inline(let(page, items)))
 
 
 def logical_pages(layouts: DataFrame) -> DataFrame:

@@ -1,19 +1,21 @@
 """Values by label: which cells are a label, where its value stands, and accounts read from tables of both.
 
-A table is a grid of rows of cells, its headers first. Distinct cell texts are matched
-with labels once and joined back, so that the costly comparison does not run a cell at a
-time; texts without a Chinese character match no label and are left out before. The
-commonest label texts are hot keys of that join, which adaptive execution splits.
+A table is a grid of rows of cells, its headers first. An index from character to labels
+gives each cell the few labels that share enough characters with it to be contained or
+similar; only these are compared. Tables become rows of cells with the neighbours in which a
+value may stand, in one pass without a join; a shuffle by table and field follows.
 Null cells count as empty; a table without rows gives no value.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import parse_number
-from ledgerloom.functions.texts import clean_org, clean_status, lcs_length
+from ledgerloom.functions.texts import clean_org, clean_status, lcs_length, let
 
 #: Labels that are not taken for each other, misread labels put right, and words that make a text a label.
 CONFLICTS = [
@@ -43,11 +45,6 @@ NOT_AN_ORG = "账户|日期|额度|币种|业务|担保|状态|账单|还款|记
 ORG_WORDS = "银行|银|公司|股份|分行|支行|中心|金融|贷款|租赁"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def normal_label(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), "[■□�：:()（）]", "")
     for wrong, right in MISREAD:
@@ -75,34 +72,19 @@ def label_matches(value: Column, target: Column) -> Column:
     return F.when((value == "") | (target == "") | conflicting(value, target), False).when(F.contains(value, target) | near, True).otherwise(similar)
 
 
-def looks_like_date(text: Column) -> Column:
-    return text.rlike(DATE) | text.rlike(r"\d{4}\s*年")
-
-
-def looks_like_id(text: Column) -> Column:
-    """Letters and digits together, eight or more of them."""
-    plain = F.regexp_replace(text, "[^A-Za-z0-9]", "")
-    return plain.rlike("[A-Za-z]") & plain.rlike("[0-9]") & (F.char_length(plain) >= 8)
-
-
-def looks_like_label(text: Column) -> Column:
-    return ~text.rlike(r"^[-—－\d,.\s￥¥元]+$") & text.rlike(LABEL_WORDS)
-
-
-def amount_in(text: Column) -> Column:
-    """The first number of a text; 0 for dashes; empty for dates, identifiers and texts without one."""
-    def of(text: Column) -> Column:
-        found = _let(F.regexp_extract(text, r"-?\d[\d,.]*", 0), lambda v: F.when(looks_like_date(v), "").otherwise(v))
-        return F.when((text == "") | looks_like_date(text), "").when(text.rlike("^[-—－]+$"), "0").when(looks_like_id(text), "").otherwise(found)
-
-    return _let(F.regexp_replace(F.trim(text), "[￥¥元]", ""), of)
+def nature(text: Column) -> Column:
+    """What a text is, the first that fits: label, none, date, dashes, id (eight or more letters and digits, both kinds), plain."""
+    plain = lambda v: F.regexp_replace(v, "[^A-Za-z0-9]", "")
+    return let(F.regexp_replace(F.trim(text), "[￥¥元]", ""), lambda v: (
+        F.when(~text.rlike(r"^[-—－\d,.\s￥¥元]+$") & text.rlike(LABEL_WORDS), "label").when(v == "", "none").when(v.rlike(rf"{DATE}|\d{{4}}\s*年"), "date")
+        .when(v.rlike("^[-—－]+$"), "dashes").when(v.rlike("[A-Za-z]") & v.rlike("[0-9]") & (F.char_length(plain(v)) >= 8), "id").otherwise("plain")))
 
 
 def date_in(text: Column) -> Column:
     """The first date of a text with points, or a day of the month that is all of it."""
     text = F.trim(text)
     day = F.regexp_extract(text, "^(?:[1-9]|[12][0-9]|3[01])$", 0)
-    return _let(F.regexp_extract(text, DATE, 0), lambda v: F.when(v != "", F.replace(F.regexp_replace(v, "年|月", "."), F.lit("日"), F.lit(""))).otherwise(day))
+    return let(F.regexp_extract(text, DATE, 0), lambda v: F.when(v != "", F.replace(F.regexp_replace(v, "年|月", "."), F.lit("日"), F.lit(""))).otherwise(day))
 
 
 def group_value(row: Column, at: Column, size: int) -> Column:
@@ -118,29 +100,70 @@ def _after_label(text: Column, labels: Column) -> Column:
 
 
 def _value(raw: Column, labels: Column, kind: Column) -> Column:
-    """The first line of a candidate that is a value of its kind."""
-    def of(text: Column) -> Column:
-        unnamed = F.when(looks_like_label(text), "").otherwise(F.when(kind == "amount", amount_in(text)).otherwise(text))
-        value = F.when(kind == "date", date_in(text)).otherwise(unnamed)
-        return F.when((text == "") | F.exists(labels, lambda w: F.contains(text, w)), "").otherwise(value)
+    """The first line of a candidate that is a value of its kind: a text, the first number of one, or a date."""
+    number = lambda v: let(F.regexp_extract(F.regexp_replace(F.trim(v), "[￥¥元]", ""), r"-?\d[\d,.]*", 0), lambda n: F.when(nature(n) == "date", "").otherwise(n))
+    amount = lambda v, is_: F.when(is_ == "dashes", "0").when(is_ == "plain", number(v)).otherwise("")
+    other = lambda v: let(nature(v), lambda is_: F.when(is_ == "label", "").when(kind == "amount", amount(v, is_)).otherwise(v))
+    of = lambda v: F.when((v == "") | F.exists(labels, lambda w: F.contains(v, w)), "").when(kind == "date", date_in(v)).otherwise(other(v))
+    text = lambda line: let(_after_label(line, labels), lambda v: F.when(v != "", v).otherwise(F.trim(line)))
+    values = F.filter(F.transform(F.split(raw, "\n", -1), lambda line: let(text(line), of)), lambda v: v != "")
+    return F.coalesce(F.get(values, F.lit(0)), F.lit(""))
 
-    def line_value(line: Column) -> Column:
-        return _let(_let(_after_label(line, labels), lambda v: F.when(v != "", v).otherwise(F.trim(line))), of)
 
-    return F.coalesce(F.get(F.filter(F.transform(F.split(raw, "\n", -1), line_value), lambda v: v != ""), F.lit(0)), F.lit(""))
+#: What speaks for a candidate: kind of field it counts for (None: all), condition, points.
+POINTS = [
+    (None, lambda c: c["label"] == c["target"], 120), (None, lambda c: c["label"] != c["target"], 80), (None, lambda c: F.contains(c["label"], c["target"]), 20),
+    (None, lambda c: c["source"] == "inline", 18), (None, lambda c: c["source"] == "right", -6), (None, lambda c: (c["source"] == "below") & (c["right"] == 0), 54),
+    (None, lambda c: c["right"] == 0, 8), (None, lambda c: c["right"] > 1, -8),
+    ("date", lambda c: nature(c["value"]) == "date", 20), ("amount", lambda c: c["label"].rlike("账户授信额度|授信额度"), 40), ("amount", lambda c: c["label"].rlike("金额|额度|余额|还款"), 12),
+    ("amount", lambda c: c["raw"].rlike("元|￥|¥|,"), 8), ("amount", lambda c: c["value"].rlike("^[0-9]{1,2}$"), -20)]
 
 
 def _score(c) -> Column:
-    """How likely a candidate is the value: how exact the label, and where the value stands."""
-    score = F.when(c["label"] == c["target"], 120).otherwise(80) + F.when(F.contains(c["label"], c["target"]), 20).otherwise(0)
-    score = score + F.when(c["source"] == "inline", 18).when((c["source"] == "below") & (c["right"] == 0), 42).when(c["source"] == "below", -12).otherwise(-6)
-    score = score + F.when(c["source"] == "below", 12).otherwise(0) + F.when(c["right"] == 0, 8).when(c["right"] > 1, -8).otherwise(0)
-    amount = F.when(c["label"].rlike("账户授信额度|授信额度"), 40).otherwise(0) + F.when(c["label"].rlike("金额|额度|余额|还款"), 12).otherwise(0)
-    amount = amount + F.when(c["raw"].rlike("元|￥|¥|,"), 8).otherwise(0) - F.when(c["value"].rlike("^[0-9]{1,2}$"), 20).otherwise(0)
+    """How likely a candidate is the value; 0 for an amount that is an identifier."""
+    total = F.lit(0)
+    for kind, holds, points in POINTS:
+        total = total + F.when(holds(c) if kind is None else (c["kind"] == kind) & holds(c), points).otherwise(0)
     plain = F.regexp_replace(c["raw"], r"\s+", "")
-    no_amount = looks_like_id(plain) | plain.rlike("授信协议标识|账户标识|协议标识") | plain.rlike("^[A-Za-z]")
-    score = score + F.when(c["kind"] == "amount", amount).when((c["kind"] == "date") & looks_like_date(c["value"]), 20).otherwise(0)
-    return F.when((c["kind"] == "amount") & no_amount, 0).otherwise(score)
+    ident = (c["kind"] == "amount") & (plain.rlike("授信协议标识|账户标识|协议标识|^[A-Za-z]") | (plain.rlike("[A-Za-z]") & plain.rlike("[0-9]") & (F.char_length(F.regexp_replace(plain, "[^A-Za-z0-9]", "")) >= 8)))
+    return F.when(ident, 0).otherwise(total)
+
+
+def _plain_word(word: str) -> str:
+    """A label's normal form, for building the index."""
+    for wrong, right in MISREAD:
+        word = word.replace(wrong, right)
+    return re.sub(r"[^\u4e00-\u9fa5A-Za-z0-9]", "", word)
+
+
+class LabelIndex:
+    """Which labels a text may be: from a character to the labels that have it, and how many distinct ones each asks for.
+
+    A label of m characters, d of them distinct, is contained (all d), all but one of it is
+    the text (d - 1), or it is similar, which leaves out floor(m (1 - least)) of its characters at most.
+    """
+
+    def __init__(self, words: list[str]):
+        self.words = sorted({_plain_word(w) for w in words})
+        self.place = {w: k for k, w in enumerate(self.words)}
+        by_char: dict[str, list[int]] = {}
+        for k, w in enumerate(self.words):
+            for c in sorted(set(w)):
+                by_char.setdefault(c, []).append(k)
+        ints = lambda values: F.array(*map(F.lit, values)).cast("array<int>")
+        self.by_char = F.create_map(*[x for c, own in sorted(by_char.items()) for x in (F.lit(c), ints(own))])
+        least = lambda m: SIMILAR[0 if m <= 4 else 1 if m <= 6 else 2]
+        self.need = ints([max(1, len(set(w)) - max(1, int(len(w) * (1 - least(len(w))) + 1e-9))) for w in self.words])
+        self.targets = F.array(*map(F.lit, self.words))
+
+    def candidates(self, label: Column) -> Column:
+        """Places of the labels that share enough distinct characters with a normalized text."""
+        shared = F.flatten(F.transform(F.array_distinct(F.split(label, "")), lambda c: F.coalesce(F.try_element_at(self.by_char, c), F.array().cast("array<int>"))))
+        return let(shared, lambda hits: F.filter(F.array_distinct(hits), lambda k: F.size(F.filter(hits, lambda h: h == k)) >= F.element_at(self.need, k + 1)))
+
+    def matches(self, label: Column) -> Column:
+        """Places of the labels that a normalized text is."""
+        return F.filter(self.candidates(label), lambda k: label_matches(label, F.element_at(self.targets, k + 1)))
 
 
 def find_values(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFrame:
@@ -149,17 +172,35 @@ def find_values(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) ->
     Candidates stand in the label's cell, up to two cells to its right, or below these.
     Of equal scores the upper, then the left label's stays.
     """
-    cells = tables.select("table_id", "grid", F.posexplode("grid").alias("r", "row")).select("table_id", "grid", "r", "row", F.posexplode("row").alias("c", "cell")).filter(F.col("cell").rlike(r"[\x{4e00}-\x{9fa5}]"))
-    known = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("kind"), F.array(*map(F.lit, w)).alias("labels")) for n, k, w in fields])
-    words = cells.select("cell").distinct().withColumn("label", normal_label(F.col("cell"))).select("cell", "label", F.explode(known).alias("f")).select("cell", "label", "f.*")
-    words = words.select("*", F.posexplode("labels").alias("k", "word")).withColumn("target", normal_label(F.col("word"))).filter(label_matches(F.col("label"), F.col("target")))
-    words = words.groupBy("cell", "field").agg(F.min_by(F.struct("label", "kind", "labels", "target"), "k").alias("m")).select("cell", "field", "m.*")
-    below = F.get("grid", F.col("r") + 1)
-    places = [(_after_label(F.col("cell"), F.col("labels")), "inline", 0)] + [(F.get("row", F.col("c") + k), "right", k) for k in (1, 2)] + [(F.get(below, F.col("c") + k), "below", k) for k in (0, 1, 2)]
-    candidates = F.explode(F.array(*[F.struct(F.coalesce(raw, F.lit("")).alias("raw"), F.lit(source).alias("source"), F.lit(k).alias("right")) for raw, source, k in places]))
-    found = cells.join(words, "cell").select("table_id", "r", "c", "field", "kind", "label", "target", "labels", candidates.alias("p")).select("*", "p.*").filter("raw <> ''")
-    found = found.withColumn("value", _value(F.col("raw"), F.col("labels"), F.col("kind"))).filter("value <> ''")
-    found = found.withColumn("score", _score({n: F.col(n) for n in ("label", "target", "source", "right", "kind", "raw", "value")})).filter("score > 0")
+    index = LabelIndex([w for *_, labels in fields for w in labels])
+    known = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("kind"), F.array(*map(F.lit, w)).alias("labels"), F.array(*[F.lit(index.place[_plain_word(v)]) for v in w]).alias("at")) for n, k, w in fields])
+
+    def cells_of(grid: Column) -> Column:
+        """Every cell with a Chinese character, with its neighbours."""
+        def cell(row: Column, below: Column, r: Column):
+            return lambda v, c: F.struct(r.alias("r"), c.alias("c"), v.alias("cell"), *[F.get(row, c + k).alias(f"right{k}") for k in (1, 2)], *[F.get(below, c + k).alias(f"below{k}") for k in (0, 1, 2)])
+
+        rows = F.transform(grid, lambda row, r: F.filter(F.transform(row, cell(row, F.get(grid, r + 1), r)), lambda x: x["cell"].rlike(r"[\x{4e00}-\x{9fa5}]")))
+        return F.flatten(F.filter(rows, lambda x: x.isNotNull()))
+
+    def fields_of(cell: Column) -> Column:
+        """The fields that a cell is a label of, each with the first of its labels that fits."""
+        def of(label: Column) -> Column:
+            own = lambda f, m: F.get(F.filter(f["at"], lambda k: F.array_contains(m, k)), F.lit(0))
+            return let(index.matches(label), lambda m: F.transform(F.filter(known, lambda f: F.arrays_overlap(f["at"], m)), lambda f: F.struct(
+                f["field"].alias("field"), f["kind"].alias("kind"), f["labels"].alias("labels"), label.alias("label"), F.element_at(index.targets, own(f, m) + 1).alias("target"))))
+
+        return let(normal_label(cell), of)
+
+    # what one step makes is exploded before the next one uses it, so that nothing is worked out twice
+    cells = tables.select("table_id", F.inline(let(F.col("grid"), cells_of)))
+    named = cells.select("*", F.inline(fields_of(F.col("cell"))))
+    places = [(_after_label(F.col("cell"), F.col("labels")), "inline", 0)] + [(F.col(f"right{k}"), "right", k) for k in (1, 2)] + [(F.col(f"below{k}"), "below", k) for k in (0, 1, 2)]
+    raws = F.filter(F.array(*[F.struct(F.coalesce(raw, F.lit("")).alias("raw"), F.lit(source).alias("source"), F.lit(k).alias("right")) for raw, source, k in places]), lambda p: p["raw"] != "")
+    valued = F.filter(F.transform(raws, lambda p: F.struct(p["raw"].alias("raw"), p["source"].alias("source"), p["right"].alias("right"), _value(p["raw"], F.col("labels"), F.col("kind")).alias("value"))), lambda p: p["value"] != "")
+    shared = {n: F.col(n) for n in ("label", "target", "kind")}
+    scored = F.transform(valued, lambda p: F.struct(p["value"].alias("value"), p["source"].alias("source"), p["right"].alias("right"), _score(shared | {n: p[n] for n in ("source", "right", "raw", "value")}).alias("score")))
+    found = named.select("table_id", "r", "c", "field", F.inline(F.filter(scored, lambda p: p["score"] > 0)))
     order = F.struct("score", -F.col("r"), -F.col("c"), -F.col("right"), (F.col("source") == "right").alias("beside"))
     return found.groupBy("table_id", "field").agg(F.max_by("value", order).alias("value"), F.max("score").alias("score"))
 
