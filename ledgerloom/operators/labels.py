@@ -53,12 +53,8 @@ def normal_label(text: Column) -> Column:
 
 
 def conflicting(value: Column, target: Column) -> Column:
-    has = F.contains
-    out = F.lit(False)
-    for a, b in CONFLICTS:
-        a, b = F.lit(a), F.lit(b)
-        out = out | (has(value, a) & has(target, b)) | (has(value, b) & has(target, a))
-    return out
+    pairs = F.expr("array(" + ", ".join(f"struct('{p}' AS p, '{q}' AS q)" for a, b in CONFLICTS for p, q in ((a, b), (b, a))) + ")")
+    return F.exists(pairs, lambda x: F.contains(target, x["q"]) & F.contains(value, x["p"]))
 
 
 def label_matches(value: Column, target: Column) -> Column:
@@ -139,8 +135,9 @@ def _plain_word(word: str) -> str:
 class LabelIndex:
     """Which labels a text may be: from a character to the labels that have it, and how many distinct ones each asks for.
 
-    A label of m characters, d of them distinct, is contained (all d), all but one of it is
-    the text (d - 1), or it is similar, which leaves out floor(m (1 - least)) of its characters at most.
+    A label of m characters, d of them distinct, is contained (all d); or all but one of it is
+    the text (d - 1, from four characters on); or it is similar, which leaves out floor(m (1 - least)) of
+    its characters at most (from three on).
     """
 
     def __init__(self, words: list[str]):
@@ -150,11 +147,18 @@ class LabelIndex:
         for k, w in enumerate(self.words):
             for c in sorted(set(w)):
                 by_char.setdefault(c, []).append(k)
-        ints = lambda values: F.array(*map(F.lit, values)).cast("array<int>")
-        self.by_char = F.create_map(*[x for c, own in sorted(by_char.items()) for x in (F.lit(c), ints(own))])
-        least = lambda m: SIMILAR[0 if m <= 4 else 1 if m <= 6 else 2]
-        self.need = ints([max(1, len(set(w)) - max(1, int(len(w) * (1 - least(len(w))) + 1e-9))) for w in self.words])
-        self.targets = F.array(*map(F.lit, self.words))
+        ints = lambda values: f"array({', '.join(map(str, values))})"
+        # as statements, as these are hundreds of literals
+        self.by_char = F.expr("map(" + ", ".join(f"'{c}', {ints(own)}" for c, own in sorted(by_char.items())) + ")")
+        self.need = F.expr(ints(map(self._least_shared, self.words)))
+        self.targets = F.expr("array(" + ", ".join(f"'{w}'" for w in self.words) + ")")
+
+    @staticmethod
+    def _least_shared(word: str) -> int:
+        m, d = len(word), len(set(word))
+        least = SIMILAR[0 if m <= 4 else 1 if m <= 6 else 2]
+        apart = int(m * (1 - least) + 1e-9) if m > 2 else 0
+        return max(1, d - max(apart, 1 if m >= 4 else 0))
 
     def candidates(self, label: Column) -> Column:
         """Places of the labels that share enough distinct characters with a normalized text."""
@@ -173,7 +177,8 @@ def find_values(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) ->
     Of equal scores the upper, then the left label's stays.
     """
     index = LabelIndex([w for *_, labels in fields for w in labels])
-    known = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("kind"), F.array(*map(F.lit, w)).alias("labels"), F.array(*[F.lit(index.place[_plain_word(v)]) for v in w]).alias("at")) for n, k, w in fields])
+    texts = lambda values: "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+    known = F.expr("array(" + ", ".join(f"named_struct('field', '{n}', 'kind', '{k}', 'labels', {texts(w)}, 'at', array({', '.join(str(index.place[_plain_word(v)]) for v in w)}))" for n, k, w in fields) + ")")
 
     def cells_of(grid: Column) -> Column:
         """Every cell with a Chinese character, with its neighbours."""

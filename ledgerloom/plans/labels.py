@@ -57,7 +57,8 @@ _KEYS = "SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS p, o_ord
 
 def _tables(spark: SparkSession, sf_dir: str, grid: list[list[str]], where: str = "TRUE") -> DataFrame:
     rows = t.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CAST(floor(o_totalprice) AS BIGINT) AS p", "o_orderpriority").filter(where)
-    return rows.selectExpr("k AS table_id", f"{_spark_grid(grid)} AS grid")
+    # narrow keys are dealt out before each grows into a table
+    return rows.repartition(spark.sparkContext.defaultParallelism).selectExpr("k AS table_id", f"{_spark_grid(grid)} AS grid")
 
 
 _LOANS, _CARDS = "o_orderpriority < '4'", "o_orderpriority >= '4'"
