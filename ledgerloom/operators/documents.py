@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.texts import occurrences
+from ledgerloom.operators.folds import fold_rows
 
 #: The page mark of footers, section titles, rules from the text before a table to its kind, in order.
 PAGE_MARK = r"第(\d+)页[，,。./\s]*共(\d+)页"
@@ -200,20 +201,16 @@ def keyword_table(tables: DataFrame, keyword: str) -> DataFrame:
 def row_clusters(words: DataFrame) -> DataFrame:
     """doc_id, row, text: words of a page joined in rows; a word belongs to a row while its top lies within half the smaller height of the row's first word.
 
-    Rows hang on their first word, so a page's sorted words are folded.
+    Rows hang on their first word, so a page's sorted words are folded as a stream; only a row's words come together.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("top", "left", "height", "text")))
+    def step(state, word):
+        row, top, height = state
+        if row < 0 or abs(top - word["top"]) > min(height, word["height"]) * 0.5:
+            row, top, height = row + 1, word["top"], word["height"]
+        return (row, top, height), (row,)
 
-    def step(state: Column, word: Column) -> Column:
-        last = F.element_at(state.rows, -1)
-        same = (F.size(state.rows) > 0) & (F.abs(state.top - word.top) <= F.least(state.height, word.height) * 0.5)
-        own = F.struct(word.left.alias("left"), word.text.alias("text"))
-        grown = F.when(same, F.concat(F.slice(state.rows, F.lit(1), F.size(state.rows) - 1), F.array(F.concat(F.coalesce(last, F.array(own)), F.array(own))))).otherwise(F.concat(state.rows, F.array(F.array(own))))
-        return F.struct(F.when(same, state.top).otherwise(word.top).alias("top"), F.when(same, state.height).otherwise(word.height).alias("height"), grown.alias("rows"))
-
-    start = F.expr("named_struct('top', CAST(-1e9 AS DOUBLE), 'height', CAST(0 AS DOUBLE), 'rows', CAST(array() AS array<array<struct<left:double,text:string>>>))")
-    rows = words.groupBy("doc_id").agg(ordered.alias("w")).select("doc_id", F.aggregate("w", start, step, lambda s: s.rows).alias("rows"))
-    return rows.select("doc_id", F.posexplode("rows").alias("row", "cells")).select("doc_id", "row", F.array_join(F.transform(F.array_sort("cells"), lambda c: c.text), "\t").alias("text"))
+    rows = fold_rows(words.select("doc_id", "top", "left", "height", "text"), "doc_id", ["top", "left", "height", "text"], "row int", lambda: (-1, 0.0, 0.0), step)
+    return rows.groupBy("doc_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda c: c.text), "\t").alias("text"))
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
@@ -232,16 +229,26 @@ def near_center(a: Column, b: Column) -> Column:
 def best_overlap(held: DataFrame, new: DataFrame) -> DataFrame:
     """page_id, new_ord, ord, overlap: for each new box the held one on its page that overlaps most.
 
-    Boxes meet on the page and on cells of a grid as wide as the largest box, so a page
-    with very many boxes makes no product of all of them.
+    Boxes meet on the page and on cells of a grid in both directions. A page's cells are as
+    large as its boxes are on average, but no smaller than would give each box one cell, so a
+    box lies on a few of them. Boxes that overlap enough, or whose centers are near, have a
+    point in common; a pair counts only on the cell of its upper left common point.
     """
-    box = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in "xywh"])
-    grid = 64.0
-    reach = lambda lo, size: F.sequence(F.floor(lo / grid).cast("int"), F.floor((lo + size) / grid).cast("int"))
-    a = held.select("page_id", "ord", *[F.col(c).alias(f"a_{c}") for c in "xywh"], F.explode(reach(F.col("y"), F.col("h"))).alias("cell"))
-    b = new.select("page_id", F.col("ord").alias("new_ord"), *[F.col(c).alias(f"b_{c}") for c in "xywh"], F.explode(reach(F.col("y"), F.col("h"))).alias("cell"))
-    pairs = a.join(b, ["page_id", "cell"]).drop("cell").distinct().withColumn("overlap", overlap_ratio(box("a_"), box("b_")))
-    pairs = pairs.filter((F.col("overlap") >= 0.35) | near_center(box("a_"), box("b_")))
+    sides = held.select("page_id", *"xywh").unionByName(new.select("page_id", *"xywh")).groupBy("page_id").agg(
+        F.greatest(F.avg("w"), (F.max(F.col("x") + F.col("w")) - F.min("x")) / F.sqrt(F.count("*")), F.lit(1.0)).alias("cw"),
+        F.greatest(F.avg("h"), (F.max(F.col("y") + F.col("h")) - F.min("y")) / F.sqrt(F.count("*")), F.lit(1.0)).alias("ch"))
+    at = lambda v, size: F.floor(v / F.col(size))
+
+    def on_cells(boxes: DataFrame, mark: str) -> DataFrame:
+        rows = boxes.select("page_id", "ord", F.struct(*"xywh").alias(mark)).join(sides, "page_id")
+        over = lambda lo, length, size: F.explode(F.sequence(at(F.col(f"{mark}.{lo}"), size), at(F.col(f"{mark}.{lo}") + F.col(f"{mark}.{length}"), size)))
+        return rows.withColumn("column", over("x", "w", "cw")).withColumn("line", over("y", "h", "ch"))
+
+    a = on_cells(held, "a")
+    b = on_cells(new, "b").select("page_id", F.col("ord").alias("new_ord"), "b", "column", "line")
+    home = (at(F.greatest("a.x", "b.x"), "cw") == F.col("column")) & (at(F.greatest("a.y", "b.y"), "ch") == F.col("line"))
+    pairs = a.join(b, ["page_id", "column", "line"]).filter(home).withColumn("overlap", overlap_ratio(F.col("a"), F.col("b")))
+    pairs = pairs.filter((F.col("overlap") >= 0.35) | near_center(F.col("a"), F.col("b")))
     return pairs.groupBy("page_id", "new_ord").agg(F.max_by("ord", F.struct("overlap", -F.col("ord"))).alias("ord"), F.max("overlap").alias("overlap"))
 
 
@@ -271,20 +278,17 @@ def number_gaps(numbers: DataFrame) -> DataFrame:
 def chunk_lines(lines: DataFrame, most: int = 3000) -> DataFrame:
     """doc_id, chunk, lines, size: lines in order, a new chunk where the next would exceed ``most`` characters.
 
-    The running size starts over with each chunk, so a document's line lengths are folded.
+    The running size starts over with each chunk, so a document's line lengths are folded as a stream.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line", F.char_length("text").alias("n")))), lambda x: x.n)
-
-    def step(s: Column, n: Column) -> Column:
-        full = (s.size > 0) & (s.size + n + 1 > most)
-        size, count = F.when(full, n + 1).otherwise(s.size + n + 1), F.when(full, 1).otherwise(s.lines + 1)
-        done = F.when(full, F.concat(s.done, F.array(F.struct(s.lines.alias("lines"), s.size.alias("size"))))).otherwise(s.done)
-        return F.struct(size.alias("size"), count.alias("lines"), done.alias("done"))
-
-    start = F.expr("named_struct('size', 0, 'lines', 0, 'done', CAST(array() AS array<struct<lines:int,size:int>>))")
-    end = lambda s: F.concat(s.done, F.array(F.struct(s.lines.alias("lines"), s.size.alias("size"))))
-    rows = lines.groupBy("doc_id").agg(F.aggregate(ordered, start, step, end).alias("c"))
-    return rows.select("doc_id", F.posexplode("c").alias("chunk", "x")).select("doc_id", "chunk", "x.lines", "x.size")
+    def step(state, line):
+        chunk, size = state
+        n = line["n"] + 1
+        chunk, size = (chunk + 1, n) if size and size + n > most else (chunk, size + n)
+        return (chunk, size), (chunk,)
+
+    lengths = lines.select("doc_id", "line", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    rows = fold_rows(lengths, "doc_id", ["line"], "chunk int", lambda: (0, 0), step)
+    return rows.groupBy("doc_id", "chunk").agg(F.count("*").cast("int").alias("lines"), F.sum(F.col("n") + 1).cast("int").alias("size"))
 
 
 def anchor_counts(texts: DataFrame, anchors: list[str]) -> DataFrame:

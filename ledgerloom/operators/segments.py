@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.texts import clean_query_date, clean_reason, trim_all
+from ledgerloom.operators.folds import fold_rows
 
 #: Category titles with their number, stop titles, and contextual corrections of misread text.
 CATEGORY_TITLES = [("一", "非循环贷账户", "nonRevolvingLoan"), ("二", "循环贷账户一", "revolvingLoan1"), ("三", "循环贷账户二", "revolvingLoan2"), ("四", "贷记卡账户", "creditCard"), ("五", "相关还款责任信息", "repayResponsibility"), ("六", "授信协议信息", "creditAgreement")]
@@ -84,34 +85,48 @@ def account_segments(events: DataFrame) -> DataFrame:
 def merge_fragments(tables: DataFrame) -> DataFrame:
     """doc_id, part, rows, fragments: neighbouring pieces of one table put together, left to right.
 
-    Each step looks at the merged table, so a document's tables in reading order are folded.
+    Each step looks at the merged table, so a document's tables in reading order are folded
+    as a stream, which carries the open table's place, headers and number of rows.
     A piece joins where it has no text of its own before it (or the same), its page is the
     same or the next, and it is either beside the table (same height, other headers, as many
     rows) or below it (headers without a primary label, or the same headers and a hint).
+    The fold tells each piece its part and the row there at which it begins; pieces of a row
+    then come together side by side, and rows of a part one below the other.
     """
-    head = lambda t: F.array_join(F.transform(t["rows"][0], lambda c: F.regexp_replace(c, r"\s+", "")), "|")
-    ordered = F.array_sort(F.collect_list(F.struct("page", "y", "x", "ord", F.regexp_replace("preceding", r"\s+", "").alias("before"), "hint", "rows")))
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        gap = t.page - last.page
-        neighbour = gap.between(0, 1) & ~((gap == 0) & (t.y + NEAR_Y < last.y))
-        fits = (t.before == "") | (t.before == last.before)
-        level = (gap == 0) & (F.abs(t.y - last.y) <= NEAR_Y)
-        same = head(t) == head(last)
-        beside = level & (t.x > last.x) & ~same & (F.size(t["rows"]) == F.size(last["rows"])) & (F.size(t["rows"]) >= 2)
-        plain = ~head(t).rlike(PRIMARY)
-        below = ~level & F.when(same, ~head(t).rlike(PRIMARY) & (t.hint | last.hint | (t.before == ""))).otherwise(plain & ((F.size(last["rows"]) < 3) | t.hint | last.hint))
-        join = neighbour & fits & (beside | below)
-        grown = F.when(beside, F.zip_with(last["rows"], t["rows"], lambda a, b: F.concat(a, b))).otherwise(F.concat(last["rows"], F.when(same, F.slice(t["rows"], F.lit(2), F.greatest(F.size(t["rows"]) - 1, F.lit(0)))).otherwise(t["rows"])))
-        merged = F.struct(t.page.alias("page"), F.when(beside, last.y).otherwise(t.y).alias("y"), last.x.alias("x"), last.ord.alias("ord"), last.before.alias("before"), (last.hint | t.hint).alias("hint"), grown.alias("rows"), (last.n + 1).alias("n"))
-        fresh = F.struct(t.page.alias("page"), t.y.alias("y"), t.x.alias("x"), t.ord.alias("ord"), t.before.alias("before"), t.hint.alias("hint"), t["rows"].alias("rows"), F.lit(1).alias("n"))
-        keep = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when((F.size(done) > 0) & join, F.concat(keep, F.array(merged))).otherwise(F.concat(done, F.array(fresh)))
-
-    start = F.expr("CAST(array() AS array<struct<page:int,y:double,x:double,ord:bigint,before:string,hint:boolean,rows:array<array<string>>,n:int>>)")
-    rows = tables.groupBy("doc_id").agg(F.aggregate(ordered, start, step).alias("t"))
-    return rows.select("doc_id", F.posexplode("t").alias("part", "t")).select("doc_id", "part", F.col("t.rows").alias("rows"), F.col("t.n").alias("fragments"))
+    def step(last, t):
+        head, n, before = t["head"], t["n"], t["before"]
+        if last is not None:
+            gap, level = t["page"] - last["page"], t["page"] == last["page"] and abs(t["y"] - last["y"]) <= NEAR_Y
+            same = head == last["head"]
+            beside = level and t["x"] > last["x"] and not same and n == last["n"] and n >= 2
+            if same:
+                below = not level and not t["primary"] and (t["hint"] or last["hint"] or before == "")
+            else:
+                below = not level and not t["primary"] and (last["n"] < 3 or t["hint"] or last["hint"])
+            neighbour = 0 <= gap <= 1 and not (gap == 0 and t["y"] + NEAR_Y < last["y"])
+            if neighbour and before in ("", last["before"]) and (beside or below):
+                skip = int(below and same)
+                begin = 0 if beside else last["n"] - skip
+                merged = last | {"page": t["page"], "hint": last["hint"] or t["hint"]}
+                merged |= {"head": last["head"] + "|" + head} if beside else {"y": t["y"], "n": last["n"] + n - skip}
+                return merged, (last["part"], begin, skip)
+        part = 0 if last is None else last["part"] + 1
+        return {k: t[k] for k in ("page", "x", "y", "head", "n", "before", "hint")} | {"part": part}, (part, 0, 0)
+
+    head = F.array_join(F.transform(F.get("rows", F.lit(0)), lambda c: F.regexp_replace(c, r"\s+", "")), "|")
+    pieces = tables.filter(F.size("rows") > 0).select(
+        "doc_id", "page", "y", "x", "ord", F.coalesce(F.regexp_replace("preceding", r"\s+", ""), F.lit("")).alias("before"), F.coalesce("hint", F.lit(False)).alias("hint"),
+        F.coalesce(head, F.lit("")).alias("head"), F.coalesce(head.rlike(PRIMARY), F.lit(False)).alias("primary"), F.size("rows").alias("n"), "rows")
+    # the fold reads places and headers only; rows meet its result by the piece's number
+    pieces = pieces.withColumn("piece", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y", "x", "ord", "before", "hint", "rows")))
+    told = fold_rows(pieces.drop("rows"), "doc_id", ["piece"], "part int, first_row int, skip int", lambda: None, step)
+    rows = pieces.select("doc_id", "piece", F.posexplode("rows").alias("r", "cells")).join(told.select("doc_id", "piece", "part", "first_row", "skip"), ["doc_id", "piece"])
+    # repeated headers stand on no line, but their piece counts
+    lines = rows.groupBy("doc_id", "part", F.when(F.col("r") >= F.col("skip"), F.col("first_row") + F.col("r")).alias("line")).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "cells"))), lambda x: x.cells)).alias("cells"), F.collect_set("piece").alias("pieces"))
+    return lines.groupBy("doc_id", "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "cells")))), lambda x: x.cells).alias("rows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("pieces")))).alias("fragments"))
 
 
 def repayment_records(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, texts
-from ledgerloom.operators import debt, derive, documents, institutions, profile, quality, segments, stores, validation
+from ledgerloom.operators import debt, derive, documents, folds, institutions, profile, quality, segments, stores, validation
 
 LOAN = "report_id long, ord long, category string, org string, open_date string, credit_amount double, balance double, monthly_payment double, status string, business_type string, overdue_count long"
 CARD = "report_id long, ord long, org string, open_date string, credit_limit double, used_amount double, balance double, monthly_payment double, status string, currency string, overdue_count long"
@@ -187,3 +187,56 @@ def test_lcs_against_table(spark):
     pairs = [(word(n), word(m)) for n in (1, 5, 61, 62, 63, 130) for m in (1, 61, 62, 63, 124, 125)] + [("a" * 62, "a" * 62), ("a" * 63, "a" * 124), ("", "a")]
     rows = spark.createDataFrame([*pairs, (None, "a")], "a string, b string").select(texts.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()
     assert [r.n for r in rows] == [*(table(a, b) for a, b in pairs), None]
+
+
+def test_folds_are_linear_in_a_document(spark):
+    """One document of 100,000 rows in each: a second or two a fold, where copying what is done would take hours."""
+    n = 100_000
+    words = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") / 2).cast("long").cast("double").alias("top"), (F.col("id") % 2).cast("double").alias("left"), F.lit(1.0).alias("height"), F.col("id").cast("string").alias("text"))
+    rows = documents.row_clusters(words)
+    assert rows.count() == n // 2 and rows.filter("row = 7").head().text == "14\t15"
+    lines = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("line"), F.lit("x" * 9).alias("text"))
+    chunks = documents.chunk_lines(lines, 100)
+    assert chunks.count() == n // 10 and chunks.agg(F.sum("lines"), F.max("size")).head()[:] == (n, 100)
+    head = F.when(F.col("id") % 100 == 0, F.array(F.lit("管理机构"), F.lit("借款金额"))).otherwise(F.array(F.lit("余额"), F.lit("9")))
+    pieces = spark.range(n).select(
+        F.lit(1).alias("doc_id"), (F.col("id") / 50).cast("int").alias("page"), (F.col("id") % 50 * 40).cast("double").alias("y"), F.lit(0.0).alias("x"), F.col("id").alias("ord"), F.lit("").alias("preceding"),
+        F.lit(True).alias("hint"), F.array(head, F.array(F.lit("a"), F.col("id").cast("string"))).alias("rows"))
+    merged = segments.merge_fragments(pieces)
+    assert merged.agg(F.count("*"), F.sum("fragments"), F.sum(F.size("rows"))).head()[:] == (n // 100, n, 2 * n)
+    assert [r[1] for r in merged.filter("part = 3").head().rows if r[0] == "a"] == [str(300 + k) for k in range(100)]
+
+
+def test_fold_rows_keeps_keys_apart(spark):
+    rows = spark.createDataFrame([(k, n) for k in (None, 1, 2) for n in (3, 1, 2)], "k long, n long").repartition(3)
+    got = folds.fold_rows(rows, "k", ["n"], "total long", lambda: 0, lambda s, r: (s + r["n"], (s + r["n"],))).collect()
+    assert sorted((r.k or 0, r.n, r.total) for r in got) == [(k, n, t) for k in (0, 1, 2) for n, t in ((1, 1), (2, 3), (3, 6))]
+
+
+def test_overlaps_in_a_band(spark):
+    """A page of 50,000 boxes on one line: pairs are counted once each, and only neighbours meet."""
+    n = 25_000
+    boxes = lambda shift: spark.range(n).select(F.lit(1).alias("page_id"), F.col("id").alias("ord"), (F.col("id") * 10.0 + shift).alias("x"), F.lit(5.0).alias("y"), F.lit(8.0).alias("w"), F.lit(9.0).alias("h"))
+    found = documents.best_overlap(boxes(0.0), boxes(2.0))
+    assert found.agg(F.count("*"), F.sum((F.col("ord") == F.col("new_ord")).cast("int")), F.min("overlap"), F.max("overlap")).head()[:] == (n, n, 0.75, 0.75)
+
+
+def test_overlaps_equal_all_pairs(spark):
+    rng = random.Random(4)
+    made = lambda k: [(p, k + i, rng.uniform(-50, 400), rng.uniform(-50, 400), rng.choice([0.0, 5.0, 60.0, 500.0]), rng.choice([3.0, 40.0, 300.0])) for p in (1, 2) for i in range(60)]
+    held, new = made(0), made(100)
+    schema = "page_id long, ord long, x double, y double, w double, h double"
+
+    def pair(a, b):
+        ix, iy = max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])), max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
+        small = min(a[4] * a[5], b[4] * b[5])
+        near = all(abs(a[k] + a[k + 2] / 2 - b[k] - b[k + 2] / 2) <= max(a[k + 2], b[k + 2]) * 0.35 for k in (2, 3))
+        return ix * iy / small if small > 0 else 0.0, near
+
+    want = {}
+    for b in new:
+        hits = [(v, -a[1]) for a in held if a[0] == b[0] for v, near in [pair(a, b)] if v >= 0.35 or near]
+        if hits:
+            want[b[0], b[1]] = -max(hits)[1], max(hits)[0]
+    got = documents.best_overlap(spark.createDataFrame(held, schema), spark.createDataFrame(new, schema)).collect()
+    assert {(r.page_id, r.new_ord): (r.ord, r.overlap) for r in got} == want

@@ -37,8 +37,8 @@ def test_query(name, spark, duck, small):
 
 
 def test_plans_stay_in_the_jvm(spark, small):
-    """No query of the library runs Python on the executors."""
-    for name in ("q_flagship", "q_record_link", "q_rect_overlap_join", "q_fragment_merge"):
+    """No query of the library runs Python on the executors, but for the three that fold ordered rows as a stream."""
+    for name in ("q_flagship", "q_record_link", "q_rect_overlap_join", "q_label_value_score", "q_doc_json_ingest"):
         plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
@@ -53,3 +53,13 @@ def test_entry_and_registry():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert len(registry.QUERIES) > 100
+
+
+def test_a_response_is_parsed_once(spark, small):
+    plan = registry.QUERIES["q_doc_json_ingest"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("Relation ") == 1 and "Union" not in plan
+
+
+def test_label_lookup_joins_nothing(spark, small):
+    plan = registry.QUERIES["q_label_value_score"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
