@@ -28,14 +28,14 @@ def export_rows(issues: DataFrame, reviewed: DataFrame) -> DataFrame:
 
 
 def plan_comments(plans: DataFrame, comments: DataFrame) -> DataFrame:
-    """key, place, comment: the first comment that names a plan by key or by name, else a made text.
+    """report_id, key, place, comment: the first comment on a report that names a plan by key or by name, else a made text.
 
-    The two ways to name a plan are two equi joins.
+    ``plans`` has report_id, key, place, name; ``comments`` report_id, ord, plan_key, plan_name, comment. The two
+    ways to name a plan are two equi joins; an empty key or name names none.
     """
-    by_key = plans.join(comments, F.col("key") == F.col("plan_key")).select("key", "ord", "comment")
-    by_name = plans.join(comments, F.col("name") == F.col("plan_name")).select("key", "ord", "comment")
-    first = by_key.union(by_name).groupBy("key").agg(F.min_by("comment", "ord").alias("comment"))
-    return plans.join(first, "key", "left").select("key", "place", F.coalesce("comment", F.concat(F.lit("测算"), "key")).alias("comment"))
+    said = lambda mine, theirs: plans.join(comments.filter(F.col(theirs) != ""), (plans.report_id == comments.report_id) & (F.col(mine) == F.col(theirs))).select(plans.report_id, "key", "ord", "comment")
+    first = said("key", "plan_key").union(said("name", "plan_name")).groupBy("report_id", "key").agg(F.min_by("comment", "ord").alias("comment"))
+    return plans.join(first, ["report_id", "key"], "left").select("report_id", "key", "place", F.coalesce("comment", F.concat(F.lit("测算"), "key")).alias("comment"))
 
 
 def parse_answers(rows: DataFrame, most: int = 5) -> DataFrame:

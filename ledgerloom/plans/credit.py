@@ -144,11 +144,18 @@ def _plan_sql() -> str:
     return " UNION ALL ".join(out)
 
 
-@query(_DEBT + ", rel AS (SELECT report_id, floor(sum(CASE WHEN used_amount > 0 AND monthly_payment > 0 THEN greatest(0, monthly_payment - ceil(used_amount / 12)) ELSE 0 END::DECIMAL(18,2))::DOUBLE + 0.5) AS relief FROM ic GROUP BY 1) " + _plan_sql())
-def q_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+_PLANS_SQL = _DEBT + ", rel AS (SELECT report_id, floor(sum(CASE WHEN used_amount > 0 AND monthly_payment > 0 THEN greatest(0, monthly_payment - ceil(used_amount / 12)) ELSE 0 END::DECIMAL(18,2))::DOUBLE + 0.5) AS relief FROM ic GROUP BY 1) " + _plan_sql()
+
+
+def _plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debt.plans(_wide(spark, sf_dir), debt.installment_cards(t.cards(spark, sf_dir)))
 
 
+@query(_PLANS_SQL)
+def q_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_rows(spark, sf_dir)
+
+
 def _comma(x: str) -> str:
     return f"format('{{:,}}', CAST(floor({x} + 0.5) AS BIGINT))"
 

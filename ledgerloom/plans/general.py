@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, texts
 from ledgerloom.operators import debt, derive, profile, stores
-from ledgerloom.plans.credit import _DERIVED, _PROFILE, _rules_sql
+from ledgerloom.plans.credit import _DERIVED, _PROFILE, _rules_sql, q_product_match
+from ledgerloom.plans.credit import SQL as _MATCH_SQL
 from ledgerloom.sources import tables as t
 from ledgerloom.sources.tables import with_views
 
@@ -171,9 +172,13 @@ def q_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.cache_stats(t.read(spark, sf_dir, "conversations").select(F.encode("text", "UTF-8").alias("payload")))
 
 
-@query(f"WITH {_rules_sql()} SELECT product, count(*) AS conditions, sum(weight)::BIGINT AS weight FROM rule GROUP BY 1")
+@query(f"""WITH {_rules_sql()}, best AS (SELECT product, count(*) AS reports FROM ({_MATCH_SQL["q_product_match"]}) WHERE place = 1 GROUP BY 1)
+    SELECT product, count(*) AS conditions, sum(weight)::BIGINT AS weight, coalesce(any_value(reports), 0) AS reports FROM rule LEFT JOIN best USING (product) GROUP BY 1""")
 def q_rules_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.rules(spark).groupBy("product").agg(F.count("*").alias("conditions"), F.sum("weight").alias("weight"))
+    """Each product's rules, with how many reports it suits best."""
+    best = q_product_match(spark, sf_dir).filter("place = 1").groupBy("product").agg(F.count("*").alias("reports"))
+    rules = profile.rules(spark).groupBy("product").agg(F.count("*").alias("conditions"), F.sum("weight").alias("weight"))
+    return rules.join(best, "product", "left").select("product", "conditions", "weight", F.coalesce("reports", F.lit(0)).alias("reports"))
 
 
 @query("SELECT p_partkey AS id, p_name AS name, 'held' AS origin FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, upper(p_name), 'new' FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0")

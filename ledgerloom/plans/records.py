@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.amounts import half_up, share6
 from ledgerloom.functions.texts import FULL_WIDTH, HALF_WIDTH, KNOWN_REASONS
 from ledgerloom.operators import institutions, quality, reviews, segments
-from ledgerloom.plans.credit import _ISSUES, _issues
+from ledgerloom.operators.debt import PLANS
+from ledgerloom.plans.credit import _ISSUES, _PLANS_SQL, _issues, _plan_rows
 from ledgerloom.plans.papers import _ORD, _ord
 from ledgerloom.sources import tables as t
 
@@ -144,16 +145,11 @@ def _comparable_sql(name: str) -> str:
     return f"lower({out})"
 
 
-_DIM = f"""dim AS (SELECT DISTINCT ord, name, kind, alias, {_comparable_sql("alias")} AS key, alias = name AS own FROM (SELECT ord, name, kind, unnest([name, short, CASE WHEN regexp_matches(short, '^中国.{{4,}}') THEN short[3:] ELSE short END, replace(short, '农村商业银行', '农商银行')] || list_filter(string_split(listed, ' '), lambda x: x <> '')) AS alias
-    FROM (SELECT *, regexp_replace(name, '股份有限公司|有限责任公司|有限公司|股份公司', '', 'g') AS short FROM (VALUES {", ".join(f"({n}, '{name}', '{kind}', '{listed}')" for n, (name, kind, listed) in enumerate(institutions.INSTITUTIONS))}) v(ord, name, kind, listed))))"""
+_DIM = f"""dim AS (SELECT DISTINCT ord, name, kind, alias, {_comparable_sql("alias")} AS key, alias = name AS own FROM (SELECT ord, name, kind, unnest([name] || aliases) AS alias
+    FROM (VALUES {", ".join(f"({n}, '{name}', '{kind}', [{', '.join(repr(x) for x in aliases)}]::VARCHAR[])" for n, (name, kind, aliases) in enumerate(institutions.INSTITUTIONS))}) v(ord, name, kind, aliases)))"""
 _LINE_SQL = f"""coalesce(list_filter(list_transform(string_split(replace({{0}}, '\\n', chr(10)), chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '{institutions._LINE}'))[1], trim({{0}}))"""
 
 
-@query(f"WITH {_DIM} SELECT name, kind, alias, key FROM dim")
-def q_inst_dim_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return institutions.dimension(spark).select("name", "kind", "alias", institutions.comparable(F.col("alias")).alias("key"))
-
-
 _NAMES = [
     "中国工商银行", "招商银行股份有限公司上海分行", "北京银很股份有限公司", "■京银行股份有限公司", "信用卡中心", "未收录财务公司", "交通银行\\n2024.01.01", "南京银行信用卡中心", "兴业消费全融股份公司", "股份有限公司", "上海农村商亚银行股份有限公司", "",
     "工行", "ICBC", "马上金融", "浦发银行信用卡中心", "ＣＭＢ", "重庆京东小贷", "美团小贷", "深圳市财付通网网络小额贷款有限公司", "中融信融资担保（大连）股份有限公司", "海尔消费金融有限公司北京分中心", "天津滨海农村商业银行", "浙江网商银行股份有限公", "狮桥租赁", "梅赛德斯奔驰汽车金融"]
@@ -168,6 +164,15 @@ def _named(spark, sf_dir) -> DataFrame:
 _NAMED = f"named AS (SELECT s_suppkey, {_pick_sql(_NAMES, 's_suppkey')} || CASE WHEN s_suppkey % 4 = 0 THEN '第' || (s_suppkey % 13) || '支行' ELSE '' END AS org FROM supplier)"
 
 
+@query(f"""WITH {_DIM}, {_NAMED}, k AS (SELECT {_comparable_sql('line')} AS key, count(*) AS suppliers FROM (SELECT {_LINE_SQL.format('org')} AS line FROM named) GROUP BY 1)
+    SELECT name, kind, alias, key, coalesce(suppliers, 0) AS suppliers FROM dim LEFT JOIN k USING (key)""")
+def q_inst_dim_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name and alias, with how many suppliers of the view go by it."""
+    held = _named(spark, sf_dir).groupBy(institutions.comparable(institutions.institution_line(F.col("org"))).alias("key")).agg(F.count("*").alias("suppliers"))
+    dim = institutions.dimension(spark).select("name", "kind", "alias", institutions.comparable(F.col("alias")).alias("key"))
+    return dim.join(held, "key", "left").select("name", "kind", "alias", "key", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
 @query(f"WITH {_NAMED} SELECT s_suppkey, {_comparable_sql('line')} AS key FROM (SELECT s_suppkey, {_LINE_SQL.format('org')} AS line FROM named)")
 def q_inst_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(spark, sf_dir).select("s_suppkey", institutions.comparable(institutions.institution_line(F.col("org"))).alias("key"))
@@ -341,14 +346,21 @@ def q_review_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.export_rows(found, found.filter("number % 3 = 0").select("report_id", "issue_id"))
 
 
-@query("""SELECT key, place, CASE place WHEN 1 THEN '按名称' WHEN 2 THEN '按键' ELSE '测算' || key END AS comment FROM (VALUES ('normal-optimization', 1), ('mild-negotiation', 2), ('term-extension', 3), ('high-risk-resolution', 4)) v(key, place)""")
-def q_plan_comment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments name a plan by its key or its name; the first that does stands, plans without one get a made text."""
-    from ledgerloom.operators.debt import PLANS
+_COMMENTS = [
+    ("1", "''", "CASE c_custkey % 4 {names} END", "'按名称' || CAST(c_custkey AS STRING)"), ("2", "CASE c_custkey % 3 {keys} ELSE '' END", "''", "'按键' || CAST(c_custkey AS STRING)"),
+    ("3", "CASE c_custkey % 2 {keys} ELSE '' END", "'无此方案'", "'其后'")]
+_SAID = " UNION ALL ".join(
+    f"SELECT c_custkey AS report_id, {n} AS ord, {k} AS plan_key, {w} AS plan_name, {c} AS comment FROM customer".format(
+        keys=" ".join(f"WHEN {i} THEN '{p[0]}'" for i, p in enumerate(PLANS)), names=" ".join(f"WHEN {i} THEN '{p[1]}'" for i, p in enumerate(PLANS))) for n, k, w, c in _COMMENTS)
 
-    plans = spark.createDataFrame([(k, p[0], p[1]) for k, p in enumerate(PLANS, 1)], "place int, key string, name string")
-    comments = spark.createDataFrame([(1, "", PLANS[0][1], "按名称"), (2, PLANS[1][0], "", "按键"), (3, PLANS[1][0], "", "其后")], "ord int, plan_key string, plan_name string, comment string")
-    return reviews.plan_comments(plans, comments)
+
+@query(f"""WITH pl AS ({_PLANS_SQL}), cm AS ({_SAID}), nm AS (SELECT pl.report_id, key, ord, comment FROM pl JOIN cm ON cm.report_id = pl.report_id AND ((plan_key <> '' AND plan_key = key) OR (plan_name <> '' AND plan_name = name)))
+    SELECT report_id, key, place, coalesce((SELECT arg_min(comment, ord) FROM nm WHERE nm.report_id = pl.report_id AND nm.key = pl.key), '测算' || key) AS comment FROM pl""")
+def q_plan_comment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments on reports name a plan by its key or its name; the first that does stands, plans without one get a made text."""
+    customers = t.read(spark, sf_dir, "customer")
+    parts = [customers.selectExpr(*part.removeprefix("SELECT ").removesuffix(" FROM customer").split(", ")) for part in _SAID.split(" UNION ALL ")]
+    return reviews.plan_comments(_plan_rows(spark, sf_dir), parts[0].union(parts[1]).union(parts[2]))
 
 
 @query("""SELECT conv_id, turn, trim(text) AS summary, 2 AS sources, (turn + 1)::BIGINT AS priority FROM conversations""")

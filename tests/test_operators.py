@@ -158,6 +158,19 @@ def test_institutions(spark):
     assert got["信用卡中心"].status == "review" and got["无此机构"].status == "unlisted"
 
 
+def test_a_name_meets_few_keys(spark):
+    """Of the keys of the dimension those are left that can be part of a name or alike, a few tens at most."""
+    keys = institutions.dimension(spark).select(institutions.comparable(F.col("alias")).alias("key")).distinct()
+    names = spark.createDataFrame([(n,) for n in ("招商银行股份有限公司上海分行", "北京银很股份有限公司", "某市农村商业银行", "通用小额贷款有限公司", "测试消费金融有限公司", "天津银行", "甲乙丙丁")], "name string")
+    names = names.select(institutions.comparable(F.col("name")).alias("c")).withColumn("grams", texts.bigrams(F.col("c")))
+    pairs = names.crossJoin(keys).withColumn("like", texts.similarity(F.col("c"), F.col("key"))).withColumn("may", institutions.may_be_alike(F.col("c"), F.col("grams"), F.col("key")))
+    assert pairs.filter("NOT may AND (like >= 0.72 OR contains(c, key) OR contains(key, c))").count() == 0
+    most = pairs.filter("may").groupBy("c").count().agg(F.max("count")).head()[0]
+    assert most <= 40 and keys.count() > 140
+    with pytest.raises(ValueError):
+        institutions.normalize_names(names.withColumnRenamed("c", "name"), institutions.dimension(spark).crossJoin(spark.range(20)))
+
+
 def test_robust_line_drops_outliers(spark):
     points = [(1, float(x), 2.0 * x + 1) for x in range(20)] + [(1, 5.0, 500.0), (1, 12.0, -400.0), (2, 1.0, 1.0)]
     got = {r.line_id: r for r in quality.robust_line(spark.createDataFrame(points, "line_id long, x double, y double")).collect()}
