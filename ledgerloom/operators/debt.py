@@ -117,6 +117,10 @@ def _total(categories, value: str) -> Column:
 def metrics(found: DataFrame, loans: DataFrame, cards: DataFrame) -> DataFrame:
     """Pressure metrics of each report with debt, next to the pivoted buckets."""
     wide = pivoted(found).join(card_limits(cards), "report_id", "left").join(overdue_counts(loans, cards), "report_id", "left").fillna(0, ["card_limit", "overdue_accounts"])
+    return _pressure(wide)
+
+
+def _pressure(wide: DataFrame) -> DataFrame:
     return wide.withColumns({
         "monthly_payment_rate": ratio(F.col("payment"), F.col("debt_total")), "card_usage_rate": ratio(F.col("creditCard_balance"), F.col("card_limit")),
         "non_mortgage_share": ratio(_total(_OTHERS, "balance"), F.col("debt_total")), "business_share": ratio(F.col("business_balance"), F.col("debt_total")), "non_mortgage_payment": _total(_OTHERS, "payment")})
@@ -128,10 +132,43 @@ def leading(parts: DataFrame) -> DataFrame:
     return parts.groupBy("report_id").agg(top("balance").alias("by_balance"), top("payment").alias("by_payment"))
 
 
+def debts_at_once(accounts: DataFrame) -> DataFrame:
+    """A row for each report with debt, from one table of accounts (see ``tables.accounts``) that is aggregated once.
+
+    What :func:`metrics` gives, with parts (the categories' figures), by_balance and by_payment (:func:`leading`),
+    cards (how many :func:`installment_cards`, null for none) and relief (:func:`card_relief`).
+    """
+    c = F.col
+    balance, due = sanitize(F.coalesce("balance", F.lit(0.0))), sanitize(F.coalesce("monthly_payment", F.lit(0.0)))
+    normal = c("is_card") & (card_status(c("status")) == "正常")
+    owing = F.when(c("is_card"), normal & ((balance > 0) | (due > 0))).otherwise(is_active_debt(c("status"), c("balance"), c("monthly_payment")))
+    rows = accounts.select(
+        "report_id", "overdue_count", F.when(owing, F.when(c("is_card"), "creditCard").otherwise(classify_loan(c("business_type")))).alias("category"), balance.alias("balance"), due.alias("payment"),
+        F.when(normal, sanitize(c("credit_amount"))).alias("limit"), (owing & c("is_card")).alias("instalments"))
+    of = lambda k, v: F.when(c("category") == k, c(v))
+    less = F.when(c("instalments") & (c("balance") > 0) & (c("payment") > 0), F.greatest(F.lit(0.0), c("payment") - F.ceil(c("balance") / 12))).otherwise(0.0)
+    wide = rows.groupBy("report_id").agg(
+        *[F.count(of(k, "category")).alias(f"{k}_accounts") for k in CATEGORIES], *[money_sum(of(k, v)).alias(f"{k}_{v}") for k in CATEGORIES for v in ("balance", "payment")], F.count("category").alias("debt_count"),
+        money_sum(F.when(c("category").isNotNull(), c("balance"))).alias("debt_total"), half_up(money_sum(F.when(c("category").isNotNull(), c("payment")))).alias("payment"), money_sum(c("limit")).alias("card_limit"),
+        F.count_if(c("overdue_count") > 0).alias("overdue_accounts"), F.nullif(F.count_if("instalments"), F.lit(0)).alias("cards"), half_up(money_sum(less)).alias("relief"))
+    wide = wide.filter("debt_count > 0").withColumn("card_count", c("creditCard_accounts"))
+    part = lambda place, k, label: F.struct(
+        F.lit(k).alias("category"), F.lit(label).alias("label"), F.lit(place).alias("place"), c(f"{k}_accounts").alias("accounts"), c(f"{k}_balance").alias("balance"), c(f"{k}_payment").alias("payment"),
+        ratio(c(f"{k}_balance"), c("debt_total")).alias("balance_share"), ratio(c(f"{k}_payment"), c("payment")).alias("payment_share"), ratio(c(f"{k}_payment"), c(f"{k}_balance")).alias("payment_rate"))
+    parts = F.filter(F.array(*[part(n, k, label) for n, (k, label) in enumerate(CATEGORIES.items())]), lambda p: p["accounts"] > 0)
+    wide = _pressure(wide).withColumn("parts", parts)
+    top = lambda v: F.array_max(F.transform("parts", lambda p: F.struct(p[v].alias("v"), (-p["place"]).alias("place"), p.alias("part"))))["part"]
+    return wide.withColumns({"by_balance": top("balance"), "by_payment": top("payment")}).drop(*[f"{k}_accounts" for k in CATEGORIES])
+
+
 def insights(parts: DataFrame, wide: DataFrame, installments: DataFrame) -> DataFrame:
     """report_id, place, key, level, figure: one row for each insight that a report's figures trigger."""
     many = installments.groupBy("report_id").agg(F.count("*").alias("cards"))
-    rows = wide.join(leading(parts), "report_id", "left").join(many, "report_id", "left")
+    return triggered(wide.join(leading(parts), "report_id", "left").join(many, "report_id", "left"))
+
+
+def triggered(rows: DataFrame) -> DataFrame:
+    """The insights of reports' metrics with by_balance, by_payment and cards."""
     share, pay = F.coalesce("by_balance.balance_share", F.lit(0.0)), F.coalesce("by_payment.payment_share", F.lit(0.0))
     rest = F.coalesce("non_mortgage_share", F.lit(0.0))
     rules = [
@@ -162,9 +199,9 @@ def card_relief(installments: DataFrame) -> DataFrame:
     return installments.groupBy("report_id").agg(half_up(money_sum(less)).alias("relief"))
 
 
-def plans(wide: DataFrame, installments: DataFrame) -> DataFrame:
-    """report_id, place, key, impact, payment, released, target: four plans for each report."""
-    rows = wide.join(card_relief(installments), "report_id", "left").fillna(0, ["relief"])
+def plans(wide: DataFrame, installments: DataFrame | None = None) -> DataFrame:
+    """report_id, place, key, impact, payment, released, target: four plans for each report. Without ``installments``, ``wide`` has relief."""
+    rows = wide if installments is None else wide.join(card_relief(installments), "report_id", "left").fillna(0, ["relief"])
     made = []
     for place, (key, name, impact, by_card, lines) in enumerate(PLANS, 1):
         parts = ([F.col("relief")] if by_card else []) + [half_up(_total(c.split(), "payment") * r) for c, r in lines]
@@ -175,9 +212,9 @@ def plans(wide: DataFrame, installments: DataFrame) -> DataFrame:
     return rows.select("report_id", F.explode(F.array(*made)).alias("p")).select("report_id", "p.*")
 
 
-def summary_lines(wide: DataFrame, parts: DataFrame) -> DataFrame:
-    """report_id, lines: the summary's sentences in order."""
-    rows = wide.join(leading(parts), "report_id", "left")
+def summary_lines(wide: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """report_id, lines: the summary's sentences in order. Without ``parts``, ``wide`` has by_balance."""
+    rows = wide if parts is None else wide.join(leading(parts), "report_id", "left")
     top = F.col("by_balance")
     lines = F.array_compact(F.array(
         F.concat(F.lit("当前识别在贷余额合计 "), amount_text(F.col("debt_total")), F.lit(" 元，其中贷款账户 "), (F.col("debt_count") - F.col("card_count")).cast("string"), F.lit(" 笔，信用卡有用额账户 "), F.col("card_count").cast("string"), F.lit(" 笔。")),

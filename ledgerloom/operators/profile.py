@@ -104,6 +104,33 @@ def profiles(reports: DataFrame, loans: DataFrame, cards: DataFrame, queries: Da
     return out
 
 
+def profiles_at_once(reports: DataFrame, accounts: DataFrame, queries: DataFrame) -> DataFrame:
+    """What :func:`profiles` gives, from one table of accounts (see ``tables.accounts``) that is aggregated once.
+
+    Accounts meet their report, whose dates some figures need, and are summed up by it in the
+    same partitioning; so are the queries, which meet the one row that a report has by then.
+    """
+    day, asked_by, c = parse_loose(F.col("report_time")), parse_loose(F.col("query_time")), F.col
+    base = reports.select(
+        "report_id", age_at(c("birth_date"), day).alias("age"), "marriage", "employment", day.alias("day"), months_before(day, 6).alias("since"), *[months_before(asked_by, m).alias(f"since_{m}") for m in (1, 3, 6)])
+    loan, card = ~c("is_card"), c("is_card") & (card_status(c("status")) == "正常")
+    open_loan, opened = loan & ~c("status").rlike(_ENDED), parse_loose(c("open_date"))
+    runs = F.transform(F.split("codes", "[^1-7]+"), lambda v: F.length(v))
+    first = F.min_by(F.when(opened.isNotNull(), F.struct("open_date", opened.alias("d"))), F.when(opened.isNotNull(), F.struct(opened.alias("d"), "is_card", "ord")))
+    found = base.join(accounts, "report_id", "left").groupBy(*base.columns).agg(
+        F.count_if(c("overdue_count") > 0).alias("overdue_now"), F.coalesce(F.bool_or(c("status").rlike("呆账|呆帐")), F.lit(False)).alias("bad_debt"),
+        F.max(F.array_max(runs)).cast("long").alias("longest"), F.sum(F.regexp_count("codes", F.lit("[1-7]"))).alias("total"), F.count_if(open_loan).alias("active_loans"), money_sum(F.when(open_loan, c("balance"))).alias("loan_balance"),
+        money_sum(F.when(open_loan, c("monthly_payment"))).alias("loan_payment"), F.count_if(open_loan & (opened >= c("since"))).alias("new_loans_6m"), money_sum(F.when(card, c("balance"))).alias("card_used"),
+        money_sum(F.when(card, c("credit_amount"))).alias("card_limit"), money_sum(F.when(card, c("monthly_payment"))).alias("card_payment"), F.coalesce(F.bool_or(loan & c("business_type").rlike(MORTGAGE)), F.lit(False)).alias("has_mortgage"),
+        F.coalesce(F.bool_or(loan & c("business_type").rlike(AUTO)), F.lit(False)).alias("has_auto_loan"), first.alias("first"), F.count_if(loan & c("status").rlike("结清")).alias("settled_loans"))
+    asked = queries.filter(c("query_reason").rlike(COUNTED_REASONS)).select("report_id", parse_loose(c("query_date")).alias("asked"))
+    out = found.join(asked, "report_id", "left").groupBy(*found.columns).agg(*[F.count_if(c("asked") >= c(f"since_{m}")).alias(f"query_{m}m") for m in (1, 3, 6)])
+    return out.select(
+        "report_id", "age", "marriage", "employment", "overdue_now", "bad_debt", F.lit(False).alias("compensation"), "longest", "total", "active_loans", "loan_balance", "new_loans_6m", "card_used", "card_limit",
+        F.when(c("card_limit") > 0, half_up(c("card_used") / c("card_limit"), 2)).alias("card_usage_rate"), half_up(c("loan_payment") + c("card_payment"), 2).alias("monthly_payment"), "query_1m", "query_3m", "query_6m", "has_mortgage",
+        "has_auto_loan", c("card_limit").alias("card_credit_limit"), c("first.open_date").alias("earliest_open_date"), F.floor(F.datediff("day", c("first.d")) / 365.25).alias("credit_years"), "settled_loans")
+
+
 def indicators() -> list[tuple[str, str, Column]]:
     """Dimension, indicator and rank, in order, over a profile row."""
     c = F.col

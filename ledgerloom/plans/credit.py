@@ -32,7 +32,7 @@ def _buckets(spark, sf_dir) -> DataFrame:
 
 
 def _wide(spark, sf_dir) -> DataFrame:
-    return debt.metrics(_buckets(spark, sf_dir), t.loans(spark, sf_dir), t.cards(spark, sf_dir))
+    return debt.debts_at_once(t.accounts(spark, sf_dir))
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -79,7 +79,8 @@ def q_debt_active_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_DEBT + f"SELECT report_id, category, label, accounts, balance, payment, {_share('balance_share')} AS balance_share, {_share('payment_share')} AS payment_share, {_share('payment_rate')} AS payment_rate FROM parts")
 def q_debt_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(debt.breakdown(_buckets(spark, sf_dir)).drop("place"), "balance_share", "payment_share", "payment_rate")
+    parts = debt.debts_at_once(t.accounts(spark, sf_dir)).select("report_id", F.inline("parts"))
+    return _round(parts.drop("place"), "balance_share", "payment_share", "payment_rate")
 
 
 @query(with_views("loan") + f" SELECT business_type, {_KIND} AS category, count(*) AS accounts FROM loan GROUP BY 1, 2")
@@ -113,7 +114,7 @@ def q_debt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_DEBT + f"SELECT report_id, b_label, b_balance, {_share('b_share')} AS b_share, p_label, p_payment FROM top")
 def q_top_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = debt.leading(debt.breakdown(_buckets(spark, sf_dir)))
+    out = debt.debts_at_once(t.accounts(spark, sf_dir))
     return out.select("report_id", F.col("by_balance.label").alias("b_label"), F.col("by_balance.balance").alias("b_balance"), share6(F.col("by_balance.balance_share")).alias("b_share"), F.col("by_payment.label").alias("p_label"), F.col("by_payment.payment").alias("p_payment"))
 
 
@@ -126,8 +127,7 @@ i AS (SELECT report_id, 1 AS place, 'current-overdue' AS key, '高风险' AS lev
     UNION ALL SELECT report_id, 6, 'payment-concentration', '关注', p_share FROM r WHERE p_share >= 0.45)
 SELECT report_id, place, key, level, {_share('figure')} AS figure FROM (SELECT * FROM i UNION ALL SELECT report_id, 7, 'stable-structure', '正常', 0 FROM r WHERE report_id NOT IN (SELECT report_id FROM i))""")
 def q_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = debt.breakdown(_buckets(spark, sf_dir))
-    return _round(debt.insights(parts, _wide(spark, sf_dir), debt.installment_cards(t.cards(spark, sf_dir))), "figure")
+    return _round(debt.triggered(debt.debts_at_once(t.accounts(spark, sf_dir))), "figure")
 
 
 @query(_DEBT + f"SELECT report_id, ord, org, credit_limit, used_amount, floor(available * 100 + 0.5) / 100 AS available, monthly_payment, {_share('usage_rate')} AS usage_rate, CASE WHEN regexp_matches(org, '广发|招商|招行|民生|广州|平安|光大|华夏') THEN '机构在可重点核查名单内' ELSE '需结合发卡机构政策人工核查' END AS reason FROM ic")
@@ -148,7 +148,7 @@ _PLANS_SQL = _DEBT + ", rel AS (SELECT report_id, floor(sum(CASE WHEN used_amoun
 
 
 def _plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debt.plans(_wide(spark, sf_dir), debt.installment_cards(t.cards(spark, sf_dir)))
+    return debt.plans(debt.debts_at_once(t.accounts(spark, sf_dir)))
 
 
 @query(_PLANS_SQL)
@@ -169,7 +169,7 @@ def _percent(x: str) -> str:
     CASE WHEN non_mortgage_share IS NOT NULL THEN '非房贷余额占比 ' || {_percent('non_mortgage_share')} || '，对应月供 ' || {_comma('non_mortgage_payment')} || ' 元，是优先分析的现金流调节区。' END], lambda x: x IS NOT NULL) AS l, debt_total, payment FROM m LEFT JOIN top USING (report_id))
     SELECT report_id, array_to_string(CASE WHEN debt_total <= 0 AND payment <= 0 THEN ['当前未识别到有效债务余额或月供数据，请先核对 OCR 结果中的贷款账户、信用卡账户和本月应还字段。'] ELSE l END, '|') AS lines FROM s""")
 def q_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debt.summary_lines(_wide(spark, sf_dir), debt.breakdown(_buckets(spark, sf_dir))).withColumn("lines", F.array_join("lines", "|"))
+    return debt.summary_lines(_wide(spark, sf_dir)).withColumn("lines", F.array_join("lines", "|"))
 
 
 _DERIVED = with_views("loan", "card") + """, dv AS (SELECT report_id, category, count(DISTINCT org) AS orgs, count(*) AS accounts, sum(credit_amount::DECIMAL(18,2))::DOUBLE AS total_credit,
@@ -214,7 +214,7 @@ pf AS (SELECT basic.*, coalesce(overdue_now, 0) AS overdue_now, coalesce(bad_deb
 
 
 def _profiles(spark, sf_dir) -> DataFrame:
-    return profile.profiles(t.reports(spark, sf_dir), t.loans(spark, sf_dir), t.cards(spark, sf_dir), t.queries(spark, sf_dir), t.repay_codes(spark, sf_dir))
+    return profile.profiles_at_once(t.reports(spark, sf_dir), t.accounts(spark, sf_dir), t.queries(spark, sf_dir))
 
 
 @query(_PROFILE + "SELECT report_id, overdue_now, bad_debt, compensation FROM hi")

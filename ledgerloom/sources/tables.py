@@ -42,13 +42,16 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("amount"), F.coalesce("balance", F.lit(0.0)).alias("balance"), F.coalesce("overdue", F.lit(0)).alias("overdue_count"), "o_orderstatus", "o_orderpriority")
 
 
+def _kinds():
+    return F.create_map(*[F.lit(x) for pair in {"1-URGENT": "个人住房贷款", "2-HIGH": "个人经营性贷款", "3-MEDIUM": "个人汽车贷款"}.items() for x in pair])
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """report_id, ord, category, org, open_date, credit_amount, balance, monthly_payment, status, business_type, overdue_count."""
-    kind = F.create_map(*[F.lit(x) for pair in {"1-URGENT": "个人住房贷款", "2-HIGH": "个人经营性贷款", "3-MEDIUM": "个人汽车贷款"}.items() for x in pair])
     status = F.when(F.col("o_orderstatus") == "F", "结清").when(F.col("o_orderstatus") == "O", "正常").otherwise("逾期")
     return _orders(spark, sf_dir).filter("NOT startswith(o_orderpriority, '5')").select(
         "report_id", "ord", _by(F.col("ord"), "nonRevolvingLoan", "revolvingLoan1", "revolvingLoan2").alias("category"), "org", "open_date", F.col("amount").alias("credit_amount"), "balance",
-        half_up(F.col("balance") / 12, 2).alias("monthly_payment"), status.alias("status"), F.coalesce(F.try_element_at(kind, F.col("o_orderpriority")), F.lit("其他个人消费贷款")).alias("business_type"), "overdue_count")
+        half_up(F.col("balance") / 12, 2).alias("monthly_payment"), status.alias("status"), F.coalesce(F.try_element_at(_kinds(), F.col("o_orderpriority")), F.lit("其他个人消费贷款")).alias("business_type"), "overdue_count")
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,29 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", "其他").otherwise("正常").alias("status"), F.when(F.col("ord") % 7 == 0, "美元").otherwise("人民币").alias("currency"), "overdue_count")
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans and cards in one table, each order and line read once: report_id, ord, is_card, org, open_date, credit_amount (a card's limit), balance, monthly_payment, status, business_type, overdue_count, codes.
+
+    ``codes`` are the line codes in order (of one line number those that are not overdue first), as one text; those that
+    were not noted are left out, and an order without lines has null.
+    """
+    line = read(spark, sf_dir, "lineitem")
+    net = half_up(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).cast("decimal(18,2)")
+    code = F.when(F.col("l_returnflag") == "R", "1").when(F.col("l_returnflag") == "A", "N")
+    lines = line.groupBy(F.col("l_orderkey").alias("ord")).agg(
+        F.sum(F.when(F.col("l_linestatus") == "O", net)).cast("double").alias("balance"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("overdue_count"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (code == "1").alias("over"), code.alias("code")))), lambda x: x["code"]), "").alias("codes"))
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.concat("n_name", F.lit("银行")).alias("org"))
+    order = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("ord"), "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % 25).alias("k"))
+    rows = order.join(lines, "ord", "left").join(F.broadcast(nation), "k", "left").fillna(0, ["balance", "overdue_count"]).withColumn("is_card", F.startswith("o_orderpriority", F.lit("5")))  # 25 nations
+    card, state = F.col("is_card"), F.col("o_orderstatus")
+    status = F.when(card, F.when(state == "P", "其他").otherwise("正常")).when(state == "F", "结清").when(state == "O", "正常").otherwise("逾期")
+    kind = F.when(~card, F.coalesce(F.try_element_at(_kinds(), F.col("o_orderpriority")), F.lit("其他个人消费贷款")))
+    return rows.select(
+        F.col("o_custkey").alias("report_id"), "ord", "is_card", "org", F.date_format("o_orderdate", "yyyy.MM.dd").alias("open_date"), F.col("o_totalprice").alias("credit_amount"), "balance",
+        half_up(F.col("balance") / F.when(card, 10).otherwise(12), 2).alias("monthly_payment"), status.alias("status"), kind.alias("business_type"), "overdue_count", "codes")
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """report_id, ord, query_date, query_org, query_reason."""
     reason = F.when(F.col("event_type") == "purchase", "贷款审批").when(F.col("event_type") == "signup", "信用卡审批").when(F.col("event_type") == "click", "担保资格审查").when(F.col("event_type") == "view", "贷后管理").otherwise("本人查询")

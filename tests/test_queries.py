@@ -63,3 +63,15 @@ def test_a_response_is_parsed_once(spark, small):
 def test_label_lookup_joins_nothing(spark, small):
     plan = registry.QUERIES["q_label_value_score"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize(("name", "tables"), [("q_flagship", 5), ("q_assessment", 5), ("q_insights", 3), ("q_plans", 3), ("q_debt_breakdown", 3)])
+def test_accounts_are_read_once(name, tables, spark, small):
+    """Each table is scanned once, and at most four times rows are dealt out anew."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("FileScan parquet") == tables
+    assert plan.count("Exchange hashpartitioning") <= (5 if tables == 5 else 3)
