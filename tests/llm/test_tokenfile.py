@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 from ledgerloom.llm import rangecoder, tokenfile
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(VOCABULARY)
+ENCODER = tokenfile.Encoder(open(VOCABULARY, "rb").read())
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 511, 3000])
@@ -54,7 +56,7 @@ def write(tmp_path, documents, block=None):
     files, name = tokenfile._open(path)
     writer = tokenfile.FileWriter(files.open_output_stream(name), 50257, 2)
     for i, ids in documents:
-        writer.add(i, np.array(ids, "<u4").tobytes())
+        writer.add([i], np.array(ids, np.uint32), np.array([len(ids)]))
     assert writer.close() == (len(documents), sum(len(ids) for _, ids in documents), len(open(path, "rb").read()))
     return path
 
@@ -84,10 +86,9 @@ def test_damage_is_found(tmp_path):
 
 def brute(rows):
     """Per document in rising order of ids, from the library itself."""
-    library = Tokenizer.from_file(VOCABULARY)
     start, out = 0, []
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
@@ -98,6 +99,26 @@ def told(spark, docs):
     return sorted(((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in found), key=lambda r: r[1])
 
 
+ALPHABET = st.sampled_from(["a", "B", "é", "漢", "1", "'s", "'", ".", "  ", " ", "\n", "\t", "\x1c", "\u00a0", "\u2003", "“", "e\u0301", "<|endoftext|>", "\u3000", "🎉", "\r\n", "don't", "x" * 70])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(ALPHABET, max_size=14).map("".join), st.text(max_size=20)), max_size=6))
+def test_pieces_give_the_librarys_ids(texts):
+    ids, counts = ENCODER(pa.array(texts, pa.string()))
+    want = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_encoder_forgets_and_goes_on(monkeypatch):
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 50)
+    monkeypatch.setattr(tokenfile.Encoder, "PROBES", 1)
+    encoder = tokenfile.Encoder(open(VOCABULARY, "rb").read())
+    for k in range(8):
+        texts = [" ".join(f"w{k * 20 + j}q{j}" for j in range(30)) for _ in range(3)]
+        assert encoder(pa.array(texts))[0].tolist() == [i for t in texts for i in LIBRARY.encode(t, add_special_tokens=False).ids]
+
+
 def test_files_hold_the_librarys_ids(spark, rows, monkeypatch):
     more = [(1000, "it's <|endoftext|> don't"), (1001, "a b    c\x1c d\u0085\n\n e"), (1002, "ỗ 漢字 🎉🎉 <|endoftext|>"), (-7, "minus seven"), (1 << 40, "far")]
     docs = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(4)
