@@ -160,6 +160,9 @@ class LabelIndex:
         apart = int(m * (1 - least) + 1e-9) if m > 2 else 0
         return max(1, d - max(apart, 1 if m >= 4 else 0))
 
+    def place_of(self, word: str) -> int:
+        return self.place[_plain_word(word)]
+
     def candidates(self, label: Column) -> Column:
         """Places of the labels that share enough distinct characters with a normalized text."""
         shared = F.flatten(F.transform(F.array_distinct(F.split(label, "")), lambda c: F.coalesce(F.try_element_at(self.by_char, c), F.array().cast("array<int>"))))
@@ -178,7 +181,7 @@ def find_values(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) ->
     """
     index = LabelIndex([w for *_, labels in fields for w in labels])
     texts = lambda values: "array(" + ", ".join(f"'{v}'" for v in values) + ")"
-    known = F.expr("array(" + ", ".join(f"named_struct('field', '{n}', 'kind', '{k}', 'labels', {texts(w)}, 'at', array({', '.join(str(index.place[_plain_word(v)]) for v in w)}))" for n, k, w in fields) + ")")
+    known = F.expr("array(" + ", ".join(f"named_struct('field', '{n}', 'kind', '{k}', 'labels', {texts(w)}, 'at', array({', '.join(str(index.place_of(v)) for v in w)}))" for n, k, w in fields) + ")")
 
     def cells_of(grid: Column) -> Column:
         """Every cell with a Chinese character, with its neighbours."""

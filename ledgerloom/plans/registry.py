@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import credit, extracts, general, intake, labels, papers, records
+from ledgerloom.plans import credit, extracts, general, intake, labels, papers, records, statements
 
-MODULES = [credit, extracts, general, intake, labels, papers, records]
+MODULES = [credit, extracts, general, intake, labels, papers, records, statements]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

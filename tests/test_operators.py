@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, texts
-from ledgerloom.operators import debt, derive, documents, folds, institutions, profile, quality, segments, stores, validation
+from ledgerloom.operators import debt, derive, documents, folds, institutions, profile, quality, segments, statements, stores, validation
 
 LOAN = "report_id long, ord long, category string, org string, open_date string, credit_amount double, balance double, monthly_payment double, status string, business_type string, overdue_count long"
 CARD = "report_id long, ord long, org string, open_date string, credit_limit double, used_amount double, balance double, monthly_payment double, status string, currency string, overdue_count long"
@@ -253,3 +253,61 @@ def test_overlaps_equal_all_pairs(spark):
             want[b[0], b[1]] = -max(hits)[1], max(hits)[0]
     got = documents.best_overlap(spark.createDataFrame(held, schema), spark.createDataFrame(new, schema)).collect()
     assert {(r.page_id, r.new_ord): (r.ord, r.overlap) for r in got} == want
+
+
+TABLE = "doc_id long, ord long, headers array<string>, rows array<array<string>>"
+
+
+def test_agreements_in_one_table_or_two(spark):
+    head, first = ["管理机构", "授信协议标识", "生效日期", "到期日期", "授信额度用途"], ["甲银行", "B1", "d", "d", "其他"]
+    labels, values = ["授信额度", "授信限额", "已用额度"], ["50,000\n元", "9", "1200"]
+    rows = [(1, 1, head, [first, labels, values]), (1, 2, head, []), (1, 3, ["乙公司", "", "", "", "循环"], [labels, ["7", "8", ""]]), (1, 4, head, [first]), (1, 5, head, []), (2, 1, ["x"], []), (2, 2, head, None), (3, 1, None, None)]
+    got = statements.credit_agreements(spark.createDataFrame(rows, TABLE)).orderBy("doc_id", "ord").collect()
+    assert [tuple(r) for r in got] == [(1, 1, "甲银行", "其他", 50000.0, 1200.0), (1, 2, "乙公司", "循环", 7.0, 0.0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_responsibilities_take_the_next_table_once(spark, seed):
+    """Against a walk through the tables one by one: runs of headers without rows of every length, and ends of documents."""
+    rng = random.Random(seed)
+    tables = []
+    for doc in range(12):
+        for k in range(rng.randint(0, 9)):
+            kind = rng.choice("hhhto")
+            tables.append((doc, k, ["管理机构", "币种"] if kind in "ht" else ["甲银行", "元"], [] if kind == "h" else [[f"机构{k}公司", "元"]]))
+    want = []
+    for doc in range(12):
+        own, k = [t for t in tables if t[0] == doc], 0
+        while k < len(own):
+            if own[k][2][0] == "管理机构":
+                if own[k][3]:
+                    want.append((doc, k, own[k][3][0][0]))
+                elif k + 1 < len(own):
+                    want.append((doc, k, own[k + 1][2][0]))
+                    k += 1
+            k += 1
+    got = statements.repay_responsibilities(spark.createDataFrame(tables, TABLE)).select("doc_id", "ord", "org").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_responsibility_fields(spark):
+    rows = [(1, 1, ["管理机构", "责任人类型", "还款责任金额"], [["甲银行", "保证人", "1,000"], ["主业务借款人", "主业务借款人证件号码"], ["某人", "ID1"], ["五级分类", "余额"], ["正常", "88"]]), (2, 1, ["还款责任"], [["保证人/反担保人", "乙消费金融有限公司", "23,000"]])]
+    got = statements.repay_responsibilities(spark.createDataFrame(rows, TABLE)).orderBy("doc_id").collect()
+    assert (got[0].org, got[0].kind, got[0].amount, got[0].borrower, got[0].cert_no, got[0].balance, got[0].five_category) == ("甲银行", "保证人", 1000.0, "某人", "ID1", 88.0, "正常")
+    assert (got[1].org, got[1].kind, got[1].amount, got[1].balance) == ("乙消费金融有限公司", "保证人/反担保人", 23000.0, None)
+
+
+def test_payments_by_place(spark):
+    loan = ["账户状态", "五级分类", "余额", "本月应还款", "应还款日", "本月实还款", "正常", "1", "2", "3,000", "4", "5.5", "6"]
+    card = ["账单日", "本月应还款", "本月实还款", "当前途期总额", "x", "12", "340", "9"]
+    rows = [(1, False, k, v) for k, v in enumerate(loan)] + [(2, True, k, v) for k, v in enumerate(card)] + [(3, True, 0, "本月应还款"), (4, False, 0, None)]
+    got = statements.line_payments(spark.createDataFrame(rows, "account_id long, is_card boolean, line int, text string")).collect()
+    assert {r.account_id: r.payment for r in got} == {1: 5.5, 2: 340.0, 3: 0.0, 4: 0.0}
+
+
+def test_changes_fold_by_field(spark):
+    rows = [
+        (1, 1, "add", "a", 5), (1, 2, "update", None, 7), (1, 3, "update", "b", None), (2, 1, "add", "c", 1), (2, 2, "delete", None, None), (2, 3, "update", "lost", 9),
+        (3, 1, "add", "d", 1), (3, 2, "delete", None, None), (3, 3, "update", "lost", 2), (3, 4, "add", None, 3), (4, 1, "update", "never", 1)]
+    got = statements.fold_changes(spark.createDataFrame(rows, "id long, seq long, op string, name string, weight long"), ["name", "weight"]).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "b", 7, 3), (3, None, 3, 4)]
