@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of a block, and of a lane.
-BLOCK, LANE = 1 << 20, 256
+BLOCK, LANE = 1 << 21, 256
 #: Bits of the order-2 table; ids that order 0 counts, at most (others stay behind the escape).
 _SLOTS, _COUNTED = 16, 1 << 15
 #: Places of order 0, mixing shares, both together; a word; the least and the whole range of a lane.
