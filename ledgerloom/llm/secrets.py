@@ -34,7 +34,8 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
-#: Runs that the models judge: long enough, with a letter and a digit.
+#: Runs that the models judge: with a letter and a digit, and of 20 characters or more, as shorter ones hold too few pairs to tell
+#: a random string from an identifier by LEAST_RATIO without marking identifiers.
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: What a text must hold for a match of a kind, or a run, that is long enough; found in much less time.
 _GATES = {"assign": r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""", "other": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}"}
@@ -129,16 +130,17 @@ def _without(text: str, spans: str, mask: str) -> str:
 def train(docs: DataFrame, text_column: str = "text") -> list[float]:
     """For each pair of characters the log-likelihood ratio of the second after the first: random strings over ordinary identifiers.
 
-    Learned from a sample of at most ``SAMPLE_ROWS`` texts.
+    Learned from a sample of at most ``SAMPLE_ROWS`` rows. Rows are drawn by their number, so
+    that rows of one text come into it as often as any others.
     """
-    text, = free(docs, "text_")
-    rows = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias(text))
+    text, number = free(docs, "text_", "number_")
+    rows = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias(text), F.monotonically_increasing_id().alias(number))
     n = rows.count()
     if n > SAMPLE_ROWS:
         # a share that gives at most SAMPLE_ROWS rows, but for less than one case in a million
-        rows = rows.filter(F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * (SAMPLE_ROWS - 5 * SAMPLE_ROWS**0.5) / n))
+        rows = rows.filter(F.pmod(F.xxhash64(number, F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * (SAMPLE_ROWS - 5 * SAMPLE_ROWS**0.5) / n))
     base, = free(rows, "base_")
-    rows = _base(rows, text, base)
+    rows = _base(rows.select(text), text, base)
     marked = F.expr(f"transform(`{base}`, b -> named_struct('value', b.value, 'random', 1))")
     left = f"IF(size(`{base}`) = 0, `{text}`, {_without(f'`{text}`', f'`{base}`', ' ')})"
     ordinary = F.expr(f"transform(array_distinct(regexp_extract_all({left}, '(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{8,}}', 0)), w -> named_struct('value', w, 'random', 0))")

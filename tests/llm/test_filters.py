@@ -216,6 +216,35 @@ def test_pipeline_stages_one_by_one(spark, small):
     assert max(r["n"] for r in after.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()) <= 4096
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, clashing columns; and empty tables."""
+    long = "lorem ipsum dolor sit amet consectetur " * 9000
+    rows = [(None, "a b c"), (None, "a b c"), (1, "q w e r t y"), (1, "q w e r t y"), (2, long), (3, None), (4, ""), (5, "q w e r t z"), (6, "a  b\tc"), (7, long + "adipiscing"), (8, "token=abcdefgh12")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars", "1 AS gone_", "2 AS digest_", "3 AS at_", "4 AS marked", "5 AS piece", "'r' AS `row`", "7 AS score")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+    # of the texts equal to "a b c" the one with an id and more characters stays; null counts as empty; the long ones are near copies
+    assert {r.doc_id for r in got} == {1, 2, 3, 5, 6, 8}
+    held = {r.doc_id: r for r in got}
+    assert held[3].n == 1 and held[2].pieces > 10 and held[1].pieces == 1
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_secrets_sample_by_row(spark, monkeypatch):
+    """Where one text is most rows, the sample has about its share of them, neither all nor none."""
+    monkeypatch.setattr(secrets, "SAMPLE_ROWS", 400)
+    seen = []
+    kept = secrets._base
+    monkeypatch.setattr(secrets, "_base", lambda rows, *more: seen.append(rows.count()) or kept(rows, *more))
+    secrets.train(spark.createDataFrame([("token=abcdefgh12 and more",)] * 3000 + [(f"text {k}",) for k in range(1000)], "text string"))
+    assert 200 < seen[0] <= 400
+
+
 def test_registered_names():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(k) for k in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(k) for k in range(1, 14)}
     assert len(corpus_pipeline.STAGES) == 5 and words("a b") == ["a", "b"]
