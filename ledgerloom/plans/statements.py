@@ -1,10 +1,12 @@
-"""Registered queries of agreements, responsibilities, employers, line payments and rule changes, over tables made of the driver's; with SQL for the same rows."""
+"""Registered queries of agreements, responsibilities, employers, line payments, rule changes and image regions, over tables made of the driver's; with SQL for the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.amounts import share6
+from ledgerloom.operators import regions
 from ledgerloom.operators import statements as x
 from ledgerloom.plans.labels import _label_sql, _match_sql
 from ledgerloom.sources import tables as t
@@ -131,3 +133,23 @@ _CHANGES = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _CHANGE.items()) + "
 def q_rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = t.read(spark, sf_dir, "events").select(*[F.expr(e).alias(n) for n, e in _CHANGE.items()])
     return x.fold_changes(changes, ["name", "weight"])
+
+
+#: Pixel runs of images of 100 x 40: eight places a line, of 12 pixels at most, some of them touching the next.
+_RUN = {"image_id": "l_suppkey % 60", "y": "l_partkey % 40", "x0": "(l_orderkey % 8) * 12 + l_linenumber % 3", "x1": "(l_orderkey % 8) * 12 + 8 + l_linenumber % 4"}
+_WIDTH, _HEIGHT = 100, 40
+_RUNS = "SELECT image_id, y, min(x0) AS x0, max(x1) AS x1 FROM (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _RUN.items()) + ", l_orderkey % 8 AS place FROM lineitem) GROUP BY image_id, y, place"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY image_id, y, x0) AS id, * FROM ({_RUNS})),
+    e AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.image_id = b.image_id AND ((abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND a.x1 >= b.x0) OR (a.y = b.y AND (a.x1 + 1 = b.x0 OR b.x1 + 1 = a.x0)))),
+    c(id, low, n) AS (SELECT id, id, 0 FROM r UNION ALL SELECT c.id, least(min(c.low), min(d.low)), max(c.n) + 1 FROM c JOIN e ON e.a = c.id JOIN c d ON d.id = e.b WHERE c.n < 160 GROUP BY c.id),
+    l AS (SELECT r.*, coalesce(low, r.id) AS low FROM r LEFT JOIN (SELECT id, min(low) AS low FROM c GROUP BY 1) USING (id)),
+    g AS (SELECT image_id, low, sum(x1 - x0 + 1)::BIGINT AS area, min(x0)::INT AS min_x, min(y)::INT AS min_y, max(x1)::INT AS max_x, max(y)::INT AS max_y FROM l GROUP BY 1, 2),
+    s AS (SELECT *, area * (1 - sqrt(pow((min_x + max_x) / 2 - {_WIDTH / 2}::DOUBLE, 2) + pow((min_y + max_y) / 2 - {_HEIGHT / 2}::DOUBLE, 2)) / {(_WIDTH**2 / 4 + _HEIGHT**2 / 4) ** 0.5!r}::DOUBLE * {regions.OFF_CENTER}::DOUBLE) * least({regions.MOST_SOLID}::DOUBLE, {regions.SOLID}::DOUBLE + area / ((max_x - min_x + 1) * (max_y - min_y + 1))) AS score
+        FROM g WHERE area / {_WIDTH * _HEIGHT} >= {regions.LEAST_COVERAGE}::DOUBLE)
+    SELECT image_id, area, min_x, min_y, max_x, max_y, floor(score * 1000000 + 0.5) / 1000000 AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, low) AS k FROM s) WHERE k = 1""")
+def q_document_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = t.read(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in _RUN.items()], F.expr("l_orderkey % 8").alias("place"))
+    runs = runs.groupBy("image_id", "y", "place").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    return regions.document_region(runs, _WIDTH, _HEIGHT).withColumn("score", share6(F.col("score")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, texts
-from ledgerloom.operators import debt, derive, documents, folds, institutions, profile, quality, segments, statements, stores, validation
+from ledgerloom.operators import debt, derive, documents, folds, institutions, profile, quality, regions, segments, statements, stores, validation
 
 LOAN = "report_id long, ord long, category string, org string, open_date string, credit_amount double, balance double, monthly_payment double, status string, business_type string, overdue_count long"
 CARD = "report_id long, ord long, org string, open_date string, credit_limit double, used_amount double, balance double, monthly_payment double, status string, currency string, overdue_count long"
@@ -311,3 +311,44 @@ def test_changes_fold_by_field(spark):
         (3, 1, "add", "d", 1), (3, 2, "delete", None, None), (3, 3, "update", "lost", 2), (3, 4, "add", None, 3), (4, 1, "update", "never", 1)]
     got = statements.fold_changes(spark.createDataFrame(rows, "id long, seq long, op string, name string, weight long"), ["name", "weight"]).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "b", 7, 3), (3, None, 3, 4)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_regions_equal_a_flood(spark, seed):
+    """Random images of all densities, spirals and empty lines, against filling pixel by pixel."""
+    rng = random.Random(seed)
+    runs, want = [], []
+    for image in range(8):
+        w, h, part = rng.randint(1, 24), rng.randint(1, 24), rng.choice([0.2, 0.5, 0.6, 0.8])
+        on = {(x, y) for x in range(w) for y in range(h) if rng.random() < part and (image or y % 5)}
+        for y in range(h):
+            x = 0
+            while x < w:
+                if (x, y) in on:
+                    end = x
+                    while (end + 1, y) in on and rng.random() < 0.9:  # now and then a run is cut, and its parts touch
+                        end += 1
+                    runs.append((image, y, x, end))
+                    x = end
+                x += 1
+        left = set(on)
+        while left:
+            todo, own = [min(left, key=lambda p: (p[1], p[0]))], set()
+            first = todo[0]
+            while todo:
+                x, y = p = todo.pop()
+                if p in left:
+                    left.discard(p)
+                    own.add(p)
+                    todo += [(x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)]
+            xs, ys = [p[0] for p in own], [p[1] for p in own]
+            want.append((image, first[1], first[0], len(own), min(xs), min(ys), max(xs), max(ys)))
+    found = regions.regions(spark.createDataFrame(runs, "image_id long, y int, x0 int, x1 int").repartition(5))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_regions_of_a_large_image(spark):
+    """A comb of 200,000 runs, joined by its last line only: one region, in linear time."""
+    teeth = spark.range(200_000).select(F.lit(1).alias("image_id"), (F.col("id") / 100).cast("int").alias("y"), (F.col("id") % 100 * 4).cast("int").alias("x0"), (F.col("id") % 100 * 4).cast("int").alias("x1"))
+    comb = teeth.union(spark.createDataFrame([(1, 2000, 0, 399), (2, 0, 5, 4), (None, 1, 1, 1)], "image_id long, y int, x0 int, x1 int"))
+    assert [tuple(r) for r in regions.regions(comb).collect()] == [(1, 0, 0, 200_400, 0, 0, 399, 2000)]
