@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, exact_dedup, importance, jpeg, lexical, lm, merkle, minmax, packing, secrets, substring, tokenfile, toxicity
-from ledgerloom.llm.common import read_table, stage
+from ledgerloom.llm.common import read_table, release_staged, stage  # noqa: F401
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
