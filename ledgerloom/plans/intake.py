@@ -54,7 +54,8 @@ _MD = "list_transform(regexp_extract_all(html, '<tr>(.*?)</tr>', 1), lambda r: '
     u AS (SELECT * FROM a3 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM f3)
     SELECT doc_id, page_num, page_id, page_height, page_width, layout_id, type, sub_type, text, box[1] AS x, box[2] AS y, box[3] AS w, box[4] AS h, merge_table, markdown, array_to_string(cells, '|') AS cells FROM u""")
 def q_doc_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    responses = t.read(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k AS doc_id", f"{_JSON} AS json")
+    keys = t.read(spark, sf_dir, "customer").selectExpr("c_custkey AS k").repartition(spark.sparkContext.defaultParallelism)  # before each grows into a response
+    responses = keys.selectExpr("k AS doc_id", f"{_JSON} AS json")
     rows = x.ingest_documents(responses)
     return rows.select("doc_id", "page_num", "page_id", "page_height", "page_width", "layout_id", "type", "sub_type", "text", *[F.col("box")[i].alias(n) for i, n in enumerate("xywh")], "merge_table", "markdown", F.when(F.col("cells").isNotNull(), F.array_join("cells", "|")).alias("cells"))
 
