@@ -41,6 +41,9 @@ CARD_FIELDS = [
 BRIEF_FIELDS = [("org", "text", ["管理机构"]), ("open_date", "date", ["开立日期"]), ("status", "text", ["账户状态"]), ("credit_amount", "amount", ["借款金额"]), ("balance", "amount", ["余额"]), ("monthly_payment", "amount", PAYMENT)]
 CARD_BRIEF = {"org": ["发卡机构"], "credit_amount": ["授信额度"], "balance": ["已用额度"]}
 CATEGORY_LABELS = {"nonRevolvingLoan": "非循环贷账户", "revolvingLoan1": "循环贷账户一", "revolvingLoan2": "循环贷账户二", "creditCard": "贷记卡账户", "repayResponsibility": "相关还款责任信息", "creditAgreement": "授信协议信息"}
+#: Misread words in what names a category, and how a limit's label may read.
+MISREAD_EVIDENCE = [("管利", "管理"), ("管机", "管理机"), ("僧款", "借款")]
+LIMIT_LABELS = "授信额度|投信额度|受信额度|授销额度"
 NOT_AN_ORG = "账户|日期|额度|币种|业务|担保|状态|账单|还款|记录|授信"
 ORG_WORDS = "银行|银|公司|股份|分行|支行|中心|金融|贷款|租赁"
 
@@ -298,14 +301,43 @@ def infer_category(text: Column) -> Column:
     return out
 
 
-def choose_category(text: Column, inferred: Column, current: Column, by_place: Column) -> Column:
-    """Named outright, or of a distinct kind with its main table: the inferred category; else by place, else the current one, else the inferred one."""
-    names = F.create_map(*[F.lit(x) for pair in CATEGORY_LABELS.items() for x in pair])
-    new = inferred.isNotNull() & ~inferred.eqNullSafe(current)
-    main = F.when(inferred == "revolvingLoan2", text.rlike("管理机构") & text.rlike("授信额度")).when(inferred == "creditCard", text.rlike("发卡机构|卡机构") & text.rlike("授信额度"))
-    main = main.when(inferred == "repayResponsibility", text.rlike("还款责任|责任人类型")).when(inferred == "creditAgreement", text.rlike("授信协议|授信额度用途")).otherwise(False)
-    named = F.coalesce(F.contains(text, F.try_element_at(names, inferred)), F.lit(False))
-    return F.when(new & (named | main), inferred).otherwise(F.coalesce(by_place, current, inferred))
+def _cells_of(rows: Column, most: int) -> Column:
+    return F.flatten(F.slice(rows, 1, most))
+
+
+def category_text(preceding: Column, headers: Column, rows: Column) -> Column:
+    """What :func:`infer_category` reads: the text before a table, its headers and its first six rows."""
+    return F.array_join(F.concat(F.array(F.coalesce(preceding, F.lit(""))), headers, _cells_of(rows, 6)), " ")
+
+
+def _evidence(cells: Column) -> Column:
+    """Cells as one text without white space and doubtful marks, misread words put right."""
+    text = F.regexp_replace(F.array_join(cells, " "), r"[\s■□�]+", "")
+    for wrong, right in MISREAD_EVIDENCE:
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    return text
+
+
+def choose_category(preceding: Column, headers: Column, rows: Column, current: Column, by_place: Column) -> Column:
+    """Named outright, or of a distinct kind with its main table: the category that the texts name; else by place, else the current one, else the one named.
+
+    A name may stand before the table, in its headers or its first two rows; its main table's labels in the headers or
+    those rows. Labels may be misread: some characters apart, or a limit written in one of several wrong ways.
+    """
+    def of(x: Column) -> Column:
+        inferred, named_in, main_in = x["inferred"], x["named"], x["main"]
+        has = lambda *words: F.lit(True) if not words else F.contains(main_in, F.lit(words[0])) & has(*words[1:])
+        limit = main_in.rlike(LIMIT_LABELS) | has("账户", "额度")
+        main = F.when(inferred == "revolvingLoan2", has("管", "机构") & limit).when(inferred == "creditCard", has("卡", "机构") & limit)
+        main = main.when(inferred == "repayResponsibility", main_in.rlike("还款责任|责任人类型")).when(inferred == "creditAgreement", main_in.rlike("授信协议|授信额度用途")).otherwise(False)
+        names = F.create_map(*[F.lit(v) for pair in CATEGORY_LABELS.items() for v in pair])
+        named = F.coalesce(F.contains(named_in, F.try_element_at(names, inferred)), F.lit(False))
+        new = inferred.isNotNull() & ~inferred.eqNullSafe(current)
+        return F.when(new & (named | main), inferred).otherwise(F.coalesce(by_place, current, inferred))
+
+    first = F.concat(headers, _cells_of(rows, 2))
+    return let(F.struct(
+        infer_category(category_text(preceding, headers, rows)).alias("inferred"), _evidence(F.concat(F.array(F.coalesce(preceding, F.lit(""))), first)).alias("named"), _evidence(first).alias("main")), of)
 
 
 def merge_segment(tables: DataFrame) -> DataFrame:

@@ -195,24 +195,32 @@ def q_account_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(card, F.expr(_spark_grid(CARD_GRID))).otherwise(F.expr(_spark_grid(LOAN_GRID))).alias("grid")))
 
 
-_EVIDENCE = "concat_ws(' ', " + ", ".join([_one_of(1, "", "", "", "循环贷账户二 账户3", "非循环贷账户", "贷记卡账户", "授信协议信息"), _one_of(3, "管理机构", "发卡机构", "责任人类型", "机构"), _one_of(5, "借款金额", "账户授信额度", "余额"), _one_of(11, "账单日", "", "")]) + ")"
+#: A table's texts for its category: before it, headers, rows; some misread, some only in later rows.
+_BEFORE = _one_of(1, "", "", "", "循环贷账户 二 账户3", "非循环 贷账户", "贷记■卡账户", "授信协议信息", "非循环贷账户")
+_HEADERS = [_one_of(3, "管利机构", "管理机构", "发卡机构", "卡 构 机构", "责任人类型", "机构", "管机构"), _one_of(5, "僧款金额", "账户授信额度", "余额", "投信额度", "授销 额度", "账户 信用额度")]
+_BODY = [[_one_of(2, "甲", "循环贷账户一", "受信额度"), "'1'"], [_one_of(7, "循环贷账户二", "乙"), _one_of(3, "2", "卡机构")], ["'丙'", _one_of(4, "账单日", "3", "3")], ["'丁'", _one_of(9, "管理机构", "4")], [_one_of(6, "账户授信额度", "5"), "'借款金额'"], ["'己'", "'6'"], ["'庚'", "'相关还款责任信息'"]]
 _NOW, _PLACE = _one_of(2, "creditCard", "nonRevolvingLoan", "none"), _one_of(7, "revolvingLoan1", "none")
+_PLAIN = lambda text: f"replace(replace(replace(regexp_replace(regexp_replace({text}, '\\s+', '', 'g'), '[■□�]', '', 'g'), '管利', '管理'), '管机', '管理机'), '僧款', '借款')"
 
 
-@query(f"""WITH r AS (SELECT k, {_EVIDENCE} AS txt, nullif({_NOW}, 'none') AS now, nullif({_PLACE}, 'none') AS place FROM ({_KEYS})),
+@query(f"""WITH b AS (SELECT k, {_BEFORE} AS bef, [{', '.join(_HEADERS)}] AS hd, {_sql_grid(_BODY)} AS rw, nullif({_NOW}, 'none') AS now, nullif({_PLACE}, 'none') AS place FROM ({_KEYS})),
+    r AS (SELECT *, array_to_string([bef] || hd || flatten(rw[1:6]), ' ') AS txt, {_PLAIN("array_to_string([bef] || hd || flatten(rw[1:2]), ' ')")} AS nm, {_PLAIN("array_to_string(hd || flatten(rw[1:2]), ' ')")} AS mn FROM b),
     i AS (SELECT *, CASE WHEN contains(txt, '相关还款责任信息') OR contains(txt, '还款责任金额') OR contains(txt, '责任人类型') OR contains(txt, '主业务借款人') THEN 'repayResponsibility'
-        WHEN contains(txt, '授信协议信息') OR contains(txt, '授信协议标识') OR contains(txt, '授信额度用途') THEN 'creditAgreement' WHEN contains(txt, '贷记卡账户') OR contains(txt, '卡机构') OR contains(txt, '账单日') THEN 'creditCard'
+        WHEN contains(txt, '授信协议信息') OR contains(txt, '授信协议标识') OR contains(txt, '授信额度用途') THEN 'creditAgreement' WHEN contains(txt, '贷记卡账户') OR contains(txt, '发卡机构') OR contains(txt, '卡机构') OR contains(txt, '账单日') THEN 'creditCard'
         WHEN contains(txt, '循环贷账户二') THEN 'revolvingLoan2' WHEN contains(txt, '循环贷账户一') THEN 'revolvingLoan1' WHEN contains(txt, '非循环贷账户') THEN 'nonRevolvingLoan'
-        WHEN contains(txt, '管理机构') AND contains(txt, '账户授信额度') THEN 'revolvingLoan2' WHEN contains(txt, '管理机构') AND contains(txt, '借款金额') THEN 'nonRevolvingLoan' END AS inferred FROM r)
-    SELECT k, inferred, CASE WHEN inferred IS NOT NULL AND inferred IS DISTINCT FROM now AND (contains(txt, CASE inferred {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in x.CATEGORY_LABELS.items())} END)
-        OR (inferred = 'revolvingLoan2' AND contains(txt, '管理机构') AND contains(txt, '授信额度')) OR (inferred = 'creditCard' AND contains(txt, '卡机构') AND contains(txt, '授信额度'))
-        OR (inferred = 'repayResponsibility' AND (contains(txt, '还款责任') OR contains(txt, '责任人类型'))) OR (inferred = 'creditAgreement' AND (contains(txt, '授信协议') OR contains(txt, '授信额度用途'))))
+        WHEN contains(txt, '管理机构') AND contains(txt, '账户授信额度') THEN 'revolvingLoan2' WHEN contains(txt, '管理机构') AND contains(txt, '借款金额') THEN 'nonRevolvingLoan' END AS inferred,
+        contains(mn, '管理机构') OR (contains(mn, '管') AND contains(mn, '机构')) AS manager, contains(mn, '发卡机构') OR contains(mn, '卡机构') OR (contains(mn, '卡') AND contains(mn, '机构')) AS issuer,
+        contains(mn, '授信额度') OR contains(mn, '投信额度') OR contains(mn, '受信额度') OR contains(mn, '授销额度') OR (contains(mn, '账户') AND contains(mn, '额度')) AS lim FROM r)
+    SELECT k, inferred, CASE WHEN inferred IS NOT NULL AND inferred IS DISTINCT FROM now AND (contains(nm, CASE inferred {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in x.CATEGORY_LABELS.items())} END)
+        OR (inferred = 'revolvingLoan2' AND manager AND lim) OR (inferred = 'creditCard' AND issuer AND lim)
+        OR (inferred = 'repayResponsibility' AND (contains(mn, '还款责任') OR contains(mn, '责任人类型'))) OR (inferred = 'creditAgreement' AND (contains(mn, '授信协议') OR contains(mn, '授信额度用途'))))
         THEN inferred ELSE coalesce(place, now, inferred) END AS category FROM i""")
 def q_category_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     spell = lambda e: F.expr(e.replace("//", "DIV"))
-    rows = t.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").select("k", spell(_EVIDENCE).alias("txt"), F.nullif(spell(_NOW), F.lit("none")).alias("now"), F.nullif(spell(_PLACE), F.lit("none")).alias("place"))
-    rows = rows.withColumn("inferred", x.infer_category(F.col("txt")))
-    return rows.select("k", "inferred", x.choose_category(F.col("txt"), F.col("inferred"), F.col("now"), F.col("place")).alias("category"))
+    rows = t.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").select(
+        "k", spell(_BEFORE).alias("before"), F.array(*map(spell, _HEADERS)).alias("headers"), F.expr(_spark_grid(_BODY)).alias("rows"), F.nullif(spell(_NOW), F.lit("none")).alias("now"), F.nullif(spell(_PLACE), F.lit("none")).alias("place"))
+    parts = [F.col(c) for c in ("before", "headers", "rows")]
+    return rows.select("k", x.infer_category(x.category_text(*parts)).alias("inferred"), x.choose_category(*parts, F.col("now"), F.col("place")).alias("category"))
 
 
 _PIECE = "CASE WHEN n % 3 = 0 THEN {0}({0}('管理机构', '余额'), {0}(CAST(part AS STRING), CAST(supp AS STRING))) WHEN n % 3 = 1 THEN {0}({0}('状态', '日期'), {0}('正常', CAST(n AS STRING))) ELSE {0}({0}('管理机构', '余额'), {0}(CAST(supp AS STRING), '7'), {0}('合计', CAST(n AS STRING))) END"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, texts
-from ledgerloom.operators import debt, derive, documents, folds, institutions, profile, quality, regions, segments, statements, stores, validation
+from ledgerloom.operators import debt, derive, documents, folds, institutions, labels, profile, quality, regions, segments, statements, stores, validation
 
 LOAN = "report_id long, ord long, category string, org string, open_date string, credit_amount double, balance double, monthly_payment double, status string, business_type string, overdue_count long"
 CARD = "report_id long, ord long, org string, open_date string, credit_limit double, used_amount double, balance double, monthly_payment double, status string, currency string, overdue_count long"
@@ -352,3 +352,15 @@ def test_regions_of_a_large_image(spark):
     teeth = spark.range(200_000).select(F.lit(1).alias("image_id"), (F.col("id") / 100).cast("int").alias("y"), (F.col("id") % 100 * 4).cast("int").alias("x0"), (F.col("id") % 100 * 4).cast("int").alias("x1"))
     comb = teeth.union(spark.createDataFrame([(1, 2000, 0, 399), (2, 0, 5, 4), (None, 1, 1, 1)], "image_id long, y int, x0 int, x1 int"))
     assert [tuple(r) for r in regions.regions(comb).collect()] == [(1, 0, 0, 200_400, 0, 0, 399, 2000)]
+
+
+def test_category_of_misread_tables(spark):
+    """Forms that the rule lists: marks and spaces, misread managers and loans, limits in several wrong spellings, labels apart."""
+    rows = [
+        ("", ["发卡机构", "投信额度"], [], "nonRevolvingLoan", None, "creditCard"), ("", ["发 卡", "x机构"], [["账户", "信用额度"], ["账单日", ""]], "nonRevolvingLoan", "revolvingLoan1", "creditCard"),
+        ("循环贷账户二", ["余额"], [], "creditCard", "nonRevolvingLoan", "revolvingLoan2"), ("贷记■卡账户", ["余额"], [], "nonRevolvingLoan", None, "nonRevolvingLoan"), ("贷记卡账户", ["余额"], [], "creditCard", "revolvingLoan1", "revolvingLoan1"),
+        ("", ["管机构", "受信额度"], [["a", "b"], ["管理机构", "账户授信额度"]], "creditCard", None, "revolvingLoan2"), ("", ["管理机构", "借款金额"], [], None, None, "nonRevolvingLoan"),
+        ("", ["甲"], [["1"]] * 6 + [["相关还款责任信息"]], None, None, None), ("", ["责任人类型"], [], "creditCard", "creditCard", "repayResponsibility"), (None, ["授信协议标识"], [], "creditCard", None, "creditAgreement")]
+    frame = spark.createDataFrame(rows, "b string, h array<string>, r array<array<string>>, now string, place string, want string")
+    got = frame.select("want", labels.choose_category(F.col("b"), F.col("h"), F.col("r"), F.col("now"), F.col("place")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
