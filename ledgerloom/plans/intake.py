@@ -130,7 +130,7 @@ _BOXES = """{0} AS doc_id, {1} % 3 AS page, {1} AS ord, CAST({1} * 31 % 500 AS D
 _HELD, _NEW = _BOXES.format("p_partkey % 40", "p_partkey"), _BOXES.format("s_suppkey % 40", "(s_suppkey + 1)") + ", s_suppkey % 2 AS cand"
 
 
-@query(f"""WITH h AS (SELECT {_HELD} FROM part WHERE p_partkey % 5 = 0), n0 AS (SELECT {_NEW} FROM supplier UNION ALL SELECT {_BOXES.format('p_partkey % 40', '(p_partkey + 2)')}, p_partkey % 3 FROM part WHERE p_partkey % 5 = 1),
+@query(f"""WITH h AS (SELECT {_HELD} FROM part WHERE p_partkey % 5 <> 1), n0 AS (SELECT {_NEW} FROM supplier UNION ALL SELECT {_BOXES.format('p_partkey % 40', '(p_partkey + 2)')}, p_partkey % 3 FROM part WHERE p_partkey % 5 = 1),
     n AS (SELECT * FROM n0 WHERE score >= {x.REPLACE} AND (doc_id, page) IN (SELECT doc_id, page FROM h)),
     f AS (SELECT doc_id, list({{'page': page, 'x': x, 'y': y, 'w': w, 'h': h, 'score': score, 'signature': signature, 'markdown': markdown}} ORDER BY page, ord) AS ts FROM h GROUP BY 1),
     m AS (SELECT doc_id, list({{'tables': [{{'page': page, 'x': x, 'y': y, 'w': w, 'h': h, 'score': score, 'signature': signature, 'markdown': markdown}}], 'seen': []::VARCHAR[]}} ORDER BY cand, page, ord) AS cs FROM n GROUP BY 1),
@@ -143,7 +143,7 @@ _HELD, _NEW = _BOXES.format("p_partkey % 40", "p_partkey"), _BOXES.format("s_sup
     "{near}", "(abs(s.tables[i].x + s.tables[i].w / 2 - e.tables[1].x - e.tables[1].w / 2) <= greatest(s.tables[i].w, e.tables[1].w) * 0.35 AND abs(s.tables[i].y + s.tables[i].h / 2 - e.tables[1].y - e.tables[1].h / 2) <= greatest(s.tables[i].h, e.tables[1].h) * 0.35)").replace("{{", "{").replace("}}", "}"))
 def q_candidate_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = t.read(spark, sf_dir, "part")
-    held = part.filter("p_partkey % 5 = 0").selectExpr(*_split_top(_HELD))
+    held = part.filter("p_partkey % 5 <> 1").selectExpr(*_split_top(_HELD))
     more = part.filter("p_partkey % 5 = 1").selectExpr(*_split_top(_BOXES.format("p_partkey % 40", "(p_partkey + 2)")), "p_partkey % 3 AS cand")
     return x.fuse_candidates(held, t.read(spark, sf_dir, "supplier").selectExpr(*_split_top(_NEW)).unionByName(more))
 
