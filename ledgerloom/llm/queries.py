@@ -55,7 +55,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_columns(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("right(payload, 16)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), "feature", "width", "height")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, importance, jpeg, lm, packing
+from ledgerloom.llm import bpe, importance, jpeg, lm, packing, queries
 from test_dedup import words
 
 ODD_TEXTS = ["<|endoftext|>a<|endoftext|>", " \n\n x  y\t\t", "don't I'll x²³ ٣٤ 漢字 🤦🏼‍♂️\x1c\x1d a\x85b\xa0c ", "a" * 5000, "=-" * 500, "_a_b__ 12_3 'S's ''s", "İstanbul ŉ ſ Ÿ Ɓ é ÀÉ"]
@@ -286,3 +286,14 @@ def test_jpeg_reads_other_codes_and_several_frames():
 def test_jpeg_odd_rows(odd, none):
     assert jpeg.media_columns(none).count() == 0
     assert jpeg.media_columns(odd).count() == 8
+
+
+def test_jpeg_query_takes_the_tail_as_bytes(spark, tmp_path):
+    texts = ["é" * 96, "a" * 191 + "漢" + "b" * 182 + "漢字", "漢" * 64, "x" * 189 + "🤦", None, "", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_jpeg(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert got[i].tail_crc32 == zlib.crc32(payload[-16:]), text
