@@ -1,9 +1,9 @@
 """Values by label: which cells are a label, where its value stands, and accounts read from tables of both.
 
-A table is a grid of rows of cells, its headers first. An index from character to labels
-gives each cell the few labels that share enough characters with it to be contained or
-similar; only these are compared. Tables become rows of cells with the neighbours in which a
-value may stand, in one pass without a join; a shuffle by table and field follows.
+A table is a grid of rows of cells, its headers first. Only labels that share enough
+characters with a cell to be contained or similar are compared with it. Tasks go through
+their tables once and remember what a text is, as labels and many values repeat; what
+they find of a table meets in one shuffle by its id.
 Null cells count as empty; a table without rows gives no value.
 """
 
@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ledgerloom.functions.amounts import parse_number
 from ledgerloom.functions.texts import clean_org, clean_status, lcs_length, let
@@ -71,63 +74,12 @@ def label_matches(value: Column, target: Column) -> Column:
     return F.when((value == "") | (target == "") | conflicting(value, target), False).when(F.contains(value, target) | near, True).otherwise(similar)
 
 
-def nature(text: Column) -> Column:
-    """What a text is, the first that fits: label, none, date, dashes, id (eight or more letters and digits, both kinds), plain."""
-    plain = lambda v: F.regexp_replace(v, "[^A-Za-z0-9]", "")
-    return let(F.regexp_replace(F.trim(text), "[￥¥元]", ""), lambda v: (
-        F.when(~text.rlike(r"^[-—－\d,.\s￥¥元]+$") & text.rlike(LABEL_WORDS), "label").when(v == "", "none").when(v.rlike(rf"{DATE}|\d{{4}}\s*年"), "date")
-        .when(v.rlike("^[-—－]+$"), "dashes").when(v.rlike("[A-Za-z]") & v.rlike("[0-9]") & (F.char_length(plain(v)) >= 8), "id").otherwise("plain")))
-
-
-def date_in(text: Column) -> Column:
-    """The first date of a text with points, or a day of the month that is all of it."""
-    text = F.trim(text)
-    day = F.regexp_extract(text, "^(?:[1-9]|[12][0-9]|3[01])$", 0)
-    return let(F.regexp_extract(text, DATE, 0), lambda v: F.when(v != "", F.replace(F.regexp_replace(v, "年|月", "."), F.lit("日"), F.lit(""))).otherwise(day))
-
-
 def group_value(row: Column, at: Column, size: int) -> Column:
     """The first non-empty value of the group of ``size`` cells that cell ``at`` (from 0 on) belongs to."""
     cells = F.transform(F.slice(row, (F.floor(at / size) * size).cast("int") + 1, size), lambda v: F.trim(v))
     return F.coalesce(F.get(F.filter(cells, lambda v: v != ""), F.lit(0)), F.lit(""))
 
 
-def _after_label(text: Column, labels: Column) -> Column:
-    """What follows the first label that a text holds with something after it."""
-    rest = F.transform(labels, lambda w: F.when(F.contains(text, w), F.trim(F.regexp_replace(F.substring(text, F.instr(text, w) + F.char_length(w), F.lit(1 << 20)), r"^[：:\s\-]+", ""))).otherwise(""))
-    return F.coalesce(F.get(F.filter(rest, lambda v: v != ""), F.lit(0)), F.lit(""))
-
-
-def _value(raw: Column, labels: Column, kind: Column) -> Column:
-    """The first line of a candidate that is a value of its kind: a text, the first number of one, or a date."""
-    number = lambda v: let(F.regexp_extract(F.regexp_replace(F.trim(v), "[￥¥元]", ""), r"-?\d[\d,.]*", 0), lambda n: F.when(nature(n) == "date", "").otherwise(n))
-    amount = lambda v, is_: F.when(is_ == "dashes", "0").when(is_ == "plain", number(v)).otherwise("")
-    other = lambda v: let(nature(v), lambda is_: F.when(is_ == "label", "").when(kind == "amount", amount(v, is_)).otherwise(v))
-    of = lambda v: F.when((v == "") | F.exists(labels, lambda w: F.contains(v, w)), "").when(kind == "date", date_in(v)).otherwise(other(v))
-    text = lambda line: let(_after_label(line, labels), lambda v: F.when(v != "", v).otherwise(F.trim(line)))
-    values = F.filter(F.transform(F.split(raw, "\n", -1), lambda line: let(text(line), of)), lambda v: v != "")
-    return F.coalesce(F.get(values, F.lit(0)), F.lit(""))
-
-
-#: What speaks for a candidate: kind of field it counts for (None: all), condition, points.
-POINTS = [
-    (None, lambda c: c["label"] == c["target"], 120), (None, lambda c: c["label"] != c["target"], 80), (None, lambda c: F.contains(c["label"], c["target"]), 20),
-    (None, lambda c: c["source"] == "inline", 18), (None, lambda c: c["source"] == "right", -6), (None, lambda c: (c["source"] == "below") & (c["right"] == 0), 54),
-    (None, lambda c: c["right"] == 0, 8), (None, lambda c: c["right"] > 1, -8),
-    ("date", lambda c: nature(c["value"]) == "date", 20), ("amount", lambda c: c["label"].rlike("账户授信额度|授信额度"), 40), ("amount", lambda c: c["label"].rlike("金额|额度|余额|还款"), 12),
-    ("amount", lambda c: c["raw"].rlike("元|￥|¥|,"), 8), ("amount", lambda c: c["value"].rlike("^[0-9]{1,2}$"), -20)]
-
-
-def _score(c) -> Column:
-    """How likely a candidate is the value; 0 for an amount that is an identifier."""
-    total = F.lit(0)
-    for kind, holds, points in POINTS:
-        total = total + F.when(holds(c) if kind is None else (c["kind"] == kind) & holds(c), points).otherwise(0)
-    plain = F.regexp_replace(c["raw"], r"\s+", "")
-    ident = (c["kind"] == "amount") & (plain.rlike("授信协议标识|账户标识|协议标识|^[A-Za-z]") | (plain.rlike("[A-Za-z]") & plain.rlike("[0-9]") & (F.char_length(F.regexp_replace(plain, "[^A-Za-z0-9]", "")) >= 8)))
-    return F.when(ident, 0).otherwise(total)
-
-
 def _plain_word(word: str) -> str:
     """A label's normal form, for building the index."""
     for wrong, right in MISREAD:
@@ -176,56 +128,204 @@ class LabelIndex:
         return F.filter(self.candidates(label), lambda k: label_matches(label, F.element_at(self.targets, k + 1)))
 
 
-def find_values(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """table_id, field, value, score: the best value of each field (name, kind, labels) that a table (table_id, grid) holds.
+#: Java's end of a text, which may stand before a last line break; its classes are ASCII.
+_END = r"(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)"
+_find = lambda pattern: re.compile(pattern.replace("$", _END), re.ASCII).search
+_figures, _words, _date, _year, _dashes = _find(r"^[-—－\d,.\s￥¥元]+$"), _find(LABEL_WORDS), _find(DATE), _find(r"\d{4}\s*年"), _find("^[-—－]+$")
+_day, _number, _short, _not_amount = _find("^(?:[1-9]|[12][0-9]|3[01])$"), _find(r"-?\d[\d,.]*"), _find("^[0-9]{1,2}$"), _find("授信协议标识|账户标识|协议标识|^[A-Za-z]")
+_chinese = _find("[\u4e00-\u9fa5]")
+#: Points for a label that is the target, or not; that holds it; and for places: below, right and what follows in the cell, by steps to the right.
+SAME, OTHER, HOLDS = 120, 80, 20
+PLACES = [("inline", 0, 26), ("below", 0, 62), ("right", 1, -6), ("below", 1, 0), ("right", 2, -14), ("below", 2, -8)]
+#: Texts that a task remembers at a time.
+REMEMBERED = 100_000
 
-    Candidates stand in the label's cell, up to two cells to its right, or below these.
-    Of equal scores the upper, then the left label's stays.
+
+def _id_like(text: str) -> bool:
+    plain = re.sub("[^A-Za-z0-9]", "", text)
+    return len(plain) >= 8 and not plain.isdigit() and not plain.isalpha()
+
+
+def nature(text: str) -> str:
+    """What a text is, the first that fits: label, none, date, dashes, id (eight or more letters and digits, both kinds), plain."""
+    v = re.sub("[￥¥元]", "", text.strip(" "))
+    if _words(text) and not _figures(text):
+        return "label"
+    if v == "":
+        return "none"
+    if _date(v) or _year(v):
+        return "date"
+    return "dashes" if _dashes(v) else "id" if _id_like(v) else "plain"
+
+
+def date_in(text: str) -> str:
+    """The first date of a text with points, or a day of the month that is all of it."""
+    text = text.strip(" ")
+    if found := _date(text):
+        return re.sub("年|月", ".", found[0]).replace("日", "")
+    return found[0] if (found := _day(text)) else ""
+
+
+def _after_label(text: str, labels: list[str]) -> str:
+    """What follows the first label that a text holds with something after it."""
+    for w in labels:
+        if w in text:
+            rest = re.sub(r"^[：:\s\-]+", "", text[text.index(w) + len(w) :], flags=re.ASCII).strip(" ")
+            if rest:
+                return rest
+    return ""
+
+
+def _plain_value(text: str, kind: str) -> str:
+    """A text as a value of a kind: itself, its first number, or a date; empty where it is none."""
+    if kind == "date":
+        return date_in(text)
+    own = nature(text)
+    if kind != "amount":
+        return "" if own == "label" else text
+    if own != "plain":
+        return "0" if own == "dashes" else ""
+    found = _number(re.sub("[￥¥元]", "", text.strip(" ")))
+    return found[0] if found and nature(found[0]) != "date" else ""
+
+
+def find_value(raw: str, labels: list[str], kind: str) -> str:
+    """The first line of a candidate that is a value of its kind."""
+    for line in raw.split("\n"):
+        text = _after_label(line, labels) or line.strip(" ")
+        if text and not any(w in text for w in labels):
+            if value := _plain_value(text, kind):
+                return value
+    return ""
+
+
+def points_of(raw: str, value: str, label: str, target: str, kind: str) -> int | None:
+    """What speaks for a value, its place aside; None for an amount that is an identifier."""
+    total = (SAME if label == target else OTHER) + (HOLDS if target in label else 0)
+    if kind == "date":
+        return total + (20 if nature(value) == "date" else 0)
+    if kind != "amount":
+        return total
+    plain = re.sub(r"\s+", "", raw, flags=re.ASCII)
+    if _not_amount(plain) or _id_like(plain):
+        return None
+    total += 40 if "授信额度" in label else 0
+    total += 12 if any(w in label for w in ("金额", "额度", "余额", "还款")) else 0
+    return total + (8 if any(w in raw for w in "元￥¥,") else 0) - (20 if _short(value) else 0)
+
+
+def is_label(value: str, target: str) -> bool:
+    """:func:`label_matches` of two plain texts."""
+    n, m = len(value), len(target)
+    if not n or not m or any((p in value and q in target) or (q in value and p in target) for p, q in CONFLICTS):
+        return False
+    if target in value or (value in target and m - n <= 1 and n >= min(3, m)):
+        return True
+    least = SIMILAR[0 if m <= 4 else 1 if m <= 6 else 2]
+    if m <= 2 or n < least * m or n * least > m or (target == "管理机构" and "查询机构" in value):
+        return False
+    row = [0] * (m + 1)
+    for c in value:
+        before = row
+        row = [0]
+        for j, d in enumerate(target):
+            row.append(before[j] + 1 if c == d else max(before[j + 1], row[j]))
+    return row[m] / max(n, m) >= least
+
+
+class Finder:
+    """A task's memory of what cells are: the fields of a label, and a candidate's value and points. Tables repeat their labels, so that most are looked up."""
+
+    def __init__(self, fields: list[tuple[str, str, list[str]]]):
+        self.fields = [(kind, labels, [_plain_word(w) for w in labels]) for _, kind, labels in fields]
+        self.least = {w: (set(w), LabelIndex._least_shared(w)) for *_, words in self.fields for w in words}
+        self.names, self.values, self.simple = {}, {}, {}
+
+    def fields_of(self, cell: str) -> list[tuple[int, str, str, str]]:
+        """The fields that a cell is a label of, each with the first of its labels that fits: place, the cell's normal form, that label, what follows it."""
+        label = _plain_word(re.sub("[■□�：:()（）]", "", re.sub(r"\s+", "", cell, flags=re.ASCII))) if _chinese(cell) else ""
+        chars = set(label)
+        fits = {w for w, (own, least) in self.least.items() if len(own & chars) >= least and is_label(label, w)}
+        return [(k, label, target, _after_label(cell, labels)) for k, (_, labels, words) in enumerate(self.fields) if (target := next((w for w in words if w in fits), None))]
+
+    def value_of(self, raw: str, k: int, label: str, target: str) -> tuple[str, int] | None:
+        kind, labels, _ = self.fields[k]
+        if "\n" in raw or any(w in raw for w in labels):
+            value = find_value(raw, labels, kind)
+        else:
+            value = self.simple.get((raw, kind))
+            if value is None:
+                value = self.simple[raw, kind] = find_value(raw, [], kind)
+        points = points_of(raw, value, label, target, kind) if value else None
+        return None if points is None else (value, points)
+
+    def best(self, grid: list) -> list[dict | None]:
+        """For each field its best candidate's rank and value. Of equal points the upper, then the left label's leads, then the nearer place."""
+        rank, found = [0] * len(self.fields), [None] * len(self.fields)
+        for part in (self.names, self.values, self.simple):
+            if len(part) > REMEMBERED:
+                part.clear()
+        for r, row in enumerate(grid):
+            row = [*(row or ()), "", ""]
+            below = [*((grid[r + 1] if r + 1 < len(grid) else None) or ()), *[""] * len(row)]
+            for c, cell in enumerate(row):
+                if not cell:
+                    continue
+                own = self.names.get(cell)
+                if own is None:
+                    own = self.names[cell] = self.fields_of(cell)
+                if not own:
+                    continue
+                near = (below[c], row[c + 1], below[c + 1], row[c + 2], below[c + 2])
+                for k, label, target, after in own:
+                    for at, raw in enumerate((after, *near)):
+                        if not raw:
+                            continue
+                        key = (raw, k, label)
+                        got = self.values.get(key, key)
+                        if got is key:
+                            got = self.values[key] = self.value_of(raw, k, label, target)
+                        if got and (points := got[1] + PLACES[at][2]) > 0:
+                            order = (points << 43) - (r << 23) - (c << 3) - at
+                            if order > rank[k]:
+                                rank[k], found[k] = order, {"rank": order, "value": got[0]}
+        return found
+
+
+def _best(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """``tables`` without the grid, one row for each table_id, and for each field a column with the rank and value of the best candidate, null for none.
+
+    Candidates stand in the label's cell, up to two cells to its right, or below these. Each task finds those of its tables; rows of one table_id meet by it.
     """
-    index = LabelIndex([w for *_, labels in fields for w in labels])
-    texts = lambda values: "array(" + ", ".join(f"'{v}'" for v in values) + ")"
-    known = F.expr("array(" + ", ".join(f"named_struct('field', '{n}', 'kind', '{k}', 'labels', {texts(w)}, 'at', array({', '.join(str(index.place_of(v)) for v in w)}))" for n, k, w in fields) + ")")
-
-    def cells_of(grid: Column) -> Column:
-        """Every cell with a Chinese character, with its neighbours."""
-        def cell(row: Column, below: Column, r: Column):
-            return lambda v, c: F.struct(r.alias("r"), c.alias("c"), v.alias("cell"), *[F.get(row, c + k).alias(f"right{k}") for k in (1, 2)], *[F.get(below, c + k).alias(f"below{k}") for k in (0, 1, 2)])
-
-        rows = F.transform(grid, lambda row, r: F.filter(F.transform(row, cell(row, F.get(grid, r + 1), r)), lambda x: x["cell"].rlike(r"[\x{4e00}-\x{9fa5}]")))
-        return F.flatten(F.filter(rows, lambda x: x.isNotNull()))
-
-    def fields_of(cell: Column) -> Column:
-        """The fields that a cell is a label of, each with the first of its labels that fits."""
-        def of(label: Column) -> Column:
-            own = lambda f, m: F.get(F.filter(f["at"], lambda k: F.array_contains(m, k)), F.lit(0))
-            return let(index.matches(label), lambda m: F.transform(F.filter(known, lambda f: F.arrays_overlap(f["at"], m)), lambda f: F.struct(
-                f["field"].alias("field"), f["kind"].alias("kind"), f["labels"].alias("labels"), label.alias("label"), F.element_at(index.targets, own(f, m) + 1).alias("target"))))
-
-        return let(normal_label(cell), of)
-
-    # what one step makes is exploded before the next one uses it, so that nothing is worked out twice
-    cells = tables.select("table_id", F.inline(let(F.col("grid"), cells_of)))
-    named = cells.select("*", F.inline(fields_of(F.col("cell"))))
-    places = [(_after_label(F.col("cell"), F.col("labels")), "inline", 0)] + [(F.col(f"right{k}"), "right", k) for k in (1, 2)] + [(F.col(f"below{k}"), "below", k) for k in (0, 1, 2)]
-    raws = F.filter(F.array(*[F.struct(F.coalesce(raw, F.lit("")).alias("raw"), F.lit(source).alias("source"), F.lit(k).alias("right")) for raw, source, k in places]), lambda p: p["raw"] != "")
-    valued = F.filter(F.transform(raws, lambda p: F.struct(p["raw"].alias("raw"), p["source"].alias("source"), p["right"].alias("right"), _value(p["raw"], F.col("labels"), F.col("kind")).alias("value"))), lambda p: p["value"] != "")
-    shared = {n: F.col(n) for n in ("label", "target", "kind")}
-    scored = F.transform(valued, lambda p: F.struct(p["value"].alias("value"), p["source"].alias("source"), p["right"].alias("right"), _score(shared | {n: p[n] for n in ("source", "right", "raw", "value")}).alias("score")))
-    found = named.select("table_id", "r", "c", "field", F.inline(F.filter(scored, lambda p: p["score"] > 0)))
-    order = F.struct("score", -F.col("r"), -F.col("c"), -F.col("right"), (F.col("source") == "right").alias("beside"))
-    return found.groupBy("table_id", "field").agg(F.max_by("value", order).alias("value"), F.max("score").alias("score"))
+    others = [c for c in tables.columns if c not in ("table_id", "grid")]
+    names = [f"_{f[0]}" for f in fields]
+    schema = StructType([f for f in tables.schema.fields if f.name != "grid"] + [StructField(n, StructType.fromDDL("rank long, value string")) for n in names])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches):
+        finder = Finder(fields)
+        for batch in batches:
+            found = zip(*[finder.best(grid or ()) for grid in batch.column("grid").to_pylist()]) if batch.num_rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kinds if f.name not in names), *(pa.array(x, kinds.field(n).type) for n, x in zip(names, found))], schema=kinds)
+
+    return tables.mapInArrow(run, schema).groupBy("table_id").agg(*[F.first(c).alias(c) for c in others], *[F.max(n).alias(n) for n in names])
+
+
+def find_values(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """table_id, field, value, score: the best value of each field (name, kind, labels) that a table (table_id, grid) holds."""
+    found = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"_{n}.value").alias("value"), F.ceil(F.col(f"_{n}.rank") / (1 << 43)).cast("int").alias("score")) for n, *_ in fields])
+    return _best(tables.select("table_id", "grid"), fields).select("table_id", F.inline(F.filter(found, lambda v: v["value"].isNotNull())))
 
 
 def _wide(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """table_id and a column for each field, empty where nothing was found."""
+    """A row for each table_id with a column for each field, empty where nothing was found."""
     names = [f[0] for f in fields]
-    found = find_values(tables, fields).groupBy("table_id").agg(*[F.coalesce(F.max(F.when(F.col("field") == n, F.col("value"))), F.lit("")).alias(n) for n in names])
-    return tables.join(found, "table_id", "left").select(*tables.columns, *[F.coalesce(n, F.lit("")).alias(n) for n in names])
+    return _best(tables, fields).select(*[c for c in tables.columns if c != "grid"], *[F.coalesce(F.col(f"_{n}.value"), F.lit("")).alias(n) for n in names])
 
 
 def extract_loans(tables: DataFrame) -> DataFrame:
     """A row for each account table (table_id, grid) with an organisation or an amount; figures after the status are left out for closed accounts."""
-    rows = _wide(tables, LOAN_FIELDS).drop("grid")
+    rows = _wide(tables, LOAN_FIELDS)
     status = F.when(clean_status(F.col("status")) == "", "结清").otherwise(clean_status(F.col("status")))
     rows = rows.withColumn("status", status).withColumn("amount", parse_number(F.col("amount")))
     open_ = ~F.col("status").rlike("结清|销户")
@@ -256,8 +356,9 @@ def extract_cards(tables: DataFrame) -> DataFrame:
 
     A limit below 100 gives way to a larger figure of the first cells. Inactive cards have no used amount or payments.
     """
-    rows = _wide(tables.filter(~F.coalesce(is_misplaced(F.col("grid")), F.lit(False))), CARD_FIELDS)
-    first = F.filter(F.transform(F.flatten(F.slice("grid", 1, 3)), lambda v: F.trim(v)), lambda v: v != "")
+    own = tables.filter(~F.coalesce(is_misplaced(F.col("grid")), F.lit(False)))
+    rows = _wide(own.withColumn("first_", F.filter(F.transform(F.flatten(F.slice("grid", 1, 3)), lambda v: F.trim(v)), lambda v: v != "")), CARD_FIELDS)
+    first = F.col("first_")
     pick = lambda values: F.coalesce(F.get(F.filter(values, lambda v: v != ""), F.lit(0)), F.lit(""))
     org = pick(F.transform(first, lambda v: F.when(likely_org(clean_org(v)), clean_org(v)).otherwise("")))
     day = pick(F.transform(first, lambda v: F.replace(F.regexp_replace(F.regexp_extract(v, DATE, 0), "年|月", "."), F.lit("日"), F.lit(""))))
@@ -275,14 +376,14 @@ def extract_cards(tables: DataFrame) -> DataFrame:
         rows = rows.withColumn(n, F.when(active & (F.col(n) != ""), parse_number(F.col(n))))
     rows = rows.withColumn("bill_date", F.when(active, F.nullif("bill_date", F.lit("")))).withColumn("shared_limit", F.when(F.col("shared_limit") != "", parse_number(F.col("shared_limit"))))
     rows = rows.filter(((F.trim("org") != "") | likely_account_id(F.col("account_id"))) & ((F.col("credit_limit") > 0) | (F.coalesce("used_amount", F.lit(0.0)) > 0) | (F.trim("status") != "")))
-    return rows.drop("grid", "org_", "first_org", "first_limit", "limit_")
+    return rows.drop("first_", "org_", "first_org", "first_limit", "limit_")
 
 
 def account_briefs(tables: DataFrame) -> DataFrame:
     """A brief of each account table (table_id, category, is_summary, grid) but summaries; closed accounts pay nothing."""
     own = tables.filter("NOT is_summary").drop("is_summary")
     card_fields = [(n, k, CARD_BRIEF.get(n, w)) for n, k, w in BRIEF_FIELDS]
-    rows = _wide(own.filter("category <> 'creditCard'"), BRIEF_FIELDS).unionByName(_wide(own.filter("category = 'creditCard'"), card_fields)).drop("grid")
+    rows = _wide(own.filter("category <> 'creditCard'"), BRIEF_FIELDS).unionByName(_wide(own.filter("category = 'creditCard'"), card_fields))
     names = F.create_map(*[F.lit(x) for pair in CATEGORY_LABELS.items() for x in pair])
     closed = F.col("status").rlike("结清|销户")
     return rows.withColumns({

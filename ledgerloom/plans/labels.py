@@ -189,6 +189,7 @@ _LOAN_KINDS = "CASE k % 3 WHEN 0 THEN 'nonRevolvingLoan' WHEN 1 THEN 'revolvingL
         CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in x.CATEGORY_LABELS.items())} END AS category_label, regexp_matches(status, '结清|销户') AS is_closed FROM a""")
 def q_account_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CAST(floor(o_totalprice) AS BIGINT) AS p", "o_orderpriority")
+    rows = rows.repartition(spark.sparkContext.defaultParallelism)  # narrow keys are dealt out before each grows into a table
     card = F.expr(_CARDS)
     return x.account_briefs(rows.select(
         F.col("k").alias("table_id"), F.when(card, "creditCard").otherwise(F.expr(_LOAN_KINDS)).alias("category"), (F.col("k") % 8 == 0).alias("is_summary"),
