@@ -10,8 +10,10 @@ Null cells count as empty; a table without rows gives no value.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -146,11 +148,15 @@ def _id_like(text: str) -> bool:
     return len(plain) >= 8 and not plain.isdigit() and not plain.isalpha()
 
 
+def _is_label_like(text: str) -> bool:
+    return bool(_words(text)) and not _figures(text)
+
+
 def nature(text: str) -> str:
     """What a text is, the first that fits: label, none, date, dashes, id (eight or more letters and digits, both kinds), plain."""
-    v = re.sub("[￥¥元]", "", text.strip(" "))
-    if _words(text) and not _figures(text):
+    if _is_label_like(text):
         return "label"
+    v = re.sub("[￥¥元]", "", text.strip(" "))
     if v == "":
         return "none"
     if _date(v) or _year(v):
@@ -180,9 +186,9 @@ def _plain_value(text: str, kind: str) -> str:
     """A text as a value of a kind: itself, its first number, or a date; empty where it is none."""
     if kind == "date":
         return date_in(text)
-    own = nature(text)
     if kind != "amount":
-        return "" if own == "label" else text
+        return "" if _is_label_like(text) else text
+    own = nature(text)
     if own != "plain":
         return "0" if own == "dashes" else ""
     found = _number(re.sub("[￥¥元]", "", text.strip(" ")))
@@ -199,19 +205,24 @@ def find_value(raw: str, labels: list[str], kind: str) -> str:
     return ""
 
 
-def points_of(raw: str, value: str, label: str, target: str, kind: str) -> int | None:
-    """What speaks for a value, its place aside; None for an amount that is an identifier."""
+def label_points(label: str, target: str, kind: str) -> int:
+    """What speaks for a label's candidates, whatever they are."""
     total = (SAME if label == target else OTHER) + (HOLDS if target in label else 0)
+    if kind == "amount":
+        total += (40 if "授信额度" in label else 0) + (12 if any(w in label for w in ("金额", "额度", "余额", "还款")) else 0)
+    return total
+
+
+def raw_points(raw: str, value: str, kind: str) -> int | None:
+    """What speaks for a candidate by itself; None for an amount that is an identifier."""
     if kind == "date":
-        return total + (20 if nature(value) == "date" else 0)
+        return 20 if nature(value) == "date" else 0
     if kind != "amount":
-        return total
+        return 0
     plain = re.sub(r"\s+", "", raw, flags=re.ASCII)
     if _not_amount(plain) or _id_like(plain):
         return None
-    total += 40 if "授信额度" in label else 0
-    total += 12 if any(w in label for w in ("金额", "额度", "余额", "还款")) else 0
-    return total + (8 if any(w in raw for w in "元￥¥,") else 0) - (20 if _short(value) else 0)
+    return (8 if "元" in raw or "￥" in raw or "¥" in raw or "," in raw else 0) - (20 if _short(value) else 0)
 
 
 def is_label(value: str, target: str) -> bool:
@@ -241,23 +252,28 @@ class Finder:
         self.least = {w: (set(w), LabelIndex._least_shared(w)) for *_, words in self.fields for w in words}
         self.names, self.values, self.simple = {}, {}, {}
 
-    def fields_of(self, cell: str) -> list[tuple[int, str, str, str]]:
-        """The fields that a cell is a label of, each with the first of its labels that fits: place, the cell's normal form, that label, what follows it."""
-        label = _plain_word(re.sub("[■□�：:()（）]", "", re.sub(r"\s+", "", cell, flags=re.ASCII))) if _chinese(cell) else ""
+    def fields_of(self, cell: str) -> list[tuple[int, int, str]]:
+        """The fields that a cell is a label of, each with the first of its labels that fits: place, points for that, what follows the label."""
+        if not _chinese(cell):
+            return []
+        label = _plain_word(re.sub("[■□�：:()（）]", "", re.sub(r"\s+", "", cell, flags=re.ASCII)))
         chars = set(label)
         fits = {w for w, (own, least) in self.least.items() if len(own & chars) >= least and is_label(label, w)}
-        return [(k, label, target, _after_label(cell, labels)) for k, (_, labels, words) in enumerate(self.fields) if (target := next((w for w in words if w in fits), None))]
+        return [(k, label_points(label, target, kind), _after_label(cell, labels)) for k, (kind, labels, words) in enumerate(self.fields) if (target := next((w for w in words if w in fits), None))]
+
+    def _valued(self, raw: str, value: str, kind: str) -> tuple[str, int] | None:
+        points = raw_points(raw, value, kind) if value else None
+        return None if points is None else (value, points)
 
-    def value_of(self, raw: str, k: int, label: str, target: str) -> tuple[str, int] | None:
+    def value_of(self, raw: str, k: int) -> tuple[str, int] | None:
+        """A candidate's value for a field and what speaks for it; one without line breaks and the field's labels is the same for all fields of a kind."""
         kind, labels, _ = self.fields[k]
         if "\n" in raw or any(w in raw for w in labels):
-            value = find_value(raw, labels, kind)
-        else:
-            value = self.simple.get((raw, kind))
-            if value is None:
-                value = self.simple[raw, kind] = find_value(raw, [], kind)
-        points = points_of(raw, value, label, target, kind) if value else None
-        return None if points is None else (value, points)
+            return self._valued(raw, find_value(raw, labels, kind), kind)
+        if (raw, kind) not in self.simple:
+            text = raw.strip(" ")
+            self.simple[raw, kind] = self._valued(raw, _plain_value(text, kind) if text else "", kind)
+        return self.simple[raw, kind]
 
     def best(self, grid: list) -> list[dict | None]:
         """For each field its best candidate's rank and value. Of equal points the upper, then the left label's leads, then the nearer place."""
@@ -266,8 +282,8 @@ class Finder:
             if len(part) > REMEMBERED:
                 part.clear()
         for r, row in enumerate(grid):
-            row = [*(row or ()), "", ""]
-            below = [*((grid[r + 1] if r + 1 < len(grid) else None) or ()), *[""] * len(row)]
+            row = [*row, "", ""]
+            below = [*(grid[r + 1] if r + 1 < len(grid) else ()), *[""] * len(row)]
             for c, cell in enumerate(row):
                 if not cell:
                     continue
@@ -277,21 +293,29 @@ class Finder:
                 if not own:
                     continue
                 near = (below[c], row[c + 1], below[c + 1], row[c + 2], below[c + 2])
-                for k, label, target, after in own:
+                for k, base, after in own:
                     for at, raw in enumerate((after, *near)):
                         if not raw:
                             continue
-                        key = (raw, k, label)
+                        key = (raw, k)
                         got = self.values.get(key, key)
                         if got is key:
-                            got = self.values[key] = self.value_of(raw, k, label, target)
-                        if got and (points := got[1] + PLACES[at][2]) > 0:
+                            got = self.values[key] = self.value_of(raw, k)
+                        if got and (points := base + got[1] + PLACES[at][2]) > 0:
                             order = (points << 43) - (r << 23) - (c << 3) - at
                             if order > rank[k]:
                                 rank[k], found[k] = order, {"rank": order, "value": got[0]}
         return found
 
 
+def _grids(column: pa.ListArray) -> list[list[list[str]]]:
+    """Grids as lists; null rows and grids as empty ones."""
+    rows = column.flatten()
+    deal = lambda items, sizes: [items[end - n : end] for n, end in zip(sizes, accumulate(sizes))]
+    sizes = lambda lists: pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+    return deal(deal(rows.flatten().to_numpy(zero_copy_only=False).tolist(), sizes(rows)), sizes(column))
+
+
 def _best(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFrame:
     """``tables`` without the grid, one row for each table_id, and for each field a column with the rank and value of the best candidate, null for none.
 
@@ -305,7 +329,7 @@ def _best(tables: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFr
     def run(batches):
         finder = Finder(fields)
         for batch in batches:
-            found = zip(*[finder.best(grid or ()) for grid in batch.column("grid").to_pylist()]) if batch.num_rows else [()] * len(names)
+            found = zip(*map(finder.best, _grids(batch.column("grid")))) if batch.num_rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kinds if f.name not in names), *(pa.array(x, kinds.field(n).type) for n, x in zip(names, found))], schema=kinds)
 
     return tables.mapInArrow(run, schema).groupBy("table_id").agg(*[F.first(c).alias(c) for c in others], *[F.max(n).alias(n) for n in names])
@@ -365,18 +389,19 @@ def extract_cards(tables: DataFrame) -> DataFrame:
     ident = pick(F.transform(first, lambda v: F.trim(F.regexp_extract(v, r"(?i)[A-Z][A-Z0-9][A-Z0-9\s.\-]{8,}", 0))))
     figure = lambda v: F.when(v.rlike("[A-Za-z]") | v.rlike(DATE), 0.0).otherwise(parse_number(F.regexp_extract(F.regexp_replace(v, "[￥¥元]", ""), r"\d[\d,.]*", 0)))
     limit = F.coalesce(F.array_max(F.transform(first, figure)), F.lit(0.0))
-    rows = rows.withColumns({"org_": clean_org(F.col("org")), "first_org": org, "first_limit": limit, "limit_": parse_number(F.col("credit_limit"))})
-    rows = rows.withColumn("org", F.when(likely_org(F.col("org_")), F.col("org_")).when(F.col("first_org") != "", F.col("first_org")).when(likely_account_id(F.col("org_")), "").otherwise(F.col("org_")))
+    rows = rows.withColumns({"org_": clean_org(F.col("org")), "limit_": parse_number(F.col("credit_limit"))})
+    # the first cells are looked through only where a card needs them
+    rows = rows.withColumn("org", F.when(likely_org(F.col("org_")), F.col("org_")).otherwise(let(org, lambda v: F.when(v != "", v).when(likely_account_id(F.col("org_")), "").otherwise(F.col("org_")))))
     rows = rows.withColumn("open_date", F.when(F.col("open_date") != "", F.col("open_date")).otherwise(day)).withColumn("account_id", F.when(likely_account_id(F.col("account_id")), F.col("account_id")).otherwise(ident))
-    small = (F.col("limit_") == 0) | ((F.col("limit_") < 100) & (F.col("first_limit") > F.col("limit_")))
-    rows = rows.withColumn("credit_limit", F.when(small, F.col("first_limit")).otherwise(F.col("limit_"))).withColumn("status", clean_status(F.col("status")))
+    larger = let(limit, lambda v: F.when((F.col("limit_") == 0) | (v > F.col("limit_")), v).otherwise(F.col("limit_")))
+    rows = rows.withColumn("credit_limit", F.when(F.col("limit_") >= 100, F.col("limit_")).otherwise(larger)).withColumn("status", clean_status(F.col("status")))
     active = ~F.col("status").rlike("销户|未激活|结清|其他") & ~F.col("currency").rlike("美元|外币")
     rows = rows.withColumn("status", F.when(F.col("currency").rlike("美元|外币"), "其他").otherwise(F.col("status")))
     for n in ("used_amount", "monthly_payment", "actual_payment"):
         rows = rows.withColumn(n, F.when(active & (F.col(n) != ""), parse_number(F.col(n))))
     rows = rows.withColumn("bill_date", F.when(active, F.nullif("bill_date", F.lit("")))).withColumn("shared_limit", F.when(F.col("shared_limit") != "", parse_number(F.col("shared_limit"))))
     rows = rows.filter(((F.trim("org") != "") | likely_account_id(F.col("account_id"))) & ((F.col("credit_limit") > 0) | (F.coalesce("used_amount", F.lit(0.0)) > 0) | (F.trim("status") != "")))
-    return rows.drop("first_", "org_", "first_org", "first_limit", "limit_")
+    return rows.drop("first_", "org_", "limit_")
 
 
 def account_briefs(tables: DataFrame) -> DataFrame:

@@ -371,3 +371,21 @@ def test_preceding_text_of_one_table_on_two_pages_and_of_texts_at_one_place(spar
     tables = spark.createDataFrame([(1, 0, 30.0, 7), (1, 1, 30.0, 7), (1, 0, 30.0, 8), (1, 0, 1.0, 9), (2, 0, 3.0, 1)], "doc_id long, logical_page int, y double, ord long")
     got = sorted(tuple(r) for r in documents.preceding_text(above, tables).collect())
     assert got == [(1, 7, "lower"), (1, 8, "a"), (1, 9, ""), (2, 1, "")]
+
+
+def test_values_by_label_in_odd_grids_and_of_one_id_in_pieces(spark):
+    rows = [
+        (1, [["管利机构", "开立日期"], ["甲银行", "2020年3月5日"], ["余额", None], ["1,203元", ""]]), (1, [["备注"], None, ["余额：88"]]), (2, None), (3, []),
+        (4, [["借款金额", "B10X123456789"], ["--"]]), (5, [["应还款日\n本月应还款"], ["12\n300"]]), (6, [["账户授信额度"], ["B1017X0001"]])]
+    got = {(r.table_id, r.field): (r.value, r.score) for r in labels.find_values(spark.createDataFrame(rows, "table_id long, grid array<array<string>>"), labels.LOAN_FIELDS).collect()}
+    assert {k: v for k, (v, _) in got.items()} == {(1, "org"): "甲银行", (1, "open_date"): "2020.3.5", (1, "balance"): "1,203", (4, "amount"): "0", (5, "monthly_payment"): "12", (5, "due_date"): "12"}
+    assert got[1, "org"][1] == 120 + 20 + 54 + 8 and got[1, "balance"][1] == 120 + 20 + 54 + 8 + 12 + 8
+    # rows of one id are one table, as in SQL
+    wide = labels.extract_loans(spark.createDataFrame(rows, "table_id long, grid array<array<string>>")).collect()
+    assert [(r.table_id, r.org) for r in wide] == [(1, "甲银行")]
+
+
+def test_labels_as_plain_texts_and_as_columns_agree(spark):
+    words = sorted({w for _, _, own in labels.LOAN_FIELDS + labels.CARD_FIELDS for w in own} | {"查询机构", "管机构", "剩余还款期", "本月应还1234", "账户状识", "到日期", "x", ""})
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string").select("a", "b", labels.label_matches(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [labels.is_label(r.a, r.b) for r in pairs] == [r.m for r in pairs]
