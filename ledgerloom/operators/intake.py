@@ -7,13 +7,16 @@ Null and malformed JSON gives no rows; missing arrays count as empty.
 
 from __future__ import annotations
 
+import heapq
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.texts import let
 from ledgerloom.operators.documents import bounding_box, gutter, html_to_markdown
+from ledgerloom.operators.folds import fold_rows
 from ledgerloom.operators.segments import fix_context
 
 _CELL = "struct<row:int,col:int,row_span:int,col_span:int,content:array<struct<content:array<bigint>>>>"
@@ -131,7 +134,52 @@ def correct_texts(texts: Column) -> Column:
     return F.transform(texts, lambda v: correct_terms(fix_context(v)))
 
 
-_TABLE = "struct<page:bigint,x:double,y:double,w:double,h:double,score:int,signature:string,markdown:string>"
+_TABLE = {"page": "long", "x": "double", "y": "double", "w": "double", "h": "double", "score": "int", "signature": "string", "markdown": "string"}
+
+
+class PageTables:
+    """A page's tables by their box: the distinct boxes as columns, and of each box a heap of its tables, the best (then first) on top.
+
+    The table that a candidate may replace is the best one of its box, so nothing but tops is ever looked at.
+    """
+
+    def __init__(self):
+        self.at: dict[tuple, int] = {}
+        self.heaps: list[list[tuple[float, int]]] = []
+        self.boxes = np.full((6, 16), np.inf)  # x, y, w, h, and of the table on top the score below zero and the place
+
+    def _show(self, k: int) -> None:
+        self.boxes[4:, k] = self.heaps[k][0] if self.heaps[k] else (np.inf, np.inf)
+
+    def put(self, box: tuple, score: int | None, place: int) -> None:
+        k = self.at.setdefault(box, len(self.heaps))
+        if k == len(self.heaps):
+            self.heaps.append([])
+            if k == self.boxes.shape[1]:
+                self.boxes = np.concatenate([self.boxes, np.full_like(self.boxes, np.inf)], axis=1)
+            self.boxes[:4, k] = [np.nan if v is None else v for v in box]
+        heapq.heappush(self.heaps[k], (np.inf if score is None else -score, place))
+        self._show(k)
+
+    def take(self, k: int) -> int:
+        place = heapq.heappop(self.heaps[k])[1]
+        self._show(k)
+        return place
+
+    def under(self, box: tuple) -> int | None:
+        """The box of the table that a candidate lies on: of most overlap, then of the best score, then the first."""
+        x, y, w, h, score, place = self.boxes[:, : len(self.heaps)]
+        cx, cy, cw, ch = (np.nan if v is None else v for v in box)
+        small = np.fmin(w * h, cw * ch)  # a missing number is left out, as Spark's least and greatest do
+        shared = np.fmax(0, np.fmin(x + w, cx + cw) - np.fmax(x, cx)) * np.fmax(0, np.fmin(y + h, cy + ch) - np.fmax(y, cy))
+        ratio = np.divide(shared, small, out=np.zeros(len(x)), where=small > 0)
+        near = (np.abs(x + w / 2 - cx - cw / 2) <= np.fmax(w, cw) * 0.35) & (np.abs(y + h / 2 - cy - ch / 2) <= np.fmax(h, ch) * 0.35)
+        hits = np.flatnonzero(((ratio >= 0.35) | near) & (place < np.inf))
+        if not len(hits):
+            return None
+        hits = hits[ratio[hits] == ratio[hits].max()]
+        hits = hits[score[hits] == score[hits].min()]
+        return int(hits[place[hits].argmin()])
 
 
 def fuse_candidates(held: DataFrame, new: DataFrame) -> DataFrame:
@@ -140,24 +188,40 @@ def fuse_candidates(held: DataFrame, new: DataFrame) -> DataFrame:
     Both have doc_id, page, ord, x, y, w, h, score, signature, markdown; ``new`` also cand. A
     candidate table that lies on one of the document's replaces it where it is better by
     ``MARGIN``; one that lies on none is added where its score is high and its signature new.
-    A document's tables are folded in one row, as each step depends on those before.
+    As each step depends on those before, a document's tables and then its candidates are folded
+    as a stream, which tells each the place that it takes; of those that took a place the last one stays.
     """
-    fields = ["page", "x", "y", "w", "h", "score", "signature", "markdown"]
-    first = held.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "ord", F.struct(*fields).cast(_TABLE).alias("t")))).alias("held")).select("doc_id", F.expr("transform(held, v -> v.t)").alias("held"))
-    pages = held.select("doc_id", "page").distinct()
-    good = new.filter(F.col("score") >= REPLACE).join(pages, ["doc_id", "page"], "left_semi")
-    more = good.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cand", "page", "ord", F.struct(*fields).cast(_TABLE).alias("t")))).alias("new")).select("doc_id", F.expr("transform(new, v -> v.t)").alias("new"))
-    rows = first.join(more, "doc_id", "left").withColumn("new", F.coalesce("new", F.array().cast(f"array<{_TABLE}>")))
-    shared = "greatest(0D, least(t.x + t.w, c.x + c.w) - greatest(t.x, c.x)) * greatest(0D, least(t.y + t.h, c.y + c.h) - greatest(t.y, c.y))"
-    ratio = f"IF(least(t.w * t.h, c.w * c.h) > 0, {shared} / least(t.w * t.h, c.w * c.h), 0D)"
-    near = "abs(t.x + t.w / 2 - c.x - c.w / 2) <= greatest(t.w, c.w) * 0.35D AND abs(t.y + t.h / 2 - c.y - c.h / 2) <= greatest(t.h, c.h) * 0.35D"
-    hits = f"filter(transform(s.tables, (t, i) -> IF(t.page = c.page AND ({ratio} >= 0.35D OR ({near})), named_struct('overlap', {ratio}, 'score', t.score, 'neg', -i), NULL)), v -> v IS NOT NULL)"
-    known = "named_struct('tables', {0}, 'seen', array_append(s.seen, c.signature))"
-    replaced = known.format("transform(s.tables, (t, i) -> IF(i = -b.neg, c, t))")
-    added = f"IF(c.score >= {APPEND} AND NOT array_contains(s.seen, c.signature), {known.format('array_append(s.tables, c)')}, s)"
-    step = f"element_at(transform(array(array_max({hits})), b -> CASE WHEN b IS NULL THEN {added} WHEN c.score >= b.score + {MARGIN} THEN {replaced} ELSE s END), 1)"
-    fused = F.expr(f"aggregate(new, named_struct('tables', held, 'seen', transform(held, t -> t.signature)), (s, c) -> {step}, s -> s.tables)")
-    return rows.select("doc_id", F.posexplode(fused).alias("place", "t")).select("doc_id", "t.page", "place", "t.markdown", "t.score")
+    def step(state, t):
+        turn = state["turn"] = state["turn"] + 1
+        box, pages = (t["x"], t["y"], t["w"], t["h"]), state["pages"]
+        if not t["is_new"]:
+            place = state["places"]
+            pages.setdefault(t["page"], PageTables()).put(box, t["score"], place)
+        elif t["page"] is None or t["page"] not in pages:
+            return state, (None, turn)
+        else:
+            own = pages[t["page"]]
+            k = own.under(box)
+            if k is None:
+                if t["score"] < APPEND or t["signature"] is None or t["signature"] in state["seen"]:
+                    return state, (None, turn)
+                place = state["places"]
+            elif own.boxes[4, k] < np.inf and t["score"] >= MARGIN - own.boxes[4, k]:
+                place = own.take(k)
+            else:
+                return state, (None, turn)
+            own.put(box, t["score"], place)
+        state["places"] = max(state["places"], place + 1)
+        state["seen"].add(t["signature"])
+        return state, (place, turn)
+
+    fields = [F.col(c).cast(kind).alias(c) for c, kind in _TABLE.items()]
+    rows = held.select("doc_id", F.lit(False).alias("is_new"), F.lit(None).cast("long").alias("cand"), F.col("ord").cast("long").alias("ord"), *fields)
+    rows = rows.unionByName(new.filter(F.col("score") >= REPLACE).select("doc_id", F.lit(True).alias("is_new"), F.col("cand").cast("long").alias("cand"), F.col("ord").cast("long").alias("ord"), *fields))
+    start = lambda: {"turn": 0, "places": 0, "seen": set(), "pages": {}}
+    told = fold_rows(rows, "doc_id", ["is_new", "cand", "page", "ord", *[c for c in _TABLE if c != "page"]], "place int, turn long", start, step).filter("place IS NOT NULL")
+    last = told.groupBy("doc_id", "place").agg(F.max_by(F.struct("page", "markdown", "score"), "turn").alias("t"))
+    return last.select("doc_id", "t.page", "place", "t.markdown", "t.score")
 
 
 def prompt_text(facts: DataFrame) -> DataFrame:

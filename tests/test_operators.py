@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, texts
-from ledgerloom.operators import debt, derive, documents, folds, institutions, labels, profile, quality, regions, segments, statements, stores, validation
+from ledgerloom.operators import debt, derive, documents, folds, institutions, intake, labels, profile, quality, regions, segments, statements, stores, validation
 
 LOAN = "report_id long, ord long, category string, org string, open_date string, credit_amount double, balance double, monthly_payment double, status string, business_type string, overdue_count long"
 CARD = "report_id long, ord long, org string, open_date string, credit_limit double, used_amount double, balance double, monthly_payment double, status string, currency string, overdue_count long"
@@ -389,3 +389,41 @@ def test_labels_as_plain_texts_and_as_columns_agree(spark):
     words = sorted({w for _, _, own in labels.LOAN_FIELDS + labels.CARD_FIELDS for w in own} | {"查询机构", "管机构", "剩余还款期", "本月应还1234", "账户状识", "到日期", "x", ""})
     pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string").select("a", "b", labels.label_matches(F.col("a"), F.col("b")).alias("m")).collect()
     assert [labels.is_label(r.a, r.b) for r in pairs] == [r.m for r in pairs]
+
+
+def _fused(held, new):
+    """The fold as the SQL states it, a list of tables rewritten at each step; rows are (page, ord, x, y, w, h, score, signature, markdown), of ``new`` with cand in front."""
+    tables = [r[:1] + r[2:] for r in sorted(held, key=lambda r: r[:2])]
+    seen, pages = {t[6] for t in tables}, {t[0] for t in tables}
+    for _, page, _, *c in sorted(new, key=lambda r: r[:3]):
+        if page not in pages or c[4] < intake.REPLACE:
+            continue
+        found = []
+        for i, (p, x, y, w, h, score, *_) in enumerate(tables):
+            small = min(w * h, c[2] * c[3])
+            shared = max(0, min(x + w, c[0] + c[2]) - max(x, c[0])) * max(0, min(y + h, c[1] + c[3]) - max(y, c[1]))
+            ratio = shared / small if small > 0 else 0
+            near = abs(x + w / 2 - c[0] - c[2] / 2) <= max(w, c[2]) * 0.35 and abs(y + h / 2 - c[1] - c[3] / 2) <= max(h, c[3]) * 0.35
+            if p == page and (ratio >= 0.35 or near):
+                found.append((ratio, -1 if score is None else score, -i))
+        if not found and c[4] >= intake.APPEND and c[5] is not None and c[5] not in seen:
+            tables.append((page, *c))
+            seen.add(c[5])
+        elif found and max(found)[1] >= 0 and c[4] >= max(found)[1] + intake.MARGIN:
+            tables[-max(found)[2]] = (page, *c)
+            seen.add(c[5])
+    return [(t[0], k, t[7], t[5]) for k, t in enumerate(tables)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fused_candidates_equal_a_rewritten_list(seed, spark):
+    """Boxes that many tables share and boxes of their own, missing signatures and scores; a page without tables takes none."""
+    r = random.Random(seed)
+    box = lambda: tuple(float(r.randrange(n)) for n in ((4, 4, 3, 3) if seed else (900, 900, 90, 90)))
+    table = lambda k, page, low: (page, k, *box(), r.choice([None, *range(low, 45)] if low == 0 else range(low, 45)), r.choice([None, *"abcdefgh"]), f"t{k}")
+    held, new = [table(k, r.randrange(3), 0) for k in range(60)], [(r.randrange(2), *table(100 + k, r.randrange(4), 10)) for k in range(150)]
+    names = "doc_id long, {}page long, ord long, x double, y double, w double, h double, score int, signature string, markdown string"
+    docs = [spark.createDataFrame([(d, *t) for d in (1, None) for t in rows], names.format(more)).repartition(3) for rows, more in ((held, ""), (new, "cand long, "))]
+    got = intake.fuse_candidates(docs[0], docs[1].filter("doc_id = 1")).collect()
+    assert sorted((t.page, t.place, t.markdown, t.score) for t in got if t.doc_id) == sorted(_fused(held, new), key=lambda t: t[:2])
+    assert sorted((t.page, t.place, t.markdown, t.score) for t in got if not t.doc_id) == sorted(_fused(held, []), key=lambda t: t[:2])
