@@ -49,14 +49,14 @@ def evaluate_fields(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def prefix_lookup(fields: DataFrame, sources: DataFrame) -> DataFrame:
     """field, label: the source of a path, else of its list, the list's parent, or its root; the longest that is known.
 
-    Paths are expanded to their at most four keys and meet the sources in one join.
+    Distinct paths are expanded to their at most four keys and meet the sources in one join.
     """
     whole = F.col("field")
     lists = F.regexp_replace(whole, r"\[\d+\]\.[^.]+$", "")
     keys = F.array(whole, lists, F.regexp_replace(lists, r"\.[^.]+$", ""), F.element_at(F.split(whole, r"\["), 1))
-    opened = fields.select("field", F.posexplode(keys).alias("level", "key"))
-    found = opened.join(sources.withColumnRenamed("field", "key"), "key").groupBy("field").agg(F.min_by("label", "level").alias("label"))
-    return fields.select("field").distinct().join(found, "field", "left")
+    opened = fields.select("field").distinct().select("field", F.posexplode(keys).alias("level", "key"))
+    found = opened.join(sources.select(F.col("field").alias("key"), "label", F.lit(True).alias("known")), "key", "left")
+    return found.groupBy("field").agg(F.min_by("label", F.when(F.col("known"), F.col("level"))).alias("label"))
 
 
 def paginate(rows: DataFrame, key: str, order: list[Column], page: int, size: int = 20) -> DataFrame:

@@ -427,3 +427,14 @@ def test_fused_candidates_equal_a_rewritten_list(seed, spark):
     got = intake.fuse_candidates(docs[0], docs[1].filter("doc_id = 1")).collect()
     assert sorted((t.page, t.place, t.markdown, t.score) for t in got if t.doc_id) == sorted(_fused(held, new), key=lambda t: t[:2])
     assert sorted((t.page, t.place, t.markdown, t.score) for t in got if not t.doc_id) == sorted(_fused(held, []), key=lambda t: t[:2])
+
+
+def test_a_paths_sources_are_looked_up_once_a_path(spark):
+    """Repeated paths come together before they are expanded, and are read once."""
+    fields = spark.createDataFrame([("a[0].b",)] * 50 + [("a[1].c",), ("x",), (None,)], "field string")
+    sources = spark.createDataFrame([("a[0].b", None), ("a", "A")], "field string, label string")
+    found = stores.prefix_lookup(fields, sources)
+    assert sorted(map(tuple, found.collect()), key=str) == [("a[0].b", None), ("a[1].c", "A"), ("x", None), (None, None)]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode = next(k for k, line in enumerate(lines) if "Generate" in line)
+    assert sum("Generate" in line for line in lines) == 1 and any("Aggregate" in line for line in lines[explode:]) and sum("LogicalRDD" in line for line in lines) == 2
