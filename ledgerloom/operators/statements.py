@@ -50,16 +50,19 @@ def credit_agreements(tables: DataFrame) -> DataFrame:
     headers; with fewer than two rows the next table holds them, its headers being the first
     values, unless that is such a table itself.
     """
-    head = lambda headers: let(F.array_join(headers, ""), lambda h: F.contains(h, F.lit("管理机构")) & F.contains(h, F.lit("授信额度用途")))
-    rows = _next(_plain(tables)).filter(head(F.col("headers")))
-    whole = F.size("rows") >= 2
-    rows = rows.filter(whole | (F.col("next").isNotNull() & ~head(F.col("next.headers"))))
+    head = let(F.array_join("headers", ""), lambda h: F.contains(h, F.lit("管理机构")) & F.contains(h, F.lit("授信额度用途")))
+    rows = _plain(tables).withColumns({"head": head, "whole": F.size("rows") >= 2})
+    own = F.col("head") & F.col("whole")
     rows = rows.select(
-        "doc_id", "ord", F.when(whole, _row(F.col("rows"), 0)).otherwise(F.col("next.headers")).alias("first"), F.when(whole, _row(F.col("rows"), 1)).otherwise(_row(F.col("next.rows"), 0)).alias("labels"),
-        F.when(whole, _row(F.col("rows"), 2)).otherwise(_row(F.col("next.rows"), 1)).alias("values"))
+        "doc_id", "ord", "head", "whole", F.when(own, _row(F.col("rows"), 0)).otherwise(F.col("headers")).alias("first"), F.when(own, _row(F.col("rows"), 1)).otherwise(_row(F.col("rows"), 0)).alias("labels"),
+        F.when(own, _row(F.col("rows"), 2)).otherwise(_row(F.col("rows"), 1)).alias("values"))
     limit = _under(F.col("labels"), F.col("values"), lambda c: F.contains(c, F.lit("授信额度")) & ~c.rlike("用途|限额"))
     used = _under(F.col("labels"), F.col("values"), lambda c: F.contains(c, F.lit("已用额度")))
-    return rows.select("doc_id", "ord", clean_org(_cell(F.col("first"), 0)).alias("org"), _cell(F.col("first"), 4).alias("purpose"), parse_number(limit).alias("credit_limit"), parse_number(used).alias("used_amount"))
+    # each table tells what it holds, for itself or for the one before it; so no grids are sorted
+    told = F.struct(clean_org(_cell(F.col("first"), 0)).alias("org"), _cell(F.col("first"), 4).alias("purpose"), parse_number(limit).alias("credit_limit"), parse_number(used).alias("used_amount"))
+    rows = rows.select("doc_id", "ord", "head", "whole", F.when(own | ~F.col("head"), told).alias("told"))
+    rows = rows.withColumn("next", F.lead(F.when(~F.col("head"), F.col("told"))).over(Window.partitionBy("doc_id").orderBy("ord")))
+    return rows.filter("head").withColumn("told", F.when(F.col("whole"), F.col("told")).otherwise(F.col("next"))).filter("told IS NOT NULL").select("doc_id", "ord", "told.*")
 
 
 def openers(tables: DataFrame) -> DataFrame:

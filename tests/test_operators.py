@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -438,3 +439,12 @@ def test_a_paths_sources_are_looked_up_once_a_path(spark):
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     explode = next(k for k, line in enumerate(lines) if "Generate" in line)
     assert sum("Generate" in line for line in lines) == 1 and any("Aggregate" in line for line in lines[explode:]) and sum("LogicalRDD" in line for line in lines) == 2
+
+
+@pytest.mark.parametrize("name", ["credit_agreements"])
+def test_no_grids_are_sorted(name, spark):
+    """Tables tell what they hold before they are dealt out, and are sorted once."""
+    found = getattr(statements, name)(spark.createDataFrame([(1, 1, ["管理机构"], [])], TABLE))
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert len(dealt) == 1 and "rows#" not in dealt[0] and "headers#" not in dealt[0] and plan.count(") Sort\n") == 1
