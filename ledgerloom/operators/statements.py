@@ -6,17 +6,21 @@ headers and rows count as empty ones, null cells as empty texts.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions.amounts import parse_number
 from ledgerloom.functions.texts import clean_org, let
-from ledgerloom.operators.labels import LabelIndex, normal_label
+from ledgerloom.operators.labels import REMEMBERED, Finder, _find, _grids
 
 #: Kinds of a responsible person, and what makes a text an organisation.
 RESPONSIBLE = "保证人|共同借款人|担保人|抵押人"
 ORGANISATION = "银行|公司|金融"
 DUTY_LABELS = ["管理机构", "业务种类", "开立日期", "到期日期", "责任人类型", "还款责任金额", "币种", "保证合同编号", "主业务借款人", "主业务借款人证件类型", "主业务借款人证件号码", "余额", "五级分类", "还款状态"]
+_header, _responsible, _organisation, _amount = map(_find, ("管理机构|责任人|还款责任", RESPONSIBLE, ORGANISATION, r"^[0-9,]+(?:\.\d+)?$"))
 
 
 def _plain(tables: DataFrame) -> DataFrame:
@@ -25,10 +29,6 @@ def _plain(tables: DataFrame) -> DataFrame:
     return tables.select("doc_id", "ord", cells(F.coalesce("headers", F.array().cast("array<string>"))).alias("headers"), rows.alias("rows"))
 
 
-def _next(tables: DataFrame) -> DataFrame:
-    return tables.withColumn("next", F.lead(F.struct("headers", "rows")).over(Window.partitionBy("doc_id").orderBy("ord")))
-
-
 def _cell(row: Column, at: int) -> Column:
     return F.coalesce(F.get(row, F.lit(at)), F.lit(""))
 
@@ -66,18 +66,80 @@ def credit_agreements(tables: DataFrame) -> DataFrame:
 
 
 def openers(tables: DataFrame) -> DataFrame:
-    """Tables with ``alone`` (a header with rows of its own) and ``opens`` (one without, which takes the next table), each table used once.
+    """Tables (with ``header`` and ``bare``, a header without rows) with ``alone`` (a header with rows of its own) and ``opens`` (one without, which takes the next table), each table used once.
 
     In a run of headers without rows every second one is taken by the one before it, so the
     parity of a table's place in its run decides; so does the parity of a run for the table behind it.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
-    rows = tables.withColumn("bare", F.col("header") & (F.size("rows") == 0))
-    rows = rows.withColumn("run", F.sum((~F.col("bare")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("place", F.sum(F.col("bare").cast("int")).over(Window.partitionBy("doc_id", "run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("opens", F.col("bare") & (F.col("place") % 2 == 1))
+    rows = tables.withColumn("at", F.row_number().over(order))
+    rows = rows.withColumn("solid", F.max(F.when(~F.col("bare"), F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("opens", F.col("bare") & ((F.col("at") - F.coalesce("solid", F.lit(0))) % 2 == 1))
     taken = F.coalesce(F.lag("opens").over(order), F.lit(False))
-    return rows.withColumn("alone", F.col("header") & ~F.col("bare") & ~taken).drop("bare", "run", "place")
+    return rows.withColumn("alone", F.col("header") & ~F.col("bare") & ~taken).drop("at", "solid")
+
+
+class DutyReader:
+    """What responsibility tables hold, with a memory of which labels a text is."""
+
+    def __init__(self):
+        self.finder, self.names = Finder([(w, "text", [w]) for w in DUTY_LABELS]), {}
+
+    def places(self, texts: list[str]) -> list[int]:
+        """For each of the labels the first place where a text is it; -1 for none."""
+        found = [-1] * len(DUTY_LABELS)
+        for n, text in enumerate(texts):
+            own = self.names.get(text)
+            if own is None:
+                if len(self.names) > REMEMBERED:
+                    self.names.clear()
+                own = self.names[text] = [k for k, *_ in self.finder.fields_of(text)]
+            for k in own:
+                if found[k] < 0:
+                    found[k] = n
+        return found
+
+    def _pair(self, details: list[list[str]], keyword: str, wanted: list[str]) -> list[str | None] | None:
+        """Values under labels, of the first row but the last that has a keyword and the row below it; None without such a row."""
+        for labels, values in zip(details, details[1:]):
+            if any(keyword in c for c in labels):
+                places = self.places(labels)
+                at = [places[DUTY_LABELS.index(w)] for w in wanted]
+                return [(values[n].strip(" ") or None) if 0 <= n < len(values) else None for n in at]
+        return None
+
+    def told(self, values: list[str], details: list[list[str]]) -> dict:
+        """A responsibility's values, and what its details and the look of its values tell: a kind, of the others the longest organisation (the first on ties) and the first number."""
+        values = [v.strip(" ") for v in values]
+        kind = next((n for n, v in enumerate(values) if _responsible(v)), None)
+        others = [v for n, v in enumerate(values) if n != kind]
+        who = self._pair(details, "主业务借款人", DUTY_LABELS[8:11])
+        state = self._pair(details, "余额", DUTY_LABELS[11:]) or self._pair(details, "五级分类", DUTY_LABELS[11:])
+        looks = ["" if kind is None else values[kind], max(filter(_organisation, others), key=len, default=""), next(filter(_amount, others), "")]
+        return {"values": values, "told": [*(who or [None] * 3), *(state or [None] * 3), *looks]}
+
+
+def _read_duties(tables: DataFrame) -> DataFrame:
+    """doc_id, ord, header, bare, places of the labels in a header, and what a table holds below its headers (``own``) and for the header before it (``next``).
+
+    Grids end here: what is sorted and carried from row to row after it are the few values.
+    """
+    told = "struct<values array<string>, told array<string>>"
+    schema = StructType([tables.schema["doc_id"], tables.schema["ord"], *StructType.fromDDL(f"header boolean, bare boolean, places array<int>, own {told}, next {told}").fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches):
+        reader = DutyReader()
+        for batch in batches:
+            out = []
+            for headers, rows in zip(batch.column("headers").to_pylist(), _grids(batch.column("rows"))):
+                headers, rows = [c or "" for c in headers or ()], [[c or "" for c in row] for row in rows]
+                header = any(map(_header, headers))
+                out.append((header, header and not rows, reader.places(headers) if header else None, reader.told(rows[0], rows[1:]) if header and rows else None, reader.told(headers, rows)))
+            columns = zip(*out) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ord"), *(pa.array(c, kinds.field(n + 2).type) for n, c in enumerate(columns))], schema=kinds)
+
+    return tables.select("doc_id", "ord", "headers", "rows").mapInArrow(run, schema)
 
 
 def repay_responsibilities(tables: DataFrame) -> DataFrame:
@@ -86,40 +148,19 @@ def repay_responsibilities(tables: DataFrame) -> DataFrame:
     A header table without rows takes the next table, whose headers are its first values.
     Organisation, kind and amount fall back on the values that look like one.
     """
-    rows = _plain(tables).withColumn("header", F.exists("headers", lambda h: h.rlike("管理机构|责任人|还款责任")))
-    rows = _next(openers(rows)).filter("alone OR (opens AND next IS NOT NULL)")
-    rows = rows.select(
-        "doc_id", "ord", F.col("headers").alias("labels"), F.when(F.col("alone"), _row(F.col("rows"), 0)).otherwise(F.col("next.headers")).alias("values"),
-        F.when(F.col("alone"), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("next.rows")).alias("details"))
-
-    index = LabelIndex(DUTY_LABELS)
-    marks = lambda labels: F.transform(labels, lambda c: let(normal_label(c), index.matches))
-
-    def named(marked: Column, values: Column, keyword: str) -> Column:
-        return F.trim(_under(marked, values, lambda own: F.array_contains(own, F.lit(index.place_of(keyword)))))
-
-    def pair(keyword: str) -> Column:
-        """The first row but the last that has a keyword, and the row below it."""
-        at = F.array_position(F.transform(F.slice("details", 1, F.greatest(F.size("details") - 1, F.lit(0))), lambda r: F.exists(r, lambda c: F.contains(c, F.lit(keyword)))), F.lit(True)).cast("int")
-        return F.when(at > 0, F.struct(F.get("details", at - 1).alias("labels"), F.get("details", at).alias("values")))
-
-    rows = rows.withColumns({"who": pair("主业务借款人"), "state": F.coalesce(pair("余额"), pair("五级分类"))})
-    # each cell is compared with the labels once, whatever is looked up by them then
-    rows = rows.withColumns({"marks": marks(F.col("labels")), "who_marks": marks(F.col("who.labels")), "state_marks": marks(F.col("state.labels"))})
-    values = F.transform("values", lambda v: F.trim(v))
-    kind = F.coalesce(F.get(F.filter(values, lambda v: v.rlike(RESPONSIBLE)), F.lit(0)), F.lit(""))
-    # the first value that names a kind is the kind; of the others the longest organisation, the first of them on ties
-    others = F.filter(values, lambda v, n: n + 1 != F.coalesce(F.nullif(F.array_position(F.transform(values, lambda x: x.rlike(RESPONSIBLE)), F.lit(True)), F.lit(0)), F.lit(0)))
-    longest = F.aggregate(others, F.lit(""), lambda s, v: F.when(v.rlike(ORGANISATION) & (F.char_length(v) > F.char_length(s)), v).otherwise(s))
-    number = F.coalesce(F.get(F.filter(others, lambda v: v.rlike(r"^[0-9,]+(?:\.\d+)?$")), F.lit(0)), F.lit(""))
-    own = lambda keyword: named(F.col("marks"), F.col("values"), keyword)
-    of = lambda pair_, keyword: F.when(F.col(pair_).isNotNull(), F.nullif(named(F.col(f"{pair_}_marks"), F.col(f"{pair_}.values"), keyword), F.lit("")))
+    rows = openers(_read_duties(tables)).withColumn("next", F.lead("next").over(Window.partitionBy("doc_id").orderBy("ord")))
+    rows = rows.filter("alone OR (opens AND next IS NOT NULL)").select("doc_id", "ord", "places", F.when(F.col("alone"), F.col("own")).otherwise(F.col("next")).alias("t"))
+
+    def own(keyword: str) -> Column:
+        at = F.get("places", F.lit(DUTY_LABELS.index(keyword)))
+        return F.when(at >= 0, F.coalesce(F.get("t.values", at), F.lit(""))).otherwise("")
+
+    of = lambda k: F.get("t.told", F.lit(k))
     or_ = lambda text, other: let(text, lambda v: F.when(v != "", v).otherwise(other))
     return rows.select(
-        "doc_id", "ord", clean_org(or_(own("管理机构"), longest)).alias("org"), own("业务种类").alias("business_type"), own("开立日期").alias("open_date"), F.nullif(own("到期日期"), F.lit("")).alias("end_date"),
-        or_(own("责任人类型"), kind).alias("kind"), parse_number(or_(own("还款责任金额"), number)).alias("amount"), own("币种").alias("currency"), F.nullif(own("保证合同编号"), F.lit("")).alias("contract_no"),
-        of("who", "主业务借款人").alias("borrower"), of("who", "主业务借款人证件类型").alias("cert_type"), of("who", "主业务借款人证件号码").alias("cert_no"), parse_number(of("state", "余额")).alias("balance_"),
-        of("state", "余额").isNotNull().alias("has_balance"), of("state", "五级分类").alias("five_category"), of("state", "还款状态").alias("repay_status")).withColumn("balance", F.when(F.col("has_balance"), F.col("balance_"))).drop("balance_", "has_balance")
+        "doc_id", "ord", clean_org(or_(own("管理机构"), of(7))).alias("org"), own("业务种类").alias("business_type"), own("开立日期").alias("open_date"), F.nullif(own("到期日期"), F.lit("")).alias("end_date"),
+        or_(own("责任人类型"), of(6)).alias("kind"), parse_number(or_(own("还款责任金额"), of(8))).alias("amount"), own("币种").alias("currency"), F.nullif(own("保证合同编号"), F.lit("")).alias("contract_no"),
+        of(0).alias("borrower"), of(1).alias("cert_type"), of(2).alias("cert_no"), of(4).alias("five_category"), of(5).alias("repay_status"), F.when(of(3).isNotNull(), parse_number(of(3))).alias("balance"))
 
 
 def latest_employers(tables: DataFrame) -> DataFrame:

@@ -441,10 +441,16 @@ def test_a_paths_sources_are_looked_up_once_a_path(spark):
     assert sum("Generate" in line for line in lines) == 1 and any("Aggregate" in line for line in lines[explode:]) and sum("LogicalRDD" in line for line in lines) == 2
 
 
-@pytest.mark.parametrize("name", ["credit_agreements"])
+@pytest.mark.parametrize("name", ["credit_agreements", "repay_responsibilities"])
 def test_no_grids_are_sorted(name, spark):
     """Tables tell what they hold before they are dealt out, and are sorted once."""
     found = getattr(statements, name)(spark.createDataFrame([(1, 1, ["管理机构"], [])], TABLE))
     plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
     dealt = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
     assert len(dealt) == 1 and "rows#" not in dealt[0] and "headers#" not in dealt[0] and plan.count(") Sort\n") == 1
+
+
+def test_responsibilities_with_missing_rows_and_cells(spark):
+    rows = [(1, 1, ["管理机构", None, "币种"], [None, ["主业务借款人", None]]), (1, 2, ["管理机构"], None), (1, 3, None, [["主业务借款人"], [None], ["余额"], ["7"]]), (1, 4, ["责任人类型"], []), (2, 1, None, None)]
+    got = statements.repay_responsibilities(spark.createDataFrame(rows, TABLE)).orderBy("ord").select("ord", "org", "kind", "amount", "currency", "borrower", "balance").collect()
+    assert list(map(tuple, got)) == [(1, "", "", 0.0, "", None, None), (2, "", "", 0.0, "", None, 7.0)]
