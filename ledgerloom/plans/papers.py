@@ -101,8 +101,10 @@ _PAGES = f"pg AS (SELECT DISTINCT l_orderkey AS doc_id, {_ORD} AS page_num, CASE
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    mark = F.concat(F.lit("正文 第"), (F.col("l_partkey") % 9 + 1).cast("string"), F.lit("页， 共"), (F.col("l_suppkey") % 3 + 9).cast("string"), F.lit("页"))
-    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("page_num"), F.when(F.col("l_partkey") % 5 == 0, "正文").otherwise(mark).alias("text")).distinct()
+    marked = lambda number: F.when(F.col("l_partkey") % 5 != 0, number)
+    rows = t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("page_num"), marked(F.col("l_partkey") % 9 + 1).alias("n"), marked(F.col("l_suppkey") % 3 + 9).alias("of"))
+    text = F.concat(F.lit("正文 第"), F.col("n").cast("string"), F.lit("页， 共"), F.col("of").cast("string"), F.lit("页"))
+    return t.distinct_by(rows, "doc_id").select("doc_id", "page_num", F.coalesce(text, F.lit("正文")).alias("text"))  # numbers tell texts apart
 
 
 @query(f"""WITH {_PAGES}, a AS (SELECT *, number < last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS falls, count(number) OVER (PARTITION BY doc_id) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM pg),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import half_up
@@ -15,6 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def distinct_by(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct rows, of which those of a key stay together in the order of their columns; no table of all rows is held, and windows of the key need no further shuffle."""
+    same = Window.partitionBy(key, *[c for c in rows.columns if c != key]).orderBy(F.lit(0))
+    return rows.repartition(key).withColumn("nth_", F.row_number().over(same)).filter("nth_ = 1").drop("nth_")
+
+
 def _by(key, *values: str):
     """One of ``values``, by the remainder of ``key``."""
     return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))

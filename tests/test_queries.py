@@ -82,3 +82,11 @@ def test_lcs_is_worked_out_once_a_pair(spark, small):
     lines = registry.QUERIES["q_lcs"](spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = [k for k, line in enumerate(lines) if "bit_count" in line]
     assert len(at) == 1 and "Aggregate" in lines[at[0]] + lines[at[0] + 1]
+
+
+@pytest.mark.parametrize("name", ["q_page_reorder", "q_missing_pages"])
+def test_pages_are_dealt_once(name, spark, small):
+    """Repeated pages go by the sort that their document needs anyway; no table of all pages is built."""
+    plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
