@@ -25,22 +25,35 @@ def fix_context(text: Column) -> Column:
     return text
 
 
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+", "")
+
+
 def category_title(text: Column) -> Column:
-    plain = F.regexp_replace(text, r"\s+", "")
+    return _title(_plain(text))
+
+
+def _title(plain: Column) -> Column:
     out = F
     for number, title, kind in CATEGORY_TITLES:
-        out = out.when(plain.rlike(f"[（(]{number}[）)]?{title}") | (plain == title), kind)
+        out = out.when(F.contains(plain, F.lit(title)) & (plain.rlike(f"[（(]{number}[）)]?{title}") | (plain == title)), kind)
     return out.otherwise(None)
 
 
 def is_stop_title(text: Column) -> Column:
-    plain = F.regexp_replace(text, r"\s+", "")
+    return _stop(_plain(text))
+
+
+def _stop(plain: Column) -> Column:
     return plain.startswith("四查询记录") | plain.isin(STOPS)
 
 
 def account_anchor(text: Column) -> Column:
     """The account mark (账户 and a number) of a text; null for field labels and category titles."""
-    plain = F.regexp_replace(text, r"\s+", "")
+    return _anchor(_plain(text))
+
+
+def _anchor(plain: Column) -> Column:
     found = F.nullif(F.regexp_extract(plain, r"账户[0-9一二三四五六七八九十]+", 0), F.lit(""))
     return F.when(~plain.rlike("账户状态|账户标识|账户授信额度|账户币种|账户关闭|账户数|账户信息汇总") & ~plain.rlike("循环贷账户|贷记卡账户"), found)
 
@@ -69,17 +82,20 @@ def account_segments(events: DataFrame) -> DataFrame:
     A table with a primary header starts a segment of its own where no mark stands before
     it. Category, mark and start are local to each row, so segments are a running sum.
     """
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    title = category_title(F.col("text"))
-    reset = ~F.col("is_table") & (is_stop_title(F.col("text")) | title.isNotNull() | account_anchor(F.col("text")).isNotNull())
-    mark = F.when(~F.col("is_table"), F.when(is_stop_title(F.col("text")), F.struct(F.lit(None).cast("string").alias("kind"))).when(title.isNotNull(), F.struct(title.alias("kind"))))
-    label = F.when(~F.col("is_table"), F.when(is_stop_title(F.col("text")) | title.isNotNull(), F.struct(F.lit(None).cast("string").alias("name"))).when(account_anchor(F.col("text")).isNotNull(), F.struct(account_anchor(F.col("text")).alias("name"))))
-    rows = events.withColumns({"c": F.last(mark, ignorenulls=True).over(w), "a": F.last(label, ignorenulls=True).over(w), "cut": F.sum(reset.cast("int")).over(w)})
-    rows = rows.filter("is_table AND c.kind IS NOT NULL")
     order = Window.partitionBy("doc_id").orderBy("ord")
-    starts = (F.lag("cut").over(order).isNull()) | (F.lag("cut").over(order) != F.col("cut")) | F.col("text").rlike(PRIMARY)
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    # texts are read once, and only what they tell is sorted
+    rows = events.select("doc_id", "ord", "is_table", F.when(F.col("is_table"), F.coalesce(F.col("text").rlike(PRIMARY), F.lit(False))).alias("primary"), F.when(~F.col("is_table"), _plain(F.col("text"))).alias("plain"))
+    rows = rows.select("doc_id", "ord", "is_table", "primary", F.coalesce(_stop(F.col("plain")), F.lit(False)).alias("stop"), _title(F.col("plain")).alias("title"), _anchor(F.col("plain")).alias("name"))
+    turn = F.col("stop") | F.col("title").isNotNull()
+    mark = F.when(turn, F.struct(F.when(~F.col("stop"), F.col("title")).alias("kind")))
+    label = F.when(turn | F.col("name").isNotNull(), F.struct(F.when(~turn, F.col("name")).alias("name")))
+    rows = rows.withColumns({"c": F.last(mark, ignorenulls=True).over(w), "a": F.last(label, ignorenulls=True).over(w), "cut": F.sum(label.isNotNull().cast("int")).over(w)})
+    rows = rows.filter("is_table AND c.kind IS NOT NULL")
+    starts = (F.lag("cut").over(order).isNull()) | (F.lag("cut").over(order) != F.col("cut")) | F.col("primary")
     rows = rows.withColumn("segment", F.sum(starts.cast("int")).over(w))
-    return rows.groupBy("doc_id", "segment").agg(F.min_by("c.kind", "ord").alias("category"), F.min_by("a.name", "ord").alias("anchor"), F.count("*").alias("tables"))
+    # category and mark are the same throughout a segment
+    return rows.groupBy("doc_id", "segment", F.col("c.kind").alias("category"), F.col("a.name").alias("anchor")).agg(F.count("*").alias("tables"))
 
 
 def merge_fragments(tables: DataFrame) -> DataFrame:

@@ -214,8 +214,10 @@ _EVENTS = f"""ev AS (SELECT DISTINCT l_orderkey AS doc_id, {_ORD} AS ord, {_pick
 def _events(spark, sf_dir) -> DataFrame:
     """Titles, stops, account marks, labels that look like them, and tables, some with a number behind them."""
     key = F.col("l_partkey") + F.col("l_linenumber")
-    text = F.concat(_pick(_EVENT_TEXTS, key), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" "), (F.col("l_suppkey") % 30).cast("string"))).otherwise(""))
-    return t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), text.alias("text"), (key % 8).isin(2, 3, 6).alias("is_table")).distinct()
+    rows = t.read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), (key % len(_EVENT_TEXTS)).alias("word"), F.when(F.col("l_partkey") % 3 == 0, F.col("l_suppkey") % 30).alias("number"), (key % 8).isin(2, 3, 6).alias("is_table"))
+    text = F.concat(_pick(_EVENT_TEXTS, F.col("word")), F.coalesce(F.concat(F.lit(" "), F.col("number").cast("string")), F.lit("")))
+    return t.distinct_by(rows, "doc_id").select("doc_id", "ord", text.alias("text"), "is_table")  # a word's place and a number tell texts apart
 
 
 @query(f"WITH {_EVENTS} SELECT text, title AS category, stop, mark AS anchor, count(*) AS n FROM mk GROUP BY 1, 2, 3, 4")

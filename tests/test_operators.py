@@ -454,3 +454,11 @@ def test_responsibilities_with_missing_rows_and_cells(spark):
     rows = [(1, 1, ["管理机构", None, "币种"], [None, ["主业务借款人", None]]), (1, 2, ["管理机构"], None), (1, 3, None, [["主业务借款人"], [None], ["余额"], ["7"]]), (1, 4, ["责任人类型"], []), (2, 1, None, None)]
     got = statements.repay_responsibilities(spark.createDataFrame(rows, TABLE)).orderBy("ord").select("ord", "org", "kind", "amount", "currency", "borrower", "balance").collect()
     assert list(map(tuple, got)) == [(1, "", "", 0.0, "", None, None), (2, "", "", 0.0, "", None, 7.0)]
+
+
+def test_segments_are_dealt_once_and_read_texts_once(spark):
+    events = spark.createDataFrame([(1, 1, "(四)贷记卡账户", False), (1, 2, "账户1", False), (1, 3, "余额", True), (1, 4, None, True), (1, 5, None, False), (1, 6, "发卡机构", True), (1, 7, "查询记录", False), (1, 8, "余额", True)], "doc_id long, ord long, text string, is_table boolean")
+    found = segments.account_segments(events)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "creditCard", "账户1", 2), (1, 2, "creditCard", "账户1", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\s+") == 1 and "min_by" not in plan
