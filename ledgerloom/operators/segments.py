@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.functions.texts import clean_query_date, clean_reason, trim_all
-from ledgerloom.operators.folds import fold_rows
 
 #: Category titles with their number, stop titles, and contextual corrections of misread text.
 CATEGORY_TITLES = [("一", "非循环贷账户", "nonRevolvingLoan"), ("二", "循环贷账户一", "revolvingLoan1"), ("三", "循环贷账户二", "revolvingLoan2"), ("四", "贷记卡账户", "creditCard"), ("五", "相关还款责任信息", "repayResponsibility"), ("六", "授信协议信息", "creditAgreement")]
@@ -106,43 +108,81 @@ def merge_fragments(tables: DataFrame) -> DataFrame:
     A piece joins where it has no text of its own before it (or the same), its page is the
     same or the next, and it is either beside the table (same height, other headers, as many
     rows) or below it (headers without a primary label, or the same headers and a hint).
-    The fold tells each piece its part and the row there at which it begins; pieces of a row
-    then come together side by side, and rows of a part one below the other.
+    Pieces are dealt and sorted once: the task that folds them hands out tables as soon as
+    others begin, and holds one batch and the pieces of the open table.
     """
-    def step(last, t):
-        head, n, before = t["head"], t["n"], t["before"]
-        if last is not None:
-            gap, level = t["page"] - last["page"], t["page"] == last["page"] and abs(t["y"] - last["y"]) <= NEAR_Y
-            same = head == last["head"]
-            beside = level and t["x"] > last["x"] and not same and n == last["n"] and n >= 2
-            if same:
-                below = not level and not t["primary"] and (t["hint"] or last["hint"] or before == "")
-            else:
-                below = not level and not t["primary"] and (last["n"] < 3 or t["hint"] or last["hint"])
-            neighbour = 0 <= gap <= 1 and not (gap == 0 and t["y"] + NEAR_Y < last["y"])
-            if neighbour and before in ("", last["before"]) and (beside or below):
-                skip = int(below and same)
-                begin = 0 if beside else last["n"] - skip
-                merged = last | {"page": t["page"], "hint": last["hint"] or t["hint"]}
-                merged |= {"head": last["head"] + "|" + head} if beside else {"y": t["y"], "n": last["n"] + n - skip}
-                return merged, (last["part"], begin, skip)
-        part = 0 if last is None else last["part"] + 1
-        return {k: t[k] for k in ("page", "x", "y", "head", "n", "before", "hint")} | {"part": part}, (part, 0, 0)
-
-    head = F.array_join(F.transform(F.get("rows", F.lit(0)), lambda c: F.regexp_replace(c, r"\s+", "")), "|")
     pieces = tables.filter(F.size("rows") > 0).select(
-        "doc_id", "page", "y", "x", "ord", F.coalesce(F.regexp_replace("preceding", r"\s+", ""), F.lit("")).alias("before"), F.coalesce("hint", F.lit(False)).alias("hint"),
-        F.coalesce(head, F.lit("")).alias("head"), F.coalesce(head.rlike(PRIMARY), F.lit(False)).alias("primary"), F.size("rows").alias("n"), "rows")
-    # the fold reads places and headers only; rows meet its result by the piece's number
-    pieces = pieces.withColumn("piece", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y", "x", "ord", "before", "hint", "rows")))
-    told = fold_rows(pieces.drop("rows"), "doc_id", ["piece"], "part int, first_row int, skip int", lambda: None, step)
-    rows = pieces.select("doc_id", "piece", F.posexplode("rows").alias("r", "cells")).join(told.select("doc_id", "piece", "part", "first_row", "skip"), ["doc_id", "piece"])
-    # repeated headers stand on no line, but their piece counts
-    lines = rows.groupBy("doc_id", "part", F.when(F.col("r") >= F.col("skip"), F.col("first_row") + F.col("r")).alias("line")).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "cells"))), lambda x: x.cells)).alias("cells"), F.collect_set("piece").alias("pieces"))
-    return lines.groupBy("doc_id", "part").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "cells")))), lambda x: x.cells).alias("rows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("pieces")))).alias("fragments"))
+        "doc_id", "page", "y", "x", "ord", F.coalesce(F.regexp_replace("preceding", r"\s+", ""), F.lit("")).alias("before"), F.coalesce("hint", F.lit(False)).alias("hint"), "rows")
+    pieces = pieces.repartition("doc_id").sortWithinPartitions("doc_id", *[F.col(c).asc_nulls_last() for c in ("page", "y", "x", "ord")], "before", "hint", "rows")
+    # headers are read off the rows after these were dealt out, so that they need not travel
+    head = F.array_join(F.transform(F.get("rows", F.lit(0)), lambda c: F.regexp_replace(c, r"\s+", "")), "|")
+    pieces = pieces.select("doc_id", "page", "y", "x", "before", "hint", "rows", F.coalesce(head, F.lit("")).alias("head")).withColumn("primary", F.col("head").rlike(PRIMARY))
+    made = StructType([pieces.schema["doc_id"], StructField("part", IntegerType()), pieces.schema["rows"], StructField("fragments", IntegerType())])
+    return pieces.mapInArrow(_merged, made)
+
+
+def _merged(batches):
+    """Tables of sorted pieces. Each piece is told its part and the row there at which it begins; a null place is near nothing."""
+    held, doc = [], object()
+    for batch in batches:
+        rows, seen = batch["rows"], [batch[c].to_numpy(zero_copy_only=False).tolist() for c in ("page", "y", "x", "before", "hint", "head", "primary")]
+        begins, parts, firsts, skips = [], [], [], []
+        for key, n, page, y, x, before, hint, head, primary in zip(batch["doc_id"].to_pylist(), rows.value_lengths().to_pylist(), *seen):
+            same = beside = below = False
+            known = key == doc
+            if known and 0 <= page - last_page <= 1 and before in ("", own_before) and (page > last_page or y + NEAR_Y >= last_y):
+                same = head == own_head
+                if page == last_page and abs(y - last_y) <= NEAR_Y:
+                    beside = x > own_x and not same and n == size and n >= 2
+                elif not primary:
+                    below = hint or hinted or (before == "" if same else size < 3)
+            skip = int(below and same)
+            if beside:
+                first, hinted = 0, hinted or hint
+                own_head += "|" + head  # by itself, so that Python appends in place
+            elif below:
+                first, hinted, last_y, size = size - skip, hinted or hint, y, size + n - skip
+            else:
+                doc, part, first = key, part + 1 if known else 0, 0
+                hinted, last_y, own_x, own_before, own_head, size = hint, y, x, before, head, n
+            last_page = page
+            begins.append(not (beside or below))
+            parts.append(part)
+            firsts.append(first)
+            skips.append(skip)
+        told = [pa.array(begins, pa.bool_()), pa.array(parts, pa.int32()), pa.array(firsts, pa.int64()), pa.array(skips, pa.int64())]
+        pieces = pa.RecordBatch.from_arrays([batch["doc_id"], rows, *told], names=["doc_id", "rows", "begins", "part", "first", "skip"])
+        cuts = np.flatnonzero(begins)
+        if len(cuts):
+            yield from _stacked([*held, pieces.slice(0, cuts[-1])])
+            held, pieces = [], pieces.slice(cuts[-1])
+        held.append(pieces)
+    yield from _stacked(held)
+
+
+def _stacked(held: list):
+    """Whole tables' pieces as one row a table: pieces of a row come side by side, rows one below the other, and repeated headers stand on none."""
+    pieces = pa.concat_batches(held) if held else []
+    if not len(pieces):
+        return
+    size, first, skip = pieces["rows"].value_lengths().to_numpy(), pieces["first"].to_numpy(), pieces["skip"].to_numpy()
+    starts = np.flatnonzero(pieces["begins"].to_numpy(zero_copy_only=False))
+    fragments = np.diff(np.append(starts, len(pieces)))
+    piece = np.repeat(np.arange(len(pieces)), size)
+    r = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+    kept = np.flatnonzero(r >= skip[piece])
+    table, line = np.repeat(np.arange(len(starts)), fragments)[piece[kept]], (first[piece] + r)[kept]
+    order = np.lexsort((line, table))  # keeps pieces of a line in order
+    table, line = table[order], line[order]
+    cells = pieces["rows"].flatten().take(pa.array(kept[order]))
+    width = cells.value_lengths().fill_null(0).to_numpy()
+    at = np.flatnonzero(np.append(True, (table[1:] != table[:-1]) | (line[1:] != line[:-1])))
+    void = np.logical_or.reduceat(cells.is_null().to_numpy(zero_copy_only=False), at)
+    ends = np.append(0, np.cumsum(width))[np.append(at, len(width))]
+    lines = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells.flatten(), type=cells.type, mask=pa.array(void) if void.any() else None)
+    ends = np.append(np.flatnonzero(np.append(True, np.diff(table[at]) != 0)), len(at))
+    rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines, type=pieces["rows"].type)
+    yield pa.RecordBatch.from_arrays([pieces["doc_id"].take(pa.array(starts)), pieces["part"].take(pa.array(starts)), rows, pa.array(fragments, pa.int32())], names=["doc_id", "part", "rows", "fragments"])
 
 
 def repayment_records(rows: DataFrame) -> DataFrame:

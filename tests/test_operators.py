@@ -137,6 +137,32 @@ def test_fragments(spark):
     assert [(r.fragments, r.rows) for r in got] == [(2, head + body), (2, [["管理机构", "借款金额", "余额", "x"], ["甲", "1", "8", "y"]]), (1, body)]
 
 
+def test_fragments_across_batches(spark):
+    """Batches of two pieces: tables go on over their borders, and a piece without a place joins nothing on its page."""
+    row = lambda k, page, y, x, rows, doc=1, text="", hint=False: (doc, page, y, x, k, text, hint, rows)
+    head = ["管理机构", "借款金额"]
+    rows = [
+        row(1, 1, 0.0, 0.0, [["a"], ["1"]]), row(2, 1, 5.0, 9.0, [["b"], ["2"]]), row(3, 1, 5.0, 12.0, [["c"], None]), row(4, 2, 0.0, 0.0, [["a", "b", "c"], ["4", "5", "6"]]), row(5, 3, 0.0, 0.0, [["a", "b", "c"]]),
+        row(6, 4, 0.0, 0.0, [[], ["7"]], hint=True), row(7, 4, 50.0, 0.0, [head, ["8", "9"]]), row(8, 4, None, 0.0, [["x"]], hint=True), row(9, None, 90.0, 0.0, [["y"]], hint=True), row(1, 1, 0.0, 0.0, [head], doc=2), row(2, 1, 90.0, None, [["z"]], doc=2)]
+    tables = spark.createDataFrame(rows, "doc_id long, page int, y double, x double, ord long, preceding string, hint boolean, rows array<array<string>>").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = segments.merge_fragments(tables).orderBy("doc_id", "part").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [(r.doc_id, r.part, r.fragments, r.rows) for r in got] == [
+        (1, 0, 6, [["a", "b", "c"], None, ["4", "5", "6"], [], ["7"]]), (1, 1, 1, [head, ["8", "9"]]), (1, 2, 1, [["x"]]), (1, 3, 1, [["y"]]), (2, 0, 2, [head, ["z"]])]
+
+
+def test_fragments_are_dealt_out_once(spark):
+    """Pieces are read, shuffled and sorted once; no piece meets its rows or its table again by a join or a further shuffle."""
+    tables = spark.range(9).selectExpr("id AS doc_id", "0 AS page", "0d AS y", "0d AS x", "id AS ord", "'' AS preceding", "true AS hint", "array(array('a')) AS rows")
+    plan = segments.merge_fragments(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and plan.count("Range") == 1
+    assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
+
+
 def test_segments_and_titles(spark):
     events = ["(一)非循环贷账户", "账户1", "T 管理机构", "T 还款记录", "T 管理机构", "账户2", "T 管理机构", "四查询记录", "T 管理机构", "（四）贷记卡账户", "T 发卡机构"]
     rows = spark.createDataFrame([(1, k, t, t.startswith("T")) for k, t in enumerate(events)], "doc_id long, ord long, text string, is_table boolean")
